@@ -258,32 +258,33 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-SCHEMA = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
-
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids and decoded text of every whole text: (id_col, ids, decoded).
-
-    path: the vocabulary file, present on each machine. Only the two columns are read, so others,
-    whatever their names, don't matter. A null or empty text, or one of white space alone, has no
-    ids and decodes to the empty text; a null id and repeated rows are kept, a row for each row.
-    Memory is bounded by slices of about 8 MB of text and a cache of CACHE_WORDS words. No shuffle.
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Token ids and decoded text of every whole text: (id_col, *keep, ids, decoded).
+
+    path: the vocabulary file, present on each machine. keep: columns of df passed through. Other
+    columns, whatever their names, aren't read. A null or empty text, or one of white space alone,
+    has no ids and decodes to the empty text; a null id and repeated rows are kept, a row for each
+    row. Memory is bounded by slices of about 8 MB of text and a cache of CACHE_WORDS words. No
+    shuffle.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(path)
         ids = own.encode_batch(batch.column("t").to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column("id"), ids, own.decode_batch(ids)], schema=SCHEMA)
+        passed = [c for c in batch.schema.names if c != "t"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), ids, own.decode_batch(ids)], names=[*passed, "ids", "decoded"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(mapper(kernel, "t"), out).withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).alias("t"))
+    out = T.StructType([*rows.drop("t").schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    found = rows.mapInArrow(mapper(kernel, "t"), out)
+    return found.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "ids", "decoded")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The digest columns of encode()'s rows: n_tokens, ids_sha256, decoded_sha256."""
+def digests(encoded: DataFrame, with_ids: bool = False) -> DataFrame:
+    """encode()'s rows with n_tokens and the digests of the ids and of the decoded text instead of that text, and of the ids unless with_ids."""
+    dropped = ("decoded",) if with_ids else ("ids", "decoded")
     return encoded.select(
-        id_col,
+        *(c for c in encoded.columns if c not in dropped),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvana.llm import bpe, secret_scan, simhash
+from corvana.llm import bpe, mixing, secret_scan, simhash, toxicity
 from corvana.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: The vocabulary file is a parameter of the operator; it is present on each machine.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+#: The target mix, in parts of their sum; sources that aren't listed share the rest.
+WEIGHTS = {"src0": 30, "src1": 15, "src2": 15, "src3": 10, "src4": 10}
+OTHER_WEIGHT = 20
+BLOCK_ROWS = 16
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)
+
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY))
@@ -28,9 +37,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.verdicts(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_bpe, op4_secrets, op5_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op3_bpe, op4_secrets, op5_simhash, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)}
