@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvana.llm import bpe, mixing, secret_scan, simhash, toxicity
+from corvana.llm import bpe, mixing, nearest, secret_scan, simhash, toxicity
 from corvana.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -43,8 +48,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_bpe, op4_secrets, op5_simhash, op8_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)}
+    return {"op1_mixing": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS), "op2_nearest": nearest.oracle()}
