@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import bpe, mixing, nearest, secret_scan, simhash, toxicity
+from corvana.llm import bpe, html_extract, mixing, nearest, secret_scan, simhash, toxicity
 from corvana.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,13 +42,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.verdicts(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op8_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op7_html, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
