@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import bpe, html_extract, mixing, nearest, search, secret_scan, simhash, toxicity
+from corvana.llm import bpe, chat, html_extract, mixing, nearest, search, secret_scan, simhash, toxicity
 from corvana.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Schemas of the tools whose calls are checked.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -57,8 +68,8 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op7_html, op8_toxicity, op10_search)}
+    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op6_chat, op7_html, op8_toxicity, op10_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS), "op2_nearest": nearest.oracle(), "op10_search": search.oracle()}
+    return {"op1_mixing": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS), "op2_nearest": nearest.oracle(), "op6_chat": chat.ORACLE_SQL, "op10_search": search.oracle()}
