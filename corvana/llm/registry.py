@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import bpe, chat, html_extract, mixing, nearest, search, secret_scan, simhash, toxicity
+from corvana.llm import bpe, chat, html_extract, mixing, nearest, repeats, search, secret_scan, simhash, toxicity
 from corvana.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,12 +63,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op6_chat, op7_html, op8_toxicity, op10_search)}
+    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op6_chat, op7_html, op8_toxicity, op9_repeats, op10_search)}
 
 
 def oracle_sql() -> dict[str, str]:
