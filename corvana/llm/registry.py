@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -71,8 +75,28 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors the package, which the kernels are imported from there, once for each context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_corvana_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        where = tempfile.mkdtemp(prefix="corvana-")
+        shutil.copytree(root / "corvana", f"{where}/lib/corvana", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{where}/corvana", "zip", f"{where}/lib"))  # Spark's own file server hands it out
+        sc._corvana_shipped = True
+
+
+def shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op6_chat, op7_html, op8_toxicity, op9_repeats, op10_search)}
+    return {f.__name__: shipped(f) for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op6_chat, op7_html, op8_toxicity, op9_repeats, op10_search)}
 
 
 def oracle_sql() -> dict[str, str]:
