@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvana.plans import vectors
 from corvana.plans.islands import state_islands
 from corvana.session import table
 
@@ -36,9 +37,18 @@ FROM numbered GROUP BY user_id, island, state
 """
 
 
+PARTS = (vectors,)
+
+
 def queries() -> dict[str, Query]:
-    return {"islands_events": islands_events}
+    found: dict[str, Query] = {"islands_events": islands_events}
+    for part in PARTS:
+        found |= part.queries()
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"islands_events": ISLANDS_SQL}
+    found = {"islands_events": ISLANDS_SQL}
+    for part in PARTS:
+        found |= part.oracle_sql()
+    return found
