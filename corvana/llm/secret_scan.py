@@ -170,7 +170,7 @@ def shown(spans: list[tuple[int, int, str]]) -> str:
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
-    """The text with each maximal union of overlapping spans replaced by a mark of its first kind."""
+    """The text with each maximal union of overlapping spans replaced by a mark of its first kind, which no pattern takes for a secret."""
     if not spans:
         return text
     out, at, i = [], 0, 0
@@ -179,7 +179,7 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
         while i + 1 < len(spans) and spans[i + 1][0] < end:
             i += 1
             end = max(end, spans[i][1])
-        out += [text[at:start], f"<secret:{kind}>"]
+        out += [text[at:start], f"<masked-{kind}>"]
         at, i = end, i + 1
     return "".join([*out, text[at:]])
 
