@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvana.functions import encodings, signals
 from corvana.functions.texts import words as split_words
-from corvana.operators import catalog, stateful, subtitles
+from corvana.operators import alignment, catalog, stateful, subtitles
 from corvana.operators import timeline as tl
 from corvana.plans.islands import state_islands
 from corvana.session import table
@@ -339,7 +339,43 @@ WITH e AS (SELECT user_id, event_id, {SECONDS} AS t, event_type FROM events)
 SELECT e.event_id, p.t AS matched FROM e ASOF LEFT JOIN (SELECT DISTINCT user_id, t FROM e WHERE event_type = 'purchase') p ON p.user_id = e.user_id AND p.t <= e.t
 """
 
+
+
+def neighbours(spark, sf_dir, n=16):
+    e = table(spark, sf_dir, "embeddings")
+    cut = F.slice(F.col("embedding").cast("array<double>"), 1, n)
+    return e.select("vec_id", cut.alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), cut.alias("b")), "vec_id")
+
+
+def warped(band):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = neighbours(spark, sf_dir)
+        found = pairs.select("vec_id", alignment.aligned(pairs, "a", "b", band=band).alias("r"))
+        return found.select("vec_id", F.round("r.cost", 4).alias("cost"), F.size("r.path").alias("steps")) if band is None else found.select("vec_id", F.round("r.cost", 4).alias("cost"))
+
+    return query
+
+
+def edit_words(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 12).alias("a"))
+    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    return pairs.select("item_id", alignment.edit_aligned(pairs, "a", "b", {("the", "and"): 0.5, ("of", "in"): 0.5})["cost"].alias("cost"))
+
+
+STEP = "abs(v[CAST({i} AS INTEGER)] - w[CAST({j} AS INTEGER)])::FLOAT"
+WARP_SQL = f"""
+SELECT vec_id, round(list_reduce(list_prepend(
+    list_reduce(list_prepend([0::FLOAT], list_transform(range(2, 17), lambda j: [j::FLOAT])), lambda r, y: list_append(r, {STEP.format(i=1, j='y[1]')} + r[-1])),
+    list_transform(range(2, 17), lambda i: [i::FLOAT])),
+  lambda p, x: list_reduce(list_prepend([{STEP.format(i='x[1]', j=1)} + p[1]], list_transform(range(2, 17), lambda j: [j::FLOAT])),
+    lambda r, y: list_append(r, {STEP.format(i='x[1]', j='y[1]')} + least(r[-1], p[CAST(y[1] AS INTEGER)], p[CAST(y[1] AS INTEGER) - 1]))))[-1]::DOUBLE, 4) AS cost
+FROM (SELECT a.vec_id, a.embedding::DOUBLE[] AS v, b.embedding::DOUBLE[] AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+"""
+
 QUERIES = {
+    "dtw_banded": (warped(16), WARP_SQL),
+    "dtw_pair": (warped(None), None),
+    "txt_edit_phone": (edit_words, None),
     "timeline_shift": (shift, f"SELECT event_id, round(greatest(start_time + 12.5, 0) + 2e-8, 4) + 0.0 AS start_time, round(greatest(end_time + 12.5, 0) + 2e-8, 4) + 0.0 AS end_time FROM {ENTRIES}"),
     "timeline_scale": (scale, f"SELECT event_id, round(start_time * 1.5 + 2e-8, 4) + 0.0 AS start_time, round(end_time * 1.5 + 2e-8, 4) + 0.0 AS end_time FROM {ENTRIES}"),
     "timeline_round": (rounding, f"SELECT event_id, floor(start_time * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS start_time, floor(end_time * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS end_time, floor(confidence * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS confidence FROM {ENTRIES}"),
