@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-MAX_BYTES = 8 << 20
+MAX_BYTES = 4 << 20
+
+
+def give_back() -> None:
+    """Memory that the allocators hold but nothing uses goes back to the machine: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def forget(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more are removed now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,5 +47,6 @@ def mapper(kernel: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, max_
         for batch in batches:
             for part in slices(batch, column, max_bytes):
                 yield kernel(part)
+        give_back()
 
     return run

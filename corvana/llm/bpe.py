@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from corvana.llm.batches import mapper
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 END = "</w>"
 
 
@@ -264,7 +264,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     path: the vocabulary file, present on each machine. keep: columns of df passed through. Other
     columns, whatever their names, aren't read. A null or empty text, or one of white space alone,
     has no ids and decodes to the empty text; a null id and repeated rows are kept, a row for each
-    row. Memory is bounded by slices of about 8 MB of text and a cache of CACHE_WORDS words. No
+    row. Memory is bounded by slices of about 4 MB of text and a cache of CACHE_WORDS words. No
     shuffle.
     """
 
