@@ -35,7 +35,7 @@ from corvana.session import cut
 FIT_ROWS = 20_000
 #: Bound of the lexicon entries kept, those with most evidence first.
 ENTRIES = 512
-MIN_TOXIC, MIN_PRECISION = 3, 0.6
+MIN_TOXIC, MIN_PRECISION = 3, 0.85
 THRESHOLD = 0.3
 HELD_OUT_MOD, HELD_OUT = 4, 2
 
@@ -137,7 +137,7 @@ class LabelModel:
         return np.clip((votes @ self.weight + self.bias + 1) / 2, 0.01, 0.99)
 
 
-def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft targets, by accelerated gradient descent."""
     n, m = x.shape
     w, b, vw, vb = np.zeros(m), 0.0, np.zeros(m), 0.0
