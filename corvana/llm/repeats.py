@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvana.llm.batches import forget
 from corvana.session import cut
 
 LENGTH, GRAM = 50, 24
@@ -133,6 +134,15 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all lowest bytes, then the next ones; small numbers and steps compress well so."""
+    return np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Rising 48-bit numbers as compressed byte planes of their differences."""
     steps = np.diff(values, prepend=np.uint64(0))
@@ -198,7 +208,9 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = values[n > 1]
         rows = []
         for row, own in zip(group, found, strict=True):
-            both = np.intersect1d(own, values)
+            at = np.searchsorted(values, own)
+            at[at == len(values)] = 0
+            both = np.unique(own[values[at] == own]) if len(values) else values
             if len(both):
                 rows.append({"chunk": row["chunk"], "payload": squeezed(both)})
         yield pa.RecordBatch.from_pylist(rows, schema=RETURNED)
@@ -228,8 +240,8 @@ def segments(parts: int):
                 rows = []
                 for p, at in by_part(h, parts):
                     at = at[np.argsort(h[at], kind="stable")]
-                    head = np.concatenate([[len(at)], h[at].view(np.int64), count[at], least[at], start[at]]).astype(np.int64)
-                    rows.append({"part": p, "chunk": row["chunk"], "payload": pressed(head.tobytes() + b"".join([texts[i] for i in at.tolist()]))})
+                    head = planes(np.concatenate([np.diff(h[at].view(np.int64), prepend=0), count[at], least[at], start[at]]))
+                    rows.append({"part": p, "chunk": row["chunk"], "payload": pressed(len(at).to_bytes(8, "little") + head + b"".join([texts[i] for i in at.tolist()]))})
                 yield pa.RecordBatch.from_pylist(rows, schema=ROUTED)
 
     return run
@@ -273,9 +285,11 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, bodies = [], []
         for row in group:
             data = released(row["payload"])
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            heads.append(np.frombuffer(data, np.int64, 4 * n, 8).reshape(4, n))
-            bodies.append(data[8 * (4 * n + 1) :])
+            n = int.from_bytes(data[:8], "little")
+            head = from_planes(data[8 : 8 + 32 * n]).reshape(4, n)
+            head[0] = np.cumsum(head[0])
+            heads.append(head)
+            bodies.append(data[8 + 32 * n :])
         source = np.repeat(np.arange(len(group)), [x.shape[1] for x in heads])
         h, count, key, start = np.concatenate(heads, axis=1)
         size = count + LENGTH - 1
@@ -289,17 +303,23 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += int(size[order[end]])
                 end += 1
             own = order[begin:end]
-            text = b"".join([bodies[s][a : a + z] for s, a, z in zip(source[own].tolist(), at[own].tolist(), size[own].tolist(), strict=True)])
-            found = least_documents(text, size[own], count[own], key[own])
-            for i, part in zip(own.tolist(), np.split(found, np.cumsum(count[own])[:-1]), strict=True):
-                best[i] = part
+            place: dict[bytes, int] = {}  # segments that are equal as a whole are refined once
+            texts = (bodies[s][a : a + z] for s, a, z in zip(source[own].tolist(), at[own].tolist(), size[own].tolist(), strict=True))
+            group_of = np.fromiter((place.setdefault(t, len(place)) for t in texts), np.int64, len(own))
+            least = np.full(len(place), NO_DOC)
+            np.minimum.at(least, group_of, key[own])
+            _, one = np.unique(group_of, return_index=True)
+            counts = count[own][one]
+            parts = np.split(least_documents(b"".join(place), size[own][one], counts, least), np.cumsum(counts)[:-1])
+            for i, g in zip(own.tolist(), group_of.tolist(), strict=True):
+                best[i] = parts[g]
             begin = end
         rows = []
         for n, row in enumerate(group):
             mine = np.flatnonzero(source == n)
             if len(mine):
-                flat = np.concatenate([[len(mine)], start[mine], count[mine], *best[mine]]).astype(np.int64)
-                rows.append({"chunk": row["chunk"], "payload": pressed(flat.tobytes())})
+                flat = np.concatenate([[len(mine)], start[mine], count[mine], *best[mine]])
+                rows.append({"chunk": row["chunk"], "payload": pressed(planes(flat))})
         yield pa.RecordBatch.from_pylist(rows, schema=RETURNED)
 
 
@@ -311,7 +331,7 @@ def removed(chunk: Chunk, payloads: list[bytes] | None) -> np.ndarray:
     least = np.full(len(chunk.buf) + 1, NO_DOC)
     place: dict[bytes, np.ndarray] = {}
     for p in payloads or ():
-        flat = np.frombuffer(released(p), np.int64)
+        flat = from_planes(released(p))
         n = int(flat[0])
         start, count = flat[1 : n + 1], flat[n + 1 : 2 * n + 1]
         for a, c, own in zip(start.tolist(), count.tolist(), np.split(flat[2 * n + 1 :], np.cumsum(count)[:-1]), strict=True):
@@ -364,8 +384,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     routed, returned = "part long, chunk long, payload binary", "chunk long, payload binary"
     meet = lambda df: df.repartition("part").sortWithinPartitions("part")
     gather = lambda df: df.groupBy("chunk").agg(F.collect_list("payload").alias("payloads"))  # noqa: E731  bounded by the chunk's own runs
-    back = gather(meet(chunks.mapInArrow(filed(parts), routed)).mapInArrow(shared, returned))
-    cuts = chunks.join(back, "chunk").mapInArrow(segments(parts), routed)
-    verdicts = gather(meet(cuts).mapInArrow(refined, returned))
+    # each phase's small answer is written, so that its shuffle files can go before the next phase
+    back = cut(gather(meet(chunks.mapInArrow(filed(parts), routed)).mapInArrow(shared, returned)))
+    forget(df.sparkSession)
+    verdicts = cut(gather(meet(chunks.join(back, "chunk").mapInArrow(segments(parts), routed)).mapInArrow(refined, returned)))
+    forget(df.sparkSession)
     found = chunks.join(verdicts, "chunk", "left").mapInArrow(cleaned(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return found.withColumnRenamed("id", id_col)
