@@ -34,6 +34,7 @@ SHARD_DOCS = 8_192
 SHARD_POSTINGS = 2_000_000
 BLOCK = 64
 QUERY_BLOCK = 16_384
+FREQUENT, FREQUENT_SHARE = 512, 16
 SLACK = 1e-5
 TERMS = re.compile(r"[^\W_]+").findall
 
@@ -73,68 +74,66 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Posting lists by term, in blocks of documents, with each list's largest impact in each block."""
+    """Posting lists by term over blocks of documents, with each list's largest impact in each block.
+
+    The lists of frequent terms are laid out block by block, with a place for each document; those
+    of rare terms hold (document, impact) pairs.
+    """
 
     def __init__(self, docs: list[tuple[int, int, bytes, bytes]], mean_length: float):
         terms = [np.frombuffer(t, np.int64) for _, _, t, _ in docs]
         freqs = [np.frombuffer(f, np.int32) for _, _, _, f in docs]
         lead = [int(t[np.argmax(f)]) if len(t) else 0 for t, f in zip(terms, freqs, strict=True)]
         order = sorted(range(len(docs)), key=lambda n: (lead[n], docs[n][1], docs[n][0]))
+        self.blocks = -(-len(order) // BLOCK)
         self.ids = np.array([docs[n][0] for n in order], np.int64)
         length = np.array([docs[n][1] for n in order], np.float64)
-        doc = np.repeat(np.arange(len(order)), [len(terms[n]) for n in order])
+        doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(terms[n]) for n in order])
         tf = np.concatenate([freqs[n] for n in order]).astype(np.float64)
         every = np.concatenate([terms[n] for n in order])
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
-        by_term = np.argsort(every, kind="stable")  # documents stay in order within a list
-        every, self.doc, self.impact = every[by_term], doc[by_term].astype(np.int32), impact[by_term]
-        self.blocks = -(-len(order) // BLOCK)
-        block = self.doc // BLOCK
-        new_term = np.concatenate([[True], every[1:] != every[:-1]])
-        entry = np.flatnonzero(new_term | np.concatenate([[True], block[1:] != block[:-1]]))
-        self.entry, self.entry_size = entry, np.diff(np.concatenate([entry, [len(every)]]))
-        self.entry_block, self.entry_max = block[entry], np.maximum.reduceat(self.impact, entry)
-        self.terms = every[new_term]
-        self.first = np.searchsorted(entry, np.flatnonzero(new_term))
-        self.n_entries = np.diff(np.concatenate([self.first, [len(entry)]]))
+        by_term = np.argsort(every, kind="stable")
+        every, self.doc, self.impact = every[by_term], doc[by_term], impact[by_term]
+        self.first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.terms, self.size = every[self.first], np.diff(np.concatenate([self.first, [len(every)]]))
+        frequent = np.flatnonzero(self.size >= max(2, len(order) // FREQUENT_SHARE))
+        frequent = frequent[np.argsort(-self.size[frequent], kind="stable")[:FREQUENT]]
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        at = ranges(self.first[frequent], self.size[frequent])
+        self.laid = np.zeros((self.blocks, len(frequent), BLOCK))
+        self.laid[self.doc[at] // BLOCK, np.repeat(np.arange(len(frequent)), self.size[frequent]), self.doc[at] % BLOCK] = self.impact[at]
+        self.block_max = np.ascontiguousarray(self.laid.max(axis=2).T)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, heap: list[tuple[float, int]]) -> None:
-        """Into the heap of (score, -id), the worst on top, what of this shard belongs to the k best."""
+        """Into the heap of (score, -id), the worst on top, what of this shard belongs to the k best.
+
+        A block's bound is the weighted sum of the frequent lists' block maxima and the largest sum
+        that the rare lists reach in it. Blocks are read from the highest bound on, until none can
+        reach the k-th best score.
+        """
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         own = self.terms[at] == terms
         at, weights = at[own], weights[own]
-        if not len(at):
-            return
-        entries = ranges(self.first[at], self.n_entries[at])
-        weight = np.repeat(weights, self.n_entries[at])
-        block = self.entry_block[entries]
-        bound = np.bincount(block, weight * self.entry_max[entries], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        done, step = 0, 4
-        while done < len(order):
-            least = heap[0][0] if len(heap) == k else 0.0
-            part = order[done : done + step]
-            part = part[(bound[part] > 0) & (bound[part] + SLACK >= least)]
-            if not len(part):
-                return  # bounds only fall from here on
-            done, step = done + step, step * 2
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            picked = chosen[block]
-            e = entries[picked]
-            postings = ranges(self.entry[e], self.entry_size[e])
-            score = np.bincount(self.doc[postings], np.repeat(weight[picked], self.entry_size[e]) * self.impact[postings], len(self.ids))
-            score = np.round(score, 6)
-            found = np.flatnonzero(score >= max(least, 1e-6))
-            if len(found) > k:
-                best = np.lexsort((self.ids[found], -score[found]))[:k]
-                found = found[best]
-            for s, i in zip(score[found].tolist(), self.ids[found].tolist(), strict=True):
+        row = self.row[at]
+        lists, frequent = row[row >= 0], weights[row >= 0]
+        at, weights = at[row < 0], weights[row < 0]
+        postings = ranges(self.first[at], self.size[at])
+        rare = np.bincount(self.doc[postings], np.repeat(weights, self.size[at]) * self.impact[postings], self.blocks * BLOCK).reshape(-1, BLOCK)
+        bound = frequent @ self.block_max[lists] + rare.max(axis=1)
+        for b in np.argsort(-bound, kind="stable").tolist():
+            least = heap[0][0] if len(heap) == k else 1e-6
+            if bound[b] + SLACK < least:
+                return
+            score = np.round(frequent @ self.laid[b, lists] + rare[b], 6)
+            found = np.flatnonzero(score >= least)
+            for n in found.tolist():
+                hit = (float(score[n]), -int(self.ids[b * BLOCK + n]))
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -i))
-                elif (s, -i) > heap[0]:
-                    heapq.heapreplace(heap, (s, -i))
+                    heapq.heappush(heap, hit)
+                elif hit > heap[0]:
+                    heapq.heapreplace(heap, hit)
 
 
 def searched(k: int, mean_length: float):

@@ -36,15 +36,14 @@ def test_pruned_equals_full():
         weights = rng.random(len(terms)) * 5
         heap = []
         shard.search(terms, weights, 10, heap)
-        at = np.isin(shard.terms, terms)
         full = np.zeros(len(docs))
-        bounds = np.concatenate([np.searchsorted(shard.entry, shard.entry[shard.first]), [len(shard.entry)]])
-        for t in np.flatnonzero(at):
-            a = shard.entry[bounds[t]]
-            b = shard.entry[bounds[t + 1]] if t + 1 < len(shard.terms) else len(shard.doc)
-            np.add.at(full, shard.doc[a:b], weights[np.searchsorted(terms, shard.terms[t])] * shard.impact[a:b])
+        for n, (_, length, own, tf) in enumerate(docs):
+            own, tf = np.frombuffer(own, np.int64), np.frombuffer(tf, np.int32).astype(float)
+            both = np.isin(own, terms)
+            impact = tf[both] * (s.K1 + 1) / (tf[both] + s.K1 * (1 - s.B + s.B * length / 100.0))
+            full[n] = (weights[np.searchsorted(terms, own[both])] * impact).sum()
         full = np.round(full, 6)
-        best = sorted(zip(-full, shard.ids, strict=True))[:10]
+        best = sorted(zip((-full).tolist(), range(len(docs)), strict=True))[:10]
         assert sorted(heap, reverse=True) == [(-x, -i) for x, i in best]
 
 
