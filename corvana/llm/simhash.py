@@ -226,11 +226,16 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
 
 def labelled(rows: DataFrame) -> DataFrame:
-    """(fp, first, component_id) of the distinct fingerprints in rows (id, fp); first: the smallest id with that fingerprint."""
+    """(fp, first, component_id, root) of the distinct fingerprints in rows (id, fp).
+
+    first: the smallest id with that fingerprint; root: the component's smallest fingerprint, which
+    tells components apart where ids are null or repeated.
+    """
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     nodes = components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
     least = nodes.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    return distinct.join(nodes.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", "first", F.coalesce("component_id", "first").alias("component_id"))
+    found = distinct.join(nodes.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
+    return found.select("fp", "first", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
@@ -261,7 +266,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     rows = cut(fingerprint_rows(df, id_col, text_col, words))
     chosen = labelled(rows)
-    chosen = chosen.where("first <=> component_id").groupBy("component_id").agg(F.min_by("fp", F.struct("first", "fp")).alias("fp")).withColumnRenamed("component_id", "keep_id")
+    chosen = chosen.where("first <=> component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("keep_id"))
     counted = chosen.join(rows, (chosen.fp == rows.fp) & chosen.keep_id.eqNullSafe(rows.id)).groupBy(chosen.fp, "keep_id").agg(F.count("*").alias("copies"))
     counted = cut(counted)
     marked = spread.mapInArrow(mapper(kernel, "t", 4 << 20), schema)

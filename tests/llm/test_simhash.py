@@ -85,3 +85,11 @@ def test_rows(spark):
     only_null = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     assert [r.component_id for r in s.near_duplicates(only_null).collect()] == [None, None]
     assert s.keep_first(only_null).count() == 1
+
+
+def test_keep_first_by_component(spark):
+    first, other, third = "alpha beta gamma delta epsilon", "nine entirely different words stand in this one here", "and a last text about something else again"
+    rows = [(None, first), (None, other), (None, other), (1, third), (1, "some more words under a repeated number"), (2, third)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or -1, r.text) for r in s.keep_first(df).collect())
+    assert kept == sorted([(-1, first), (-1, other), (1, third), (1, rows[4][1])])
