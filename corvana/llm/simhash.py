@@ -15,7 +15,7 @@ spanning forest is passed on, so a group of copies never becomes all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -232,7 +232,12 @@ def labelled(rows: DataFrame) -> DataFrame:
     tells components apart where ids are null or repeated.
     """
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    nodes = components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
+    return components_of(distinct, fingerprint_links(distinct))
+
+
+def components_of(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """labelled() of distinct (fp, first) by the given links (a, b) between fps."""
+    nodes = components(links).withColumnRenamed("node", "fp")
     least = nodes.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     found = distinct.join(nodes.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
     return found.select("fp", "first", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
@@ -255,17 +260,21 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     A component without any id keeps one row. Every other column is kept as it is.
     """
+    rows = cut(fingerprint_rows(df, id_col, text_col, words))
+    return first_rows(df, id_col, text_col, rows, labelled(rows), lambda texts: fingerprints(texts, words).view(np.int64))
+
+
+def first_rows(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, chosen: DataFrame, prints: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """keep_first() for the (id, fp) rows of df, the labelled() fps, and prints, which gives the fps of texts."""
     columns = df.columns
     given = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     spread = given.select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("t"))
     schema = spread.select("row", "id", F.lit(0).cast("long").alias("fp")).schema
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array(fingerprints(batch.column("t").to_pylist(), words).view(np.int64))
+        found = pa.array(prints(batch.column("t").to_pylist()))
         return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), found], names=["row", "id", "fp"])
 
-    rows = cut(fingerprint_rows(df, id_col, text_col, words))
-    chosen = labelled(rows)
     chosen = chosen.where("first <=> component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("keep_id"))
     counted = chosen.join(rows, (chosen.fp == rows.fp) & chosen.keep_id.eqNullSafe(rows.id)).groupBy(chosen.fp, "keep_id").agg(F.count("*").alias("copies"))
     counted = cut(counted)
