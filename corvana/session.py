@@ -46,3 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """cut() of df dealt by keys and sorted by them in each partition; joins on the keys with as many partitions find it so and don't shuffle it.
+
+    Only a plan without adaptive execution tells Spark how its rows are dealt, so that is off while this one is made.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(partitions, *keys).sortWithinPartitions(*keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
