@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,11 @@ from pyspark.sql import functions as F
 from corvana.llm.batches import mapper
 from corvana.session import cut
 
+#: The turn of a message without one: after all others.
+LAST = (1 << 63) - 1
+#: Needs that are followed together in one task.
+PART_ROWS = 200_000
+
 TYPES = {
     "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str),
     "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(),
@@ -133,8 +139,8 @@ def event_rows(df: DataFrame, schemas: dict[str, dict], conv_col: str, turn_col:
 
 
 def linked(tools: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uid, first) of the calls that results belong to, with has_result; and the edges (before, after) of what must follow what."""
-    calls = tools.where("kind = 'call' and call_id is not null").groupBy("conv", "call_id").agg(F.min_by("uid", F.struct("turn", "h", "seq")).alias("call"))
+    """(conv, call_id, call, result) uids of the calls that results belong to; and the edges (before, after) of what must follow what."""
+    calls = tools.where("kind = 'call' and call_id is not null").groupBy("conv", "call_id").agg(F.min_by("uid", F.struct("at", "h", "seq")).alias("call"))
     results = tools.where("kind = 'result' and call_id is not null").select("conv", "call_id", F.col("uid").alias("result")).distinct()
     links = calls.alias("c").join(results.alias("r"), F.col("c.conv").eqNullSafe(F.col("r.conv")) & (F.col("c.call_id") == F.col("r.call_id")), "left")
     links = cut(links.select("c.conv", "c.call_id", "call", "result"))
@@ -145,49 +151,98 @@ def linked(tools: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, cut(edges)
 
 
-def ordered(tools: DataFrame, edges: DataFrame) -> DataFrame:
-    """(uid, eff, depth, cyclic): each event's turn after moving it behind what it needs, by rounds of resolved events.
-
-    Rounds are as many as the longest chain of needs. Events on or behind a cycle keep their turn.
+PLACE = pa.schema([("uid", pa.string()), ("eff", pa.int64()), ("depth", pa.int32())])
+
+
+def placed_after(at: dict[str, int], needs: dict[str, list[str]], known: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
+    """(eff, depth) of the events all of whose needs are known or follow from known ones, in topological order."""
+    missing = {uid: sum(b not in known for b in own) for uid, own in needs.items()}
+    waiting: dict[str, list[str]] = {}
+    for uid, own in needs.items():
+        for b in own:
+            if b not in known:
+                waiting.setdefault(b, []).append(uid)
+    found, ready = {}, [uid for uid, n in missing.items() if not n]
+    while ready:
+        uid = ready.pop()
+        eff, depth = max(found.get(b) or known[b] for b in needs[uid])
+        found[uid] = max((at[uid], 0), (eff, depth + 1))
+        for other in waiting.get(uid, ()):
+            missing[other] -= 1
+            if not missing[other]:
+                ready.append(other)
+    return found
+
+
+def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the events of each part that its rows (part, after, at, before, eff, depth) settle; rows are sorted by part."""
+    part, at, needs, known = None, {}, {}, {}
+
+    def out() -> pa.RecordBatch:
+        found = placed_after(at, needs, known)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip((found, [x[0] for x in found.values()], [x[1] for x in found.values()]), PLACE.types, strict=True)], schema=PLACE)
+
+    for batch in batches:
+        for p, after, turn, before, eff, depth in zip(*(batch.column(c).to_pylist() for c in ("part", "after", "at", "before", "eff", "depth")), strict=True):
+            if p != part:
+                yield out()
+                part, at, needs, known = p, {}, {}, {}
+            at[after] = turn
+            needs.setdefault(after, []).append(before)
+            if eff is not None:
+                known[before] = (eff, depth)
+    yield out()
+
+
+def ordered(tools: DataFrame, edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(uid, eff, depth, cyclic): each event's turn after moving it behind what it needs.
+
+    The needs are dealt into parts of about part_rows by conversation and turn, and each round every
+    part follows its chains as far as they lead; another round is due only where a chain has crossed
+    from one part to another. Events on or behind a cycle keep their turn.
     """
-    nodes = tools.groupBy("uid").agg(F.min("turn").alias("turn"))
-    waiting = edges.select(F.col("after").alias("uid")).distinct()
-    done = cut(nodes.join(waiting, "uid", "left_anti").select("uid", F.col("turn").alias("eff"), F.lit(0).alias("depth")))
+    nodes = tools.select("uid", "conv", "at").dropDuplicates(["uid"])
+    needing = edges.join(nodes.withColumnRenamed("uid", "after"), "after")
+    known = cut(nodes.join(edges.select(F.col("after").alias("uid")).distinct(), "uid", "left_anti").select("uid", F.col("at").alias("eff"), F.lit(0).alias("depth")))
+    parts = max(1, -(-edges.count() // part_rows))
+    pending = cut(needing.repartitionByRange(parts, "conv", "at", "after").select("after", "at", "before", F.spark_partition_id().alias("part")))
     while True:
-        seen = edges.join(done, edges.before == done.uid, "left").groupBy("after").agg(F.count("*").alias("n"), F.count("uid").alias("known"), F.max(F.struct("eff", (F.col("depth") + 1).alias("depth"))).alias("need"))
-        ready = seen.where("n = known").join(done.select(F.col("uid").alias("after")), "after", "left_anti").join(nodes, F.col("after") == nodes.uid)
-        key = F.greatest(F.struct(F.col("turn").alias("eff"), F.lit(0).alias("depth")), F.col("need"))
-        ready = cut(ready.select("uid", key["eff"].alias("eff"), key["depth"].alias("depth")))
-        if ready.isEmpty():
+        rows = pending.join(known.withColumnRenamed("uid", "before"), "before", "left")
+        new = cut(rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(resolved, "uid string, eff long, depth int"))
+        if new.isEmpty():
+            break
+        known = cut(known.union(new))
+        pending = cut(pending.join(new.select(F.col("uid").alias("after")), "after", "left_anti"))
+        if pending.isEmpty():
             break
-        done = cut(done.union(ready))
-    rest = nodes.join(done, "uid", "left_anti").select("uid", F.col("turn").alias("eff"), F.lit(0).alias("depth"), F.lit(True).alias("cyclic"))
-    return done.withColumn("cyclic", F.lit(False)).union(rest)
+    rest = nodes.join(known, "uid", "left_anti").select("uid", F.col("at").alias("eff"), F.lit(0).alias("depth"), F.lit(True).alias("cyclic"))
+    return known.withColumn("cyclic", F.lit(False)).union(rest)
 
 
-def chat(df: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def chat(df: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """(conv_col, position, turn_col, role, kind, call_id, linked, valid, error, line): a row for each event of each message.
 
     position counts from 0 in each conversation. linked: whether a call has a result, or a result a
-    call; where a call's identifier repeats, its first call has the results. valid: whether a call's
-    arguments keep the schema of its tool; error says why not (also for unknown tools). Both are
-    null where they don't apply. Text that isn't such JSON, also null and empty text, is a plain
-    message. Null conversations form one of their own; null turns come last; messages of equal turns
-    follow in the order of their hash, so repeated rows stand together. Only the four columns are read.
+    call; where a call's identifier repeats, its first call in order has the results. valid: whether
+    a call's arguments keep the schema of its tool; error says why not (also for unknown tools). Both
+    are null where they don't apply. Text that isn't such JSON, also null and empty text, is a plain
+    message; texts are written whole, however long. Null conversations form one of their own; null
+    turns come last, and so does what needs them; messages of equal turns follow in the order of
+    their hash, so repeated rows stand together. Only the four columns are read.
     """
-    events = event_rows(df, schemas, conv_col, turn_col, role_col, text_col)
     uid = F.concat_ws(":", F.coalesce(F.col("conv").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")), "h", "seq")
-    tools = cut(events.where("kind <> 'message'").withColumn("uid", uid).select("uid", "conv", "turn", "h", "seq", "kind", "call_id", "after"))
-    events = events.withColumn("uid", uid)
+    events = event_rows(df, schemas, conv_col, turn_col, role_col, text_col).withColumns({"uid": uid, "at": F.coalesce("turn", F.lit(LAST))})
+    events = cut(events)  # parsed once
+    tools = events.where("kind <> 'message'").select("uid", "conv", "at", "h", "seq", "kind", "call_id", "after")
     if tools.isEmpty():
-        events = events.withColumns({"eff": F.col("turn"), "depth": F.lit(0), "cyclic": F.lit(False), "partner": F.lit(False)})
+        events = events.withColumns({"eff": F.col("at"), "depth": F.lit(0), "cyclic": F.lit(False), "partner": F.lit(False)})
     else:
         links, edges = linked(tools)
-        places = ordered(tools, edges)
+        places = ordered(tools, edges, part_rows)
         partners = links.where("result is not null").select(F.explode(F.array("call", "result")).alias("uid")).distinct().withColumn("partner", F.lit(True))
-        events = events.join(places, "uid", "left").join(partners, "uid", "left").withColumns({"eff": F.coalesce("eff", "turn"), "depth": F.coalesce("depth", F.lit(0))})
-    keys = [F.asc_nulls_first("conv"), F.asc_nulls_last("eff"), F.asc("depth"), F.asc_nulls_last("turn"), F.asc("h"), F.asc("seq")]
-    ranged = cut(events.repartitionByRange(*keys).withColumn("pid", F.spark_partition_id()))
+        events = events.join(places, "uid", "left").join(partners, "uid", "left").withColumns({"eff": F.coalesce("eff", "at"), "depth": F.coalesce("depth", F.lit(0))})
+    keys = [F.asc_nulls_first("conv"), F.asc("eff"), F.asc("depth"), F.asc("at"), F.asc("h"), F.asc("seq")]
+    ranged = cut(events.drop("uid", "after").repartitionByRange(*keys).withColumn("pid", F.spark_partition_id()))
     counts = ranged.groupBy("conv", "pid").agg(F.count("*").alias("n"))
     before = counts.select("conv", "pid", F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     local = ranged.withColumn("local", F.row_number().over(Window.partitionBy("conv", "pid").orderBy(*keys[1:])))
