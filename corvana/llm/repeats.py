@@ -3,7 +3,8 @@
 Every 50-byte string has an anchor that its bytes alone choose: the 24-gram of least hash among its
 27. So equal strings meet under their anchor's hash, a sparse form of the initial q-gram buckets.
 
-1. Documents are packed into compressed chunks, written once.
+1. Documents are packed into compressed chunks, dealt over the tasks and written once; what comes back
+   to a chunk meets it where it lies.
 2. Each chunk files the hashes of its anchors; those found in two documents come back to the chunks.
    All that is unique, most of the text, ends here.
 3. Runs of strings with a shared anchor are cut out, once for each chunk if they repeat in it, with
@@ -14,7 +15,12 @@ Every 50-byte string has an anchor that its bytes alone choose: the 24-gram of l
 4. Each chunk drops the bytes of strings that a smaller document has.
 
 Hashes only gather candidates; equality is decided on bytes. A passage that many documents share
-reaches its bucket once for each chunk, not for each document.
+reaches its bucket once for each chunk, not for each document. A hot anchor, one that a chunk has in
+more than HOT contexts (blanks, a frequent phrase), would gather unlike strings in one place: its
+strings are cut out one by one and meet by their own hash.
+
+Chunks and parts are sized in bytes, so a chunk files chunks x parts = text^2 / (chunk x part bytes)
+payloads; both sizes are parameters, to be raised with the memory of the workers.
 """
 
 from __future__ import annotations
@@ -24,19 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvana.llm.batches import forget
-from corvana.session import cut
+from corvana.llm.batches import give_back
+from corvana.session import cut, cut_by
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, PART_BYTES = 8 << 20, 64 << 20
 TILE = 1 << 18
 BATCH_BYTES = 2 << 20
+ANCHOR_BYTES = 14  # a text has an anchor for about so many bytes
+HOT = 64
 NO_DOC = np.iinfo(np.int64).max
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -60,21 +69,20 @@ def words_at(buf: np.ndarray, start: int, n: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", buf, start, (1,))
 
 
-def runs(buf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(buf: np.ndarray, first: np.ndarray, bits: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, count, hash) of runs of neighbouring 50-byte strings with one anchor; first: where documents start, and the end.
 
     Works through the buffer in tiles, so a very long text needs no more memory than its own.
     """
     size = np.diff(first) - LENGTH + 1
     own = size > 0
-    edge = np.zeros(len(buf) + 1, np.int32)
-    np.add.at(edge, first[:-1][own], 1)
-    np.add.at(edge, (first[:-1] + size)[own], -1)
-    valid = np.cumsum(edge[:-1]) > 0
+    begins, ends = first[:-1][own], (first[:-1] + size)[own]  # strings start in these ranges
     starts, counts, hashes = [], [], []
     for t in range(0, max(0, len(buf) - LENGTH + 1), TILE):
         n = min(TILE, len(buf) - LENGTH + 1 - t)
-        at = np.flatnonzero(valid[t : t + n])
+        lo, hi = np.searchsorted(ends, t, side="right"), np.searchsorted(begins, t + n)
+        a, b = np.maximum(begins[lo:hi], t), np.minimum(ends[lo:hi], t + n)
+        at = ranges(a - t, b - a)
         if not len(at):
             continue
         m = n + SPAN - 1
@@ -91,12 +99,17 @@ def runs(buf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         begin = np.flatnonzero(new)
         starts.append(at[begin] + t)
         counts.append(np.diff(np.concatenate([begin, [len(at)]])))
-        hashes.append(h[anchor[begin]] >> np.uint64(16))
+        hashes.append(h[anchor[begin]] >> np.uint64(64 - bits))
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes)
 
 
+def hash_bits(total: int) -> int:
+    """So many bits that one anchor in thousands meets another's hash by chance."""
+    return min(48, max(32, (total // ANCHOR_BYTES + 1).bit_length() + 12))
+
+
 class Chunk:
     """Documents' ids (with a mark for null) and bytes, one after the other."""
 
@@ -112,26 +125,31 @@ class Chunk:
         return np.searchsorted(self.first, at, side="right") - 1
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of about CHUNK_BYTES, at least one document each, numbered by task and order."""
-    ids, texts, held, n = [], [], 0, 0
+def packed(chunk_bytes: int):
+    """Chunks of about chunk_bytes, at least one document each, numbered by task and order."""
 
-    def out() -> pa.RecordBatch:
-        meta = np.array([[i or 0 for i in ids], [i is None for i in ids], [len(t) for t in texts]], np.int64)
-        row = {"chunk": (TaskContext.get().partitionId() << 32) + n, "size": held, "meta": pressed(meta.tobytes()), "blob": pressed(b"".join(texts))}
-        return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("meta", pa.binary()), ("blob", pa.binary())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held, n = [], [], 0, 0
 
-    for batch in batches:
-        for i, t in zip(batch.column("id").to_pylist(), batch.column("t"), strict=True):
-            data = t.as_py() or b""
-            if ids and held + len(data) > CHUNK_BYTES:
-                yield out()
-                ids, texts, held, n = [], [], 0, n + 1
-            ids.append(i)
-            texts.append(data)
-            held += len(data)
-    if ids:
-        yield out()
+        def out() -> pa.RecordBatch:
+            meta = np.array([[i or 0 for i in ids], [i is None for i in ids], [len(t) for t in texts]], np.int64)
+            row = {"chunk": (TaskContext.get().partitionId() << 32) + n, "meta": pressed(meta.tobytes()), "blob": pressed(b"".join(texts))}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.int64()), ("meta", pa.binary()), ("blob", pa.binary())]))
+
+        for batch in batches:
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("t"), strict=True):
+                data = t.as_py() or b""
+                if ids and held + len(data) > chunk_bytes:
+                    yield out()
+                    ids, texts, held, n = [], [], 0, n + 1
+                ids.append(i)
+                texts.append(data)
+                held += len(data)
+        if ids:
+            yield out()
+        give_back()
+
+    return run
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -167,23 +185,44 @@ def by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 ROUTED = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
-RETURNED = pa.schema([("chunk", pa.int64()), ("payload", pa.binary())])
+RETURNED = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
+
 
+def contexts(chunk: Chunk, start: np.ndarray, count: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchor hashes of the runs, and in how many different runs each stands, counted up to HOT + 1."""
+    order = np.argsort(h, kind="stable")
+    rising = h[order]
+    first = np.flatnonzero(np.concatenate([[True], rising[1:] != rising[:-1]])) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([first, [len(h)]]))
+    out = np.minimum(sizes, HOT)
+    for g in np.flatnonzero(sizes > HOT).tolist():
+        seen: set[bytes] = set()
+        for i in order[first[g] : first[g] + sizes[g]].tolist():
+            seen.add(chunk.bytes[start[i] : start[i] + count[i] + LENGTH - 1])
+            if len(seen) > HOT:
+                break
+        out[g] = len(seen)
+    return rising[first], out
+
+
+def filed(parts: int, bits: int):
+    """Each chunk's distinct anchor hashes for each part: once; twice: in two of its documents; three times: hot."""
 
-def filed(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row["meta"], row["blob"])
-                start, _, h = runs(chunk.buf, chunk.first)
+                start, count, h = runs(chunk.buf, chunk.first, bits)
+                values, n_contexts = contexts(chunk, start, count, h)
                 doc = chunk.doc_of(start)
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 own = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
-                values, n = np.unique(h[own], return_counts=True)
-                values = np.repeat(values, np.minimum(n, 2))  # twice: in two documents of this chunk
+                n = np.minimum(np.unique(h[own], return_counts=True)[1], 2)
+                values = np.repeat(values, np.where(n_contexts > HOT, 3, n))
                 rows = [{"part": p, "chunk": row["chunk"], "payload": squeezed(values[at])} for p, at in by_part(values, parts)]
                 yield pa.RecordBatch.from_pylist(rows, schema=ROUTED)
+        give_back()
 
     return run
 
@@ -202,47 +241,72 @@ def part_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Back to each chunk: its hashes that are in two documents, twice those that are hot in any chunk."""
     for group in part_groups(batches):
         found = [unsqueezed(row["payload"]) for row in group]
-        values, n = np.unique(np.concatenate(found), return_counts=True)
+        every = np.concatenate(found)
+        every.sort()
+        values, n = np.unique(every, return_counts=True)
         values = values[n > 1]
+        del every, n
+        hot = np.unique(np.concatenate([own[2:][own[2:] == own[:-2]] for own in found]))
         rows = []
         for row, own in zip(group, found, strict=True):
-            at = np.searchsorted(values, own)
-            at[at == len(values)] = 0
-            both = np.unique(own[values[at] == own]) if len(values) else values
+            own = np.unique(own)
+            both = own[among(own, values)]
             if len(both):
-                rows.append({"chunk": row["chunk"], "payload": squeezed(both)})
+                both = np.sort(np.concatenate([both, both[among(both, hot)]]))
+                rows.append({"chunk": row["chunk"], "n": len(both), "payload": squeezed(both)})
         yield pa.RecordBatch.from_pylist(rows, schema=RETURNED)
+    give_back()
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
 
+def one_by_one(chunk: Chunk, start: np.ndarray, count: np.ndarray, h: np.ndarray, hot: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, count, hash, single) where the strings of runs with a hot anchor stand alone, under their own hash."""
+    is_hot = among(h, hot)
+    singles = ranges(start[is_hot], count[is_hot])
+    own = np.fromiter((xxhash.xxh3_64_intdigest(chunk.bytes[a : a + LENGTH]) >> (64 - bits) for a in singles.tolist()), np.uint64, len(singles))
+    rest = ~is_hot
+    ones, single = np.ones(len(singles), np.int64), np.concatenate([np.zeros(int(rest.sum()), bool), np.ones(len(singles), bool)])
+    return np.concatenate([start[rest], singles]), np.concatenate([count[rest], ones]), np.concatenate([h[rest], own]), single
 
-def segments(parts: int):
-    """Distinct runs with shared anchors, for each part: hashes, counts, smallest document, place of the first, bytes."""
+
+def segments(parts: int, bits: int):
+    """Distinct runs with shared anchors, for each part: hashes, counts, smallest and largest document, place of the first (twice it, and one more for a string of a hot anchor), bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row["meta"], row["blob"])
                 known = np.sort(np.concatenate([unsqueezed(p) for p in row["payloads"]]))
-                start, count, h = runs(chunk.buf, chunk.first)
-                at = np.searchsorted(known, h)
-                at[at == len(known)] = 0
-                own = known[at] == h
-                start, count, h = start[own], count[own], h[own]
+                start, count, h = runs(chunk.buf, chunk.first, bits)
+                own = among(h, known)
+                start, count, h, single = one_by_one(chunk, start[own], count[own], h[own], known[1:][known[1:] == known[:-1]], bits)
                 key = chunk.key[chunk.doc_of(start)]
                 place: dict[bytes, int] = {}
                 data = chunk.bytes
                 group = np.fromiter((place.setdefault(data[a:b], len(place)) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)), np.int64, len(start))
-                least = np.full(len(place), NO_DOC)
+                least, most = np.full(len(place), NO_DOC), np.full(len(place), np.iinfo(np.int64).min)
                 np.minimum.at(least, group, key)
+                np.maximum.at(most, group, key)
                 _, first = np.unique(group, return_index=True)
-                start, count, h, texts = start[first], count[first], h[first], list(place)
+                start, count, h, texts = 2 * start[first] + single[first], count[first], h[first], list(place)
                 rows = []
                 for p, at in by_part(h, parts):
                     at = at[np.argsort(h[at], kind="stable")]
-                    head = planes(np.concatenate([np.diff(h[at].view(np.int64), prepend=0), count[at], least[at], start[at]]))
+                    head = planes(np.concatenate([np.diff(h[at].view(np.int64), prepend=0), count[at], least[at], most[at], start[at]]))
                     rows.append({"part": p, "chunk": row["chunk"], "payload": pressed(len(at).to_bytes(8, "little") + head + b"".join([texts[i] for i in at.tolist()]))})
                 yield pa.RecordBatch.from_pylist(rows, schema=ROUTED)
+        give_back()
 
     return run
 
@@ -281,21 +345,22 @@ def least_documents(text: bytes, size: np.ndarray, count: np.ndarray, key: np.nd
 
 
 def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Back to each chunk: the smallest document of each string of its segments, where that is smaller than one of the chunk's that have it."""
     for group in part_groups(batches):
         heads, bodies = [], []
         for row in group:
-            data = released(row["payload"])
+            data = released(row.pop("payload"))
             n = int.from_bytes(data[:8], "little")
-            head = from_planes(data[8 : 8 + 32 * n]).reshape(4, n)
+            head = from_planes(data[8 : 8 + 40 * n]).reshape(5, n)
             head[0] = np.cumsum(head[0])
             heads.append(head)
-            bodies.append(data[8 + 32 * n :])
+            bodies.append(data[8 + 40 * n :])
         source = np.repeat(np.arange(len(group)), [x.shape[1] for x in heads])
-        h, count, key, start = np.concatenate(heads, axis=1)
+        h, count, key, most, start = np.concatenate(heads, axis=1)
         size = count + LENGTH - 1
         at = np.concatenate([np.cumsum(s + LENGTH - 1) - (s + LENGTH - 1) for s in (x[1] for x in heads)])
         order = np.argsort(h, kind="stable")
-        best = np.empty(len(h), object)
+        best, best_at = np.zeros(int(count.sum()), np.int64), np.cumsum(count) - count
         begin = 0
         while begin < len(order):  # whole groups of one hash, about BATCH_BYTES at a time
             end, held = begin, 0
@@ -310,84 +375,117 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.minimum.at(least, group_of, key[own])
             _, one = np.unique(group_of, return_index=True)
             counts = count[own][one]
-            parts = np.split(least_documents(b"".join(place), size[own][one], counts, least), np.cumsum(counts)[:-1])
-            for i, g in zip(own.tolist(), group_of.tolist(), strict=True):
-                best[i] = parts[g]
+            found = least_documents(b"".join(place), size[own][one], counts, least)
+            best[ranges(best_at[own], count[own])] = found[ranges((np.cumsum(counts) - counts)[group_of], count[own])]
             begin = end
-        rows = []
-        for n, row in enumerate(group):
-            mine = np.flatnonzero(source == n)
+        smallest = np.minimum.reduceat(best, best_at) if len(best) else best
+        told = smallest < most
+        rows, ends = [], np.cumsum([x.shape[1] for x in heads]).tolist()
+        for row, begin, end in zip(group, [0, *ends], ends, strict=False):
+            mine = begin + np.flatnonzero(told[begin:end])
             if len(mine):
-                flat = np.concatenate([[len(mine)], start[mine], count[mine], *best[mine]])
-                rows.append({"chunk": row["chunk"], "payload": pressed(planes(flat))})
+                flat = np.concatenate([[len(mine)], start[mine], count[mine], best[ranges(best_at[mine], count[mine])]])
+                rows.append({"chunk": row["chunk"], "n": len(mine), "payload": pressed(planes(flat))})
         yield pa.RecordBatch.from_pylist(rows, schema=RETURNED)
+    give_back()
 
 
 RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
 
-def removed(chunk: Chunk, payloads: list[bytes] | None) -> np.ndarray:
-    """Whether each byte of the chunk goes."""
-    least = np.full(len(chunk.buf) + 1, NO_DOC)
+def removed(chunk: Chunk, payloads: list[bytes] | None, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(document, whether each of its bytes goes) for the chunk's documents in which any goes."""
     place: dict[bytes, np.ndarray] = {}
+    at, single = [], []
     for p in payloads or ():
         flat = from_planes(released(p))
         n = int(flat[0])
         start, count = flat[1 : n + 1], flat[n + 1 : 2 * n + 1]
-        for a, c, own in zip(start.tolist(), count.tolist(), np.split(flat[2 * n + 1 :], np.cumsum(count)[:-1]), strict=True):
+        at.append(start >> 1)
+        single.append(start & 1)
+        for a, c, own in zip((start >> 1).tolist(), count.tolist(), np.split(flat[2 * n + 1 :], np.cumsum(count)[:-1]), strict=True):
             place[chunk.bytes[a : a + c + LENGTH - 1]] = own
-    edge = np.zeros(len(chunk.buf) + 1, np.int64)
-    if place:
-        start, count, _ = runs(chunk.buf, chunk.first)
-        for a, c in zip(start.tolist(), count.tolist(), strict=True):
-            own = place.get(chunk.bytes[a : a + c + LENGTH - 1])
-            if own is not None:
-                least[a : a + c] = own
-        gone = np.flatnonzero(least != NO_DOC)
-        gone = gone[least[gone] < chunk.key[chunk.doc_of(gone)]]
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def cleaned(with_text: bool):
+    if not place:
+        return
+    start, count, h = runs(chunk.buf, chunk.first, bits)
+    at, single = np.concatenate(at), np.concatenate(single).astype(bool)
+    anchors = h[np.searchsorted(start, at, side="right") - 1]  # of the runs that they stand in
+    whole, hot = among(h, np.unique(anchors[~single])), np.unique(anchors[single])
+    starts, counts, least = [], [], []
+    for a, c in zip(start[whole].tolist(), count[whole].tolist(), strict=True):
+        own = place.get(chunk.bytes[a : a + c + LENGTH - 1])
+        if own is not None:
+            starts.append(a)
+            counts.append(c)
+            least.append(own)
+    is_hot = among(h, hot)
+    for a in ranges(start[is_hot], count[is_hot]).tolist():
+        own = place.get(chunk.bytes[a : a + LENGTH])
+        if own is not None:
+            starts.append(a)
+            counts.append(1)
+            least.append(own)
+    if not starts:
+        return
+    at = ranges(np.array(starts), np.array(counts))
+    doc = chunk.doc_of(at)
+    gone = np.concatenate(least) < chunk.key[doc]
+    at, doc = at[gone], doc[gone]
+    order = np.argsort(doc, kind="stable")
+    at, doc = at[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
+        n = int(doc[a])
+        edge = np.zeros(int(chunk.first[n + 1] - chunk.first[n]) + 1, np.int32)
+        own = at[a:b] - chunk.first[n]
+        np.add.at(edge, own, 1)
+        np.add.at(edge, own + LENGTH, -1)
+        yield n, np.cumsum(edge[:-1]) > 0
+
+
+def cleaned(with_text: bool, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row["meta"], row["blob"])
-                gone = removed(chunk, row["payloads"])
+                gone = dict(removed(chunk, row["payloads"], bits))
                 rows = []
                 for n, (a, b) in enumerate(zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist(), strict=True)):
-                    own = gone[a:b]
-                    lost = int(own.sum())
-                    kept = chunk.buf[a:b][~own].tobytes() if lost else chunk.bytes[a:b]
-                    spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if lost else 0
-                    rows.append((None if chunk.null[n] else int(chunk.ids[n]), b - a, lost, spans, kept if with_text else None, hashlib.sha256(kept).hexdigest()))
+                    own = gone.pop(n, None)
+                    kept = chunk.bytes[a:b] if own is None else chunk.buf[a:b][~own].tobytes()
+                    spans = 0 if own is None else int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
+                    rows.append((None if chunk.null[n] else int(chunk.ids[n]), b - a, b - a - len(kept), spans, kept if with_text else None, hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)], schema=RESULT)
+        give_back()
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept, kept_sha256): a row for each row of df.
 
     Each byte goes that lies in a 50-byte string which also starts in a document of a smaller id.
     kept: the remaining bytes (null unless with_text; they may cut through a character). A null
-    text counts as empty; texts under 50 bytes stay whole. Rows that repeat an id are documents of
-    equal rank: neither removes from the other. A null id ranks after all others. No rows give no
-    rows. Only the two columns are read.
+    text counts as empty; texts under 50 bytes stay whole; a text longer than chunk_bytes is a chunk
+    of its own. Rows that repeat an id are documents of equal rank: neither removes from the other. A
+    null id ranks after all others. No rows give no rows. Only the two columns are read.
+
+    A task holds a chunk of about chunk_bytes, and the anchors or segments of a part, those of about
+    part_bytes of text.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    chunks = cut(rows.mapInArrow(packed, "chunk long, size long, meta binary, blob binary"))
-    total = chunks.agg(F.sum("size").alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // CHUNK_BYTES))
-    routed, returned = "part long, chunk long, payload binary", "chunk long, payload binary"
-    meet = lambda df: df.repartition("part").sortWithinPartitions("part")
-    gather = lambda df: df.groupBy("chunk").agg(F.collect_list("payload").alias("payloads"))  # noqa: E731  bounded by the chunk's own runs
-    # each phase's small answer is written, so that its shuffle files can go before the next phase
-    back = cut(gather(meet(chunks.mapInArrow(filed(parts), routed)).mapInArrow(shared, returned)))
-    forget(df.sparkSession)
-    verdicts = cut(gather(meet(chunks.join(back, "chunk").mapInArrow(segments(parts), routed)).mapInArrow(refined, returned)))
-    forget(df.sparkSession)
-    found = chunks.join(verdicts, "chunk", "left").mapInArrow(cleaned(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    bits, cores = hash_bits(total), spark.sparkContext.defaultParallelism
+    tasks, parts = (max(2 * cores, -(-total // size)) for size in (chunk_bytes, part_bytes))
+    chunks = cut_by(rows.mapInArrow(packed(chunk_bytes), "chunk long, meta binary, blob binary"), tasks, "chunk")
+    routed, returned = "part long, chunk long, payload binary", "chunk long, n long, payload binary"
+    meet = lambda df, n: df.repartition(n, "part").sortWithinPartitions("part")
+    gather = lambda df: df.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("payload").alias("payloads"), F.sum("n").alias("n"))  # noqa: E731  bounded by the chunk's own runs
+    back = cut(gather(meet(chunks.mapInArrow(filed(parts, bits), routed), parts).mapInArrow(shared, returned)))
+    met = (back.agg(F.sum("n").alias("n")).first()["n"] or 0) * (LENGTH + ANCHOR_BYTES)  # bytes of shared segments, about
+    parts = max(2 * cores, -(-met // part_bytes))
+    cutout = chunks.join(back.repartition(tasks, "chunk"), "chunk").mapInArrow(segments(parts, bits), routed)
+    verdicts = gather(meet(cutout, parts).mapInArrow(refined, returned))
+    found = chunks.join(verdicts, "chunk", "left").mapInArrow(cleaned(with_text, bits), "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return found.withColumnRenamed("id", id_col)
