@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from corvana.session import cut
 
+#: A key is hot with more rows than this, and than this share of all, so that at most HOT_SHARE keys are broadcast.
+HOT_ROWS, HOT_SHARE = 1_000, 100_000
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once; a key that holds a large share of left meets right by broadcast, so its rows stay where they are."""
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    hot = cut(counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(key))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(hot)
+    met = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return met.unionByName(left.join(few, key, "left_anti").join(right, key, how))
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node with an edge can reach.
@@ -26,14 +41,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = live.groupBy(F.col("v").alias("high")).agg(F.min("u").alias("low"))
         jumped = lowest
         while True:  # chains of hooks shrink to half with each jump
-            step = jumped.alias("x").join(jumped.alias("y"), F.col("x.low") == F.col("y.high"), "left")
-            step = cut(step.select(F.col("x.high"), F.coalesce("y.low", "x.low").alias("low"), F.col("y.low").isNotNull().alias("moved")))
+            step = joined(jumped, jumped.select(F.col("high").alias("low"), F.col("low").alias("lower")), "low", "left")
+            step = cut(step.select("high", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")))
             jumped = step.select("high", "low")
             if step.where("moved").isEmpty():
                 break
-        parent = cut(parent.join(jumped, parent.root == jumped.high, "left").select("node", F.coalesce("low", "root").alias("root")))
+        parent = joined(parent, jumped.select(F.col("high").alias("root"), "low"), "root", "left")
+        parent = cut(parent.select("node", F.coalesce("low", "root").alias("root")))
         tops_u, tops_v = jumped.select(F.col("high").alias("u"), F.col("low").alias("top_u")), jumped.select(F.col("high").alias("v"), F.col("low").alias("top_v"))
-        mapped = live.join(tops_u, "u", "left").join(tops_v, "v", "left").select(F.coalesce("top_u", "u").alias("p"), F.coalesce("top_v", "v").alias("q"))
+        mapped = joined(joined(live, tops_u, "u", "left"), tops_v, "v", "left").select(F.coalesce("top_u", "u").alias("p"), F.coalesce("top_v", "v").alias("q"))
         live = cut(mapped.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         if live.isEmpty():
             return parent

@@ -10,26 +10,32 @@ meet, the budget of the longer chains is checked before the full Hamming distanc
 fixed number of rows for each distinct fingerprint, so the work grows with the input.
 
 Rows of the same fingerprint are one class from the start, and of the links found under one key a
-spanning forest is passed on, so a group of copies never becomes all its pairs.
+spanning forest is passed on, so a group of copies never becomes all its pairs. A key with more than
+FULL rows is filed anew under each byte of its other two segments: of two fingerprints within TAU
+bits, one of these four bytes is equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.batches import mapper
-from corvana.llm.components import components
+from corvana.llm.components import components, joined
 from corvana.session import cut
 
 TAU, SEGMENTS, WIDTH = 3, 4, 16
 SEED, SHINGLE = 42, 3
 BLOCK = 1 << 21
+FULL, FULL_SHARE = 20_000, 100_000
+START_BITS, BYTE_BITS = 8, 2 * WIDTH + 8
+#: Rows that are broadcast to mark others; more of them meet by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def lanes() -> np.ndarray:
@@ -77,19 +83,25 @@ def fingerprints(texts: list[str | None], words: int = SHINGLE) -> np.ndarray:
     return out
 
 
-FP_SCHEMA = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 KEY_SCHEMA = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("probe", pa.bool_())])
 
 
-def fingerprint_rows(df: DataFrame, id_col: str, text_col: str, words: int = SHINGLE) -> DataFrame:
-    """(id, fp): a row for each row of df, without a shuffle."""
+def text_key(text: Column) -> Column:
+    """Tells texts apart; a null text is like an empty one."""
+    return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def fingerprint_rows(df: DataFrame, id_col: str, text_col: str, words: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(id, fp), keyed also the text's key: a row for each row of df, without a shuffle."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = fingerprints(batch.column("t").to_pylist(), words).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found)], schema=FP_SCHEMA)
+        names = [n for n in batch.schema.names if n != "t"]
+        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found)], names=[*names, "fp"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(mapper(kernel, "t", 4 << 20), "id long, fp long")
+    key = [text_key(F.col(text_col)).alias("key")] if keyed else []
+    rows = df.select(F.col(id_col).cast("long").alias("id"), *key, F.col(text_col).alias("t"))
+    return rows.mapInArrow(mapper(kernel, "t", 4 << 20), f"id long, {'key string, ' if keyed else ''}fp long")
 
 
 def rotated(fp: np.ndarray, start: int) -> np.ndarray:
@@ -114,6 +126,23 @@ def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(probe))], schema=KEY_SCHEMA)
 
 
+def refiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of full keys under four keys each: the key and one byte of the ring's last two segments."""
+    for batch in batches:
+        key, fp = (batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in (0, 1))
+        rest = np.empty_like(fp)
+        start = key >> np.uint64(2 * WIDTH)
+        for n in range(SEGMENTS):
+            rest[start == n] = rotated(fp[start == n], n)
+        for byte in range(4):
+            place = np.uint64(256 * (byte + 1)) + (rest >> np.uint64(8 * byte) & np.uint64(255))
+            yield pa.RecordBatch.from_arrays([pa.array((key | place << np.uint64(BYTE_BITS)).view(np.int64)), batch.column(1), batch.column(2)], schema=KEY_SCHEMA)
+
+
+def start_of(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(2 * WIDTH) & np.uint64((1 << START_BITS) - 1)).astype(np.int64)
+
+
 def within_budget(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether the chain from start keeps its budget at three segments, and the whole ring at TAU bits."""
     diff = a ^ b
@@ -182,12 +211,12 @@ def links_of(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> tuple[np.nda
         left = np.repeat(left, reps)
         keep = (fp[left] != fp[right]) & (probe[right] | (left < right))
         left, right = left[keep], right[keep]
-        ok = within_budget(fp[left], fp[right], (key[left] >> np.uint64(2 * WIDTH)).astype(np.int64))
+        ok = within_budget(fp[left], fp[right], start_of(key[left]))
         a_out.append(fp[left[ok]])
         b_out.append(fp[right[ok]])
     for g in np.flatnonzero(busy & (size > 64)).tolist():
         part = slice(first[g], first[g] + size[g])
-        a, b = group_links(int(key[first[g]] >> np.uint64(2 * WIDTH)), fp[part], probe[part])
+        a, b = group_links(int(start_of(key[first[g]])), fp[part], probe[part])
         a_out.append(a)
         b_out.append(b)
     empty = np.zeros(0, np.uint64)
@@ -219,9 +248,14 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(x) for x in zip(*waiting, strict=True)])
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, full: int = FULL) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that differ in at most TAU bits, enough to connect all that are so linked."""
-    keys = distinct.select("fp").mapInArrow(filed, "key long, fp long, probe boolean")
+    keys = cut(distinct.select("fp").mapInArrow(filed, "key long, fp long, probe boolean"))
+    most = max(full, keys.count() // FULL_SHARE)  # so full keys are at most FULL_SHARE
+    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"))
+    if not crowded.isEmpty():
+        again = keys.join(F.broadcast(crowded), "key", "left_semi").mapInArrow(refiled, "key long, fp long, probe boolean")
+        keys = keys.join(F.broadcast(crowded), "key", "left_anti").union(again)
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
 
 
@@ -239,7 +273,7 @@ def components_of(distinct: DataFrame, links: DataFrame) -> DataFrame:
     """labelled() of distinct (fp, first) by the given links (a, b) between fps."""
     nodes = components(links).withColumnRenamed("node", "fp")
     least = nodes.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    found = distinct.join(nodes.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
+    found = distinct.join(joined(nodes, least, "root").select("fp", "root", "component_id"), "fp", "left")
     return found.select("fp", "first", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
@@ -251,35 +285,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows are kept. Only the two columns are read, so others don't matter.
     """
     rows = cut(fingerprint_rows(df, id_col, text_col, words))
-    found = rows.join(labelled(rows), "fp")
+    found = joined(rows, cut(labelled(rows)), "fp")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """df with one row of each component: that of the smallest id; of several rows that share this id and fingerprint, one stays.
+    """df with one row of each component: that of the smallest id; of several texts under this id and fingerprint that of the least key, of equal rows one.
 
     A component without any id keeps one row. Every other column is kept as it is.
     """
-    rows = cut(fingerprint_rows(df, id_col, text_col, words))
-    return first_rows(df, id_col, text_col, rows, labelled(rows), lambda texts: fingerprints(texts, words).view(np.int64))
-
-
-def first_rows(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, chosen: DataFrame, prints: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
-    """keep_first() for the (id, fp) rows of df, the labelled() fps, and prints, which gives the fps of texts."""
-    columns = df.columns
-    given = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    spread = given.select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("t"))
-    schema = spread.select("row", "id", F.lit(0).cast("long").alias("fp")).schema
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array(prints(batch.column("t").to_pylist()))
-        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), found], names=["row", "id", "fp"])
-
-    chosen = chosen.where("first <=> component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("keep_id"))
-    counted = chosen.join(rows, (chosen.fp == rows.fp) & chosen.keep_id.eqNullSafe(rows.id)).groupBy(chosen.fp, "keep_id").agg(F.count("*").alias("copies"))
-    counted = cut(counted)
-    marked = spread.mapInArrow(mapper(kernel, "t", 4 << 20), schema)
-    kept = marked.join(counted.withColumnRenamed("fp", "own"), (F.col("fp") == F.col("own")) & F.col("id").eqNullSafe(F.col("keep_id")))
-    single, several = kept.where("copies = 1"), kept.where("copies > 1")
-    several = several.groupBy("fp", "id").agg(F.first("row").alias("row"))
-    return single.select("row.*").unionByName(several.select("row.*"))
+    rows = cut(fingerprint_rows(df, id_col, text_col, words, keyed=True))
+    return first_rows(df, id_col, text_col, rows, labelled(rows))
+
+
+def first_rows(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, chosen: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """keep_first() for the (id, key, fp) rows of df and the labelled() fps. Where few rows go, df isn't shuffled."""
+    names = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text_key(F.col(f"`{text_col}`")).alias("key"))
+    first = chosen.where("first <=> component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("keep_id"))
+    won = first.join(rows, (first.fp == rows.fp) & first.keep_id.eqNullSafe(rows.id)).groupBy("root", "id").agg(F.min("key").alias("key"))
+    counts = rows.groupBy("id", "key").agg(F.count("*").alias("n")).alias("c")
+    marks = counts.join(won.alias("w"), F.col("c.id").eqNullSafe(F.col("w.id")) & (F.col("c.key") == F.col("w.key")), "left")
+    marks = cut(marks.select(F.col("c.id").alias("mark_id"), F.col("c.key").alias("mark"), F.col("w.key").isNull().alias("gone"), "n").where("gone or n > 1"))
+    other = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
+    met = given.join(other, F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("key") == F.col("mark")), "left")
+    several = met.where("n > 1 and not gone").groupBy("id", "key").agg(F.min_by("row", F.xxhash64(*[F.col(f"row.`{c}`") for c in names])).alias("row"))
+    return met.where("mark is null").select("row.*").unionByName(several.select("row.*"))

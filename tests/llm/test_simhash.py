@@ -7,6 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corvana.llm import components
 from corvana.llm import simhash as s
 
 
@@ -68,6 +69,8 @@ def test_links_connect_all(spark):
     groups = lambda m: sorted(sorted(x for x in fps if m.get(x, x) == r) for r in {m.get(x, x) for x in fps})
     assert groups(own) == groups(expected)
     assert len(found) < 3 * len(fps) * s.SEGMENTS
+    again = {r.node % (1 << 64): r.root % (1 << 64) for r in s.components(s.fingerprint_links(df, full=20)).collect()}  # most keys are filed anew
+    assert groups(again) == groups(expected)
 
 
 def test_rows(spark):
@@ -93,3 +96,23 @@ def test_keep_first_by_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r.doc_id or -1, r.text) for r in s.keep_first(df).collect())
     assert kept == sorted([(-1, first), (-1, other), (1, third), (1, rows[4][1])])
+
+
+def test_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    left = spark.createDataFrame([(n % 7 if n % 3 else 1, n) for n in range(200)] + [(None, 500)], "k long, x long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k long, y string")
+    for how in ("inner", "left"):
+        got = sorted(components.joined(left, right, "k", how).collect(), key=str)
+        assert got == sorted(left.join(right, "k", how).collect(), key=str)
+    edges = [(0, n) for n in range(1, 60)] + [(100, n) for n in range(101, 120)] + [(59, 200), (200, 201), (119, 119)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {n: 0 if n < 60 or n >= 200 else 100 for n in [*range(60), *range(100, 120), 200, 201]}
+
+
+def test_keep_first_without_broadcast(spark):
+    rows = [(n % 40, f"text number {n % 25} with some words of its own {n % 25}", n % 2) for n in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    found = s.fingerprint_rows(df, "doc_id", "text", keyed=True)
+    few, many = (sorted(map(tuple, s.first_rows(df, "doc_id", "text", found, s.labelled(found), n).collect())) for n in (1000, 0))
+    assert few == many and len(few) == len({t for _, t, _ in few})
