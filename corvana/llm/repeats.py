@@ -44,6 +44,7 @@ SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES, PART_BYTES = 8 << 20, 64 << 20
 TILE = 1 << 18
 BATCH_BYTES = 2 << 20
+SEGMENT_SHARE = 4  # bytes of segments weigh as much as so many of text
 ANCHOR_BYTES = 14  # a text has an anchor for about so many bytes
 HOT = 64
 NO_DOC = np.iinfo(np.int64).max
@@ -484,7 +485,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gather = lambda df: df.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("payload").alias("payloads"), F.sum("n").alias("n"))  # noqa: E731  bounded by the chunk's own runs
     back = cut(gather(meet(chunks.mapInArrow(filed(parts, bits), routed), parts).mapInArrow(shared, returned)))
     met = (back.agg(F.sum("n").alias("n")).first()["n"] or 0) * (LENGTH + ANCHOR_BYTES)  # bytes of shared segments, about
-    parts = max(2 * cores, -(-met // part_bytes))
+    parts = max(2 * cores, -(-met // (part_bytes // SEGMENT_SHARE)))
     cutout = chunks.join(back.repartition(tasks, "chunk"), "chunk").mapInArrow(segments(parts, bits), routed)
     verdicts = gather(meet(cutout, parts).mapInArrow(refined, returned))
     found = chunks.join(verdicts, "chunk", "left").mapInArrow(cleaned(with_text, bits), "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
