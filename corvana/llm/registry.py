@@ -64,7 +64,8 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.verdicts(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+    model, seen = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.verdicts(toxicity.score(seen, model))
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
