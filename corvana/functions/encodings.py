@@ -159,14 +159,26 @@ def from_leb128(data: bytes, signed: bool = False) -> int:
     return n - (1 << shift) if signed and data and data[shift // 7 - 1] & 0x40 else n
 
 
-@F.pandas_udf(T.BinaryType())
-def encode_leb128(n: pd.Series) -> pd.Series:
-    return n.map(lambda x: None if pd.isna(x) else leb128_signed(int(x)))
-
-
-@F.pandas_udf(T.LongType())
-def decode_leb128(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else from_leb128(x, signed=True))
+def encode_leb128(n: Column, signed: bool = True) -> Column:
+    """Seven bits of a whole number to a byte, lowest first; null for a negative number without a sign."""
+    n = n.cast("long")
+    fits = (lambda k: n.between(F.expr(f"-(1L << {7 * k - 1})"), F.expr(f"(1L << {7 * k - 1}) - 1"))) if signed else (lambda k: n < F.expr(f"1L << {7 * k}"))
+    size = F.coalesce(*[F.when(fits(k), k) for k in range(1, 9)], F.lit(10 if signed else 9))
+    septet = lambda i: F.call_function("shiftright", n, i * 7).bitwiseAND(F.lit(127))
+    octets = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(septet(i) + F.when(i < size - 1, 128).otherwise(0)), 2, "0"))
+    coded = F.unhex(F.array_join(octets, ""))
+    return coded if signed else F.when(n >= 0, coded)
+
+
+def decode_leb128(b: Column, signed: bool = True) -> Column:
+    """The whole number at the start of the bytes."""
+    octet = lambda i: F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("long")
+    octets = F.transform(F.sequence(F.lit(1), F.length(b)), octet)
+    last = F.array_min(F.filter(F.transform(octets, lambda x, i: F.when(x < 128, i)), lambda i: i.isNotNull()))
+    septets = F.transform(F.slice(octets, F.lit(1), F.coalesce(last, F.size(octets) - 1) + 1), lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(127)), i * 7))
+    n = F.aggregate(septets, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    negative = F.element_at(octets, F.size(septets)).bitwiseAND(F.lit(64)) != 0
+    return F.when(negative & (F.size(septets) < 10), n - F.call_function("shiftleft", F.lit(1).cast("long"), F.size(septets) * 7)).otherwise(n) if signed else n
 
 
 def little_endian(b: Column, offset: int, width: int, signed: bool) -> Column:
@@ -181,6 +193,22 @@ def to_little_endian(n: Column, width: int) -> Column:
     return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(F.lit(0xFF))), 2, "0") for i in range(width)]))
 
 
+def pcm_numbers(samples: Column, bits: int) -> Column:
+    """Floats in [-1, 1], clipped, as whole numbers of 8 (unsigned), 16, 24 or 32 bits; halves go to the even number."""
+    scale = float(1 << (bits - 1))
+    return F.transform(samples, lambda x: (F.greatest(F.lit(-scale), F.least(F.lit(scale - 1), F.rint(x * scale))) + (128 if bits == 8 else 0)).cast("long"))
+
+
+def from_pcm_numbers(numbers: Column, bits: int) -> Column:
+    scale = float(1 << (bits - 1))
+    return F.transform(numbers, lambda n: (n - (128 if bits == 8 else 0)) / F.lit(scale))
+
+
+def pcm_bytes(samples: Column, bits: int) -> Column:
+    """The numbers one after the other, lowest byte first."""
+    return F.unhex(F.array_join(F.transform(pcm_numbers(samples, bits), lambda n: F.hex(to_little_endian(n, bits // 8))), ""))
+
+
 PCM = {8: (np.uint8, 128), 16: (np.int16, 32768), 24: (np.int32, 8388608), 32: (np.int32, 2147483648)}
 
 

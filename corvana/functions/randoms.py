@@ -1,10 +1,15 @@
-"""Seeded random numbers that are the same on every run and machine, for kernels."""
+"""Seeded random numbers that are the same on every run and machine, for kernels and as columns."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from corvana.functions.vectors import let
+
 MASK = 0xFFFFFFFF
 OFFSET = 3_077_908_504
 
@@ -55,6 +60,26 @@ class XorShift32:
         return out
 
 
+def seeded(seed: Column) -> Column:
+    """XorShift32's state for a seed, as a column; the state is an unsigned number."""
+    state = (seed.cast("long") + OFFSET).bitwiseAND(F.lit(MASK))
+    return F.when(state == 0, F.lit(1).cast("long")).otherwise(state)
+
+
+def following(state: Column) -> Column:
+    """The state after this one, which is the number drawn."""
+    low = lambda x: x.bitwiseAND(F.lit(MASK))
+    return let(let(let(state, lambda x: x.bitwiseXOR(low(F.shiftleft(x, 13)))), lambda x: x.bitwiseXOR(F.shiftright(x, 17))), lambda x: x.bitwiseXOR(low(F.shiftleft(x, 5))))
+
+
+def signed(state: Column) -> Column:
+    return F.when(state >= 1 << 31, state - (1 << 32)).otherwise(state)
+
+
+def uniform(state: Column) -> Column:
+    return state / F.lit(float(1 << 32))
+
+
 def pick(weights: list[float], generator: XorShift32) -> int:
     """The first place whose running sum passes a uniform share of the total."""
     mark, run = generator.uniform() * sum(weights), 0.0

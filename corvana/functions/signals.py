@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvana.functions.times import decibels_to_gain
 from corvana.functions.vectors import let, mean
@@ -58,6 +60,30 @@ def trailing_silent(samples: Column, threshold: Column) -> Column:
     return leading_silent(F.reverse(samples), threshold)
 
 
+def trimmed_start(samples: Column, kept: int = 0, decibels: float = -40.0) -> Column:
+    """Without the silence at the start, but for as many zeros as are kept."""
+    silent = leading_silent(samples, decibels_to_gain(F.lit(decibels)))
+    return let(silent, lambda n: F.concat(F.array_repeat(F.lit(0.0), kept), F.slice(samples, n + 1, F.size(samples))))
+
+
+def trimmed_end(samples: Column, kept: int = 0, decibels: float = -40.0) -> Column:
+    return F.when(F.size(samples) == 0, samples).otherwise(F.reverse(trimmed_start(F.reverse(samples), kept, decibels)))
+
+
+def sliced(channels: Column, start: Column, end: Column) -> Column:
+    """Samples [start, end) of each channel."""
+    return F.transform(channels, lambda c: F.slice(c, start.cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int")))
+
+
+def sliced_by_time(channels: Column, rate: float, start: Column, end: Column) -> Column:
+    return sliced(channels, F.floor(start * rate), F.floor(end * rate))
+
+
+def joined(first: Column, second: Column) -> Column:
+    """One signal after the other, channel by channel."""
+    return F.zip_with(first, second, lambda a, b: F.concat(a, b))
+
+
 def interleaved(channels: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(F.get(channels, F.lit(0))) - 1), lambda i: F.transform(channels, lambda c: F.get(c, i))))
 
@@ -140,6 +166,38 @@ def mfcc(samples: np.ndarray, **options) -> np.ndarray:
     return found * (1 + 11 * np.sin(np.pi * np.arange(o["features"]) / 22))
 
 
+SPECTRA = T.ArrayType(T.ArrayType(T.DoubleType()))
+
+
+def spectra(samples: Column, kind: str = "power", **options) -> Column:
+    """Frames of a signal as power spectra, mel spectra or mfcc, for each row; null for null. options as MFCC's; window weights by Hann."""
+    o = MFCC | options
+
+    def one(x) -> list | None:
+        if x is None:
+            return None
+        if kind == "mfcc":
+            return mfcc(x, **options).tolist()
+        power = np.abs(stft(x, o["order"], o["window"], o["hop"])) ** 2
+        return (power if kind == "power" else power @ mel_filterbanks(o["bands"], o["order"], o["rate"], o["low"], o["high"]).T).tolist()
+
+    @F.pandas_udf(SPECTRA)
+    def kernel(x: pd.Series) -> pd.Series:
+        return x.map(one)
+
+    return kernel(samples)
+
+
+def restored(samples: Column, order: int, window: int, hop: int) -> Column:
+    """A signal by way of its spectra and back."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def kernel(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else istft(stft(v, order, window, hop), order, window, hop).tolist())
+
+    return kernel(samples)
+
+
 def filter_coefficients(kind: str, rate: float, frequency: float, q: float = 1.0, gain: float = 0.0) -> dict[str, float]:
     """Second-order sections of the published audio equaliser cookbook, a0 divided out; low- and high-pass take q in decibels."""
     ratio = min(max(frequency / (rate / 2), 0.0), 1.0)

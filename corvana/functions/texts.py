@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvana.functions.vectors import let
 
-# Signs that are read as words, emoji ranges, typographic marks and their plain forms.
-SYMBOL_WORDS = ("$", "€", "¢", "£", "¥", "©", "®", "™", "%", "&", "#", "~", "@", "+", "±", "÷", "/", "*", "=", "¼", "½", "¾", "^", "_", "|")
+# Emoji ranges, separators of phrases, signs that are read as words, and typographic marks with their plain forms.
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]"
-MARKS = "“”„‟«»‘’‚‛，。、：；？！（）…"
-PLAIN = "\"\"\"\"\"\"'''',.,:;?!()."
-PHRASE_SEPARATORS = (",", ";", ":", "，", "、", "；", "：")
+PHRASE_SEPARATORS = (",", "、", "，", "،", ";", "；", ":", "：", "—")
+SYMBOL_WORDS = ("$", "€", "¢", "£", "¥", "©", "®", "™", "%", "&", "#", "~", "@", "+", "±", "÷", "/", "\\", "^", "*", "×", "=", "¼", "½", "¾")
+PUNCTUATION = {
+    "“": '"', "”": '"', "‟": '"', "ˮ": '"', "„": '"', "‹": '"', "›": '"', "❮": '"', "❯": '"', "«": '"', "»": '"', "״": '"', "❝": '"', "❞": '"', "🙶": '"', "🙷": '"', "⹂": '"', "〝": '"', "〞": '"', "〟": '"', "＂": '"', "❠": '"', "🙸": '"',
+    "ߵ": "'", "ߴ": "'", "’": "'", "‘": "'", "ʹ": "'", "ʼ": "'", "＇": "'", "ʻ": "'", "՚": "'", "՛": "'", "❛": "'", "❜": "'", "❟": "'",
+    "，": ",", "、": ",", "：": ":", "；": ";", "。": ".", "？": "?", "؟": "?", "！": "!", "¡": "!",
+}
 SENTENCE_ENDERS = (".", "?", "!", "。", "？", "！", "…")
 WORD = r"[\p{L}\p{N}]"
 WHITE = r"(?U)[\s\x{FEFF}]"
@@ -60,13 +65,13 @@ def collapse(s: Column) -> Column:
 
 
 def whitespace(s: Column, mode: str) -> Column:
-    """preserve, removeLineBreaks or collapse."""
+    """preserve, removeLineBreaks or collapse; the last two trim as well."""
     if mode == "preserve":
         return s
     if mode == "removeLineBreaks":
-        return F.regexp_replace(s, r"(\r?\n)+|\r", " ")
+        return F.regexp_replace(trim(s), r"(\r?\n)+", " ")
     if mode == "collapse":
-        return collapse(s)
+        return collapse(trim(s))
     raise ValueError(f"unknown white space mode {mode!r}")
 
 
@@ -91,6 +96,40 @@ def words(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"([\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*|[^\s\p{L}\p{M}\p{N}])"), 1)
 
 
+def cut_after(s: Column, ends: str) -> Column:
+    """Pieces up to and with each match of a pattern; no empty pieces."""
+    return F.filter(F.split(F.regexp_replace(s, f"({ends})", "$1\u0001"), "\u0001"), lambda x: x != "")
+
+
+# What ends a sentence and a phrase. Marks of Latin script do so before white space only.
+SENTENCE_END = r"[。？！]+|[.?!…]+[\"'”’)\]]*\s+"
+PHRASE_END = r"[、，،；：]+\s*|[,;:—]+\s+"
+
+
+def sentences(s: Column) -> Column:
+    """Sentences with the white space after them; joined they are the text."""
+    return cut_after(s, SENTENCE_END)
+
+
+def phrases(sentence: Column) -> Column:
+    return cut_after(sentence, PHRASE_END)
+
+
+def all_words(s: Column) -> Column:
+    """words(), and the white space between them as words too; joined they are the text."""
+    return F.regexp_extract_all(s, F.lit(r"([\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*|\s+|[^\s\p{L}\p{M}\p{N}])"), 1)
+
+
+def parsed(s: Column) -> Column:
+    """Sentences of phrases of words: array<struct<text, phrases: array<struct<text, words, separated>>>>.
+
+    separated: whether the phrase's last visible word parts phrases.
+    """
+    last = lambda p: F.element_at(F.filter(all_words(p), lambda w: ~is_blank(w)), -1)
+    phrase = lambda p: F.struct(p.alias("text"), all_words(p).alias("words"), F.coalesce(is_phrase_separator(last(p)), F.lit(False)).alias("separated"))
+    return F.transform(sentences(s), lambda x: F.struct(x.alias("text"), F.transform(phrases(x), phrase).alias("phrases")))
+
+
 def includes_any(s: Column, parts) -> Column:
     found = F.lit(False)
     for p in parts:
@@ -129,9 +168,9 @@ def code_points(s: Column) -> Column:
 
 def utf16_starts(s: Column) -> Column:
     """For each code point, and the end, its place in UTF-16 units."""
-    sizes = F.transform(code_points(s), lambda c: F.when(c > 0xFFFF, 2).otherwise(1))
-    start = F.array(F.lit(0))
-    return F.aggregate(sizes, start, lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    wide = F.filter(F.transform(code_points(s), lambda c, i: F.when(c > 0xFFFF, i)), lambda i: i.isNotNull())
+    before = lambda places: F.transform(F.sequence(F.lit(0), F.length(s)), lambda i: i + F.size(F.filter(places, lambda p: p < i)))
+    return let(wide, lambda places: F.when(F.size(places) == 0, F.sequence(F.lit(0), F.length(s))).otherwise(before(places)))
 
 
 def has_invalid_codepoint(s: Column) -> Column:
@@ -139,7 +178,7 @@ def has_invalid_codepoint(s: Column) -> Column:
 
 
 def simplify_punctuation(s: Column) -> Column:
-    return F.translate(s, MARKS, PLAIN)
+    return substitute_characters(s, PUNCTUATION)
 
 
 def substitute_characters(s: Column, table: dict[str, str]) -> Column:
@@ -205,7 +244,9 @@ def spoken_decade(d: Column) -> Column:
 
 
 # Currency signs and their spoken names.
-CURRENCIES = {"$": "dollars", "€": "euros", "£": "pounds", "¥": "yen"}
+CURRENCIES = {
+    "$": "dollars", "¥": "yen", "€": "euros", "£": "pounds", "₩": "won", "₭": "kip", "₽": "rubles", "₫": "dong", "฿": "baht", "¢": "cents", "₮": "tögrög", "؋": "afghanis", "₦": "naira", "₱": "pesos", "₴": "hryvnia", "₪": "shekels",
+}
 
 
 def spoken_money(s: Column) -> Column:
@@ -279,9 +320,10 @@ def translation_code(c: Column) -> Column:
 
 # Classes of phones.
 PHONES = {
-    "plosive": "p b t d ʈ ɖ c ɟ k ɡ q ɢ ʔ", "nasal": "m ɱ n ɳ ɲ ŋ ɴ", "trill": "ʙ r ʀ", "tap": "ⱱ ɾ ɽ",
-    "fricative": "ɸ β f v θ ð s z ʃ ʒ ʂ ʐ ç ʝ x ɣ χ ʁ ħ ʕ h ɦ", "lateral_fricative": "ɬ ɮ", "affricate": "ts dz tʃ dʒ tɕ dʑ", "approximant": "ʋ ɹ ɻ j ɰ w",
-    "lateral_approximant": "l ɭ ʎ ʟ", "vowel": "i y ɨ ʉ ɯ u ɪ ʏ ʊ e ø ɘ ɵ ɤ o ə ɛ œ ɜ ɞ ʌ ɔ æ ɐ a ɶ ɑ ɒ",
+    "plosive": "p b t d ʈ ɖ c ɟ k g q ɢ ʔ ɡ", "nasal": "m ɱ n ɳ ɲ ŋ ɴ n̩", "trill": "ʙ r ʀ", "tap": "ⱱ ɾ ɽ",
+    "fricative": "ɸ β f v θ ð s z ʃ ʒ ʂ ʐ ç ʝ x ɣ χ ʁ ħ ʕ h ɦ", "lateral_fricative": "ɬ ɮ", "affricate": "tʃ ʈʃ dʒ", "approximant": "ʋ ɹ ɻ j ɰ w",
+    "lateral_approximant": "l ɭ ʎ ʟ",
+    "vowel": "i yɨ ʉɯ u iː ɪ ʏ ʊ ɨ ᵻ e ø ɘ ɵ ɤ o ə oː ɛ œ ɜ ɞ ʌ ɔ ɜː uː ɔː ɛː æ a ɶ ɐ ɑ ɒ ɑː ◌˞ ɚ ɝ ɹ̩ eɪ əʊ oʊ aɪ ɔɪ aʊ iə ɜr ɑr ɔr oʊr oːɹ ir ɪɹ ɔːɹ ɑːɹ ʊɹ ʊr ɛr ɛɹ əl aɪɚ aɪə",
 }
 FAMILIES = {"plosive_or_nasal": ("plosive", "nasal"), "trill_tap_or_flap": ("trill", "tap"), "fricative_like": ("fricative", "lateral_fricative", "affricate"), "approximant_like": ("approximant", "lateral_approximant")}
 
@@ -302,18 +344,25 @@ def is_consonant(s: Column) -> Column:
     return is_phone(s, *(k for k in PHONES if k != "vowel"))
 
 
+def is_known_phone(s: Column) -> Column:
+    """A vowel, a consonant or the blank."""
+    return (s == " ") | is_phone(s, *PHONES)
+
+
 def phone_cost(a: Column, b: Column, level: int = 1) -> Column:
-    """Cost of putting one phone for another. 1: 0 or 1. 2: 0.5 within vowels or within consonants. 3: 0.5 within a family, 0.75 within consonants, 0.5 within vowels."""
+    """Cost of putting one phone for another. 1: 0 or 1. 2: 0.5 within vowels or within consonants. 3: 0.75 within vowels, 0.5 within a family of consonants, 0.75 within other consonants. Levels 2 and 3 refuse unknown phones."""
     same = F.when(a == b, 0.0)
     if level == 1:
         return same.otherwise(1.0)
+    unknown = lambda s: F.raise_error(F.concat(F.lit("not a known phone: "), s)).cast("double")
+    known = F.when(~is_known_phone(a), unknown(a)).when(~is_known_phone(b), unknown(b)).when(a == b, 0.0)
     vowels, consonants = is_vowel(a) & is_vowel(b), is_consonant(a) & is_consonant(b)
     if level == 2:
-        return same.when(vowels | consonants, 0.5).otherwise(1.0)
+        return known.when(vowels | consonants, 0.5).otherwise(1.0)
     family = F.lit(False)
     for kinds in FAMILIES.values():
         family = family | (is_phone(a, *kinds) & is_phone(b, *kinds))
-    return same.when(family | vowels, 0.5).when(consonants, 0.75).otherwise(1.0)
+    return known.when(vowels, 0.75).when(family, 0.5).when(consonants, 0.75).otherwise(1.0)
 
 
 def subphones(tokens: Column, n: int = 3) -> Column:
@@ -321,13 +370,30 @@ def subphones(tokens: Column, n: int = 3) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.when(t == "pause", F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(t, F.lit("/"), i.cast("string"))))))
 
 
-def repetition(tokens: Column) -> Column:
-    """(longest, cycles): for each cycle length up to half the tokens, how long they repeat from the start on, and the largest number of cycles."""
-    def scored(tokens: Column) -> Column:
-        n = F.size(tokens)
-        run = lambda c: F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), n - 1 - c), lambda i: F.get(tokens, i) != F.get(tokens, i + c))), n - c)
-        each = F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int")), lambda c: let(run(c), lambda m: F.struct(m.alias("match"), (m / c + 1).alias("cycles"))))
-        best = let(each, lambda e: F.struct(F.array_max(F.transform(e, lambda s: s["match"])).alias("longest"), F.array_max(F.transform(e, lambda s: s["cycles"])).alias("cycles")))
-        return F.when(n < 2, F.struct(F.lit(0).alias("longest"), F.lit(0.0).alias("cycles"))).otherwise(best)
+REPEATS = T.StructType([T.StructField("longest", T.IntegerType()), T.StructField("cycles", T.DoubleType())])
+
+
+@F.pandas_udf(REPEATS)
+def repetition(tokens: pd.Series) -> pd.DataFrame:
+    """(longest, cycles): for each cycle length up to half the tokens, how long they repeat from the start on, and the largest number of cycles.
+
+    The lengths of all those repeats are the sequence's Z-values, found in one pass.
+    """
+
+    def one(row) -> tuple[int, float]:
+        if row is None or len(row) < 2:
+            return 0, 0.0
+        places: dict = {}
+        x = [places.setdefault(t, len(places)) for t in row]
+        n, z, left, right = len(x), [0] * len(x), 0, 0
+        for i in range(1, n // 2 + 1):
+            same = min(right - i, z[i - left]) if i < right else 0
+            while i + same < n and x[same] == x[i + same]:
+                same += 1
+            z[i] = same
+            if i + same > right:
+                left, right = i, i + same
+        found = [(z[c], z[c] / c + 1) for c in range(1, n // 2 + 1)]
+        return max(m for m, _ in found), max(c for _, c in found)
 
-    return let(tokens, scored)
+    return pd.DataFrame(tokens.map(one).tolist(), columns=["longest", "cycles"])

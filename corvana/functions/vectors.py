@@ -28,6 +28,10 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def zero_if_nan(x: Column) -> Column:
+    return F.nanvl(x, F.lit(0.0))
+
+
 def clip(x: Column, low, high) -> Column:
     return F.greatest(F.lit(low) if not isinstance(low, Column) else low, F.least(F.lit(high) if not isinstance(high, Column) else high, x))
 
@@ -169,9 +173,8 @@ def sigmoid(x: Column) -> Column:
 
 def deltas(v: Column) -> Column:
     """Whole steps from a running value, which the rounding error stays with."""
-    start = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, x: F.struct((a["run"] + F.floor(x - a["run"])).alias("run"), F.array_append(a["out"], F.floor(x - a["run"]).cast("double")).alias("out"))
-    return F.aggregate(v, start, step, lambda a: a["out"])
+    # the running value stays whole and within 1 below what it follows, so it is the floor of the value before
+    return F.transform(v, lambda x, i: F.floor(x).cast("double") - F.when(i == 0, 0.0).otherwise(F.floor(F.get(v, i - 1)).cast("double")))
 
 
 def top_k_indexes(v: Column, k: int) -> Column:

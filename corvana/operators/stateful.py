@@ -1,9 +1,14 @@
-"""Ordered single-pass operators over each key's rows: closed forms by windows, folds over arrays elsewhere."""
+"""Ordered single-pass operators over each key's rows: closed forms by windows, folds in a streaming kernel elsewhere."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def decaying_peak(df: DataFrame, key: str, order: list[str], value: str, decay: float, initial: float = 0.0, kind: str = "maximum") -> DataFrame:
@@ -21,44 +26,63 @@ def gate_extended(df: DataFrame, key: str, order: list[str], active: str, rows_b
     return df.withColumn(active, F.max(active).over(ahead))
 
 
-def fold(values: Column, zero: Column, step) -> Column:
-    """The state's output at each value: step(state, x) gives the next state, whose field y is the output."""
-    first = F.struct(zero.alias("s"), F.array().cast("array<double>").alias("out"))
+#: A fold: its first state, and (state, value) to (next state, output).
+Fold = tuple[tuple, Callable[[tuple, float], tuple[tuple, float]]]
 
-    def run(a: Column, x: Column) -> Column:
-        following = F.transform(F.array(step(a["s"], x)), lambda s: F.struct(s.alias("s"), F.array_append(a["out"], s["y"]).alias("out")))
-        return F.get(following, F.lit(0))
 
-    return F.aggregate(values, first, run, lambda a: a["out"])
+def smoothing(up: float, down: float, initial: float = 0.0) -> Fold:
+    """Exponential smoothing that follows rises and falls at different rates."""
 
+    def step(state: tuple, x: float) -> tuple[tuple, float]:
+        y = state[0] + (x - state[0]) * (up if x > state[0] else down)
+        return (y,), y
 
-def smoothed(values: Column, up: float, down: float, initial: float = 0.0) -> Column:
-    """Exponential smoothing that follows rises and falls at different rates."""
-    zero = F.struct(F.lit(initial).alias("y"))
-    return fold(values, zero, lambda s, x: F.struct((s["y"] + (x - s["y"]) * F.when(x > s["y"], up).otherwise(down)).alias("y")))
+    return (initial,), step
 
 
-def loudness(values: Column, up: float, down: float, initial: float = 1e-5, least: float = 1e-10) -> Column:
+def loudness(up: float, down: float, initial: float = 1e-5, least: float = 1e-10) -> Fold:
     """Root mean square in decibels of asymmetrically smoothed squares, with a floor."""
-    zero = F.struct(F.lit(initial).alias("y"))
-    powers = fold(values, zero, lambda s, x: F.struct(F.greatest(s["y"] + (x * x - s["y"]) * F.when(x * x > s["y"], up).otherwise(down), F.lit(least)).alias("y")))
-    return F.transform(powers, lambda p: F.greatest(10 * F.log10(p), F.lit(-100.0)))
 
+    def step(state: tuple, x: float) -> tuple[tuple, float]:
+        y = max(state[0] + (x * x - state[0]) * (up if x * x > state[0] else down), least)
+        return (y,), max(10 * math.log10(y), -100.0)
+
+    return (initial,), step
 
-def biquad(values: Column, c: dict[str, float]) -> Column:
+
+def biquad(c: dict[str, float]) -> Fold:
     """y = b0 x + b1 x1 + b2 x2 - a1 y1 - a2 y2."""
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("y", "y1", "x1", "x2")])
 
-    def step(s: Column, x: Column) -> Column:
-        y = c["b0"] * x + c["b1"] * s["x1"] + c["b2"] * s["x2"] - c["a1"] * s["y"] - c["a2"] * s["y1"]
-        return F.struct(y.alias("y"), s["y"].alias("y1"), x.alias("x1"), s["x1"].alias("x2"))
+    def step(state: tuple, x: float) -> tuple[tuple, float]:
+        y1, y2, x1, x2 = state
+        y = c["b0"] * x + c["b1"] * x1 + c["b2"] * x2 - c["a1"] * y1 - c["a2"] * y2
+        return (y, y1, x, x1), y
+
+    return (0.0, 0.0, 0.0, 0.0), step
+
+
+def folded(df: DataFrame, key: str, order: list[str], value: str, fold: Fold, out: str = "y") -> DataFrame:
+    """df with a fold's output at each row, over each key's rows in order; a null value leaves the state as it is and gives null.
 
-    return fold(values, zero, step)
+    Rows are sorted in their partition and stream through a kernel that keeps the state of one key,
+    so neither a key's rows nor its outputs are ever held together.
+    """
+    rows = df.repartition(key).sortWithinPartitions(key, *order)
+    first, step = fold
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = object(), first
+        for batch in batches:
+            found = []
+            for k, x in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if k != held:
+                    held, state = k, first
+                if x is not None:
+                    state, y = step(state, x)
+                found.append(None if x is None else y)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
 
-def series(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """(key, values): each key's values in order, for folds over one array."""
-    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value]).alias("values"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def first_exceeding(weights: Column, u: Column) -> Column:

@@ -54,6 +54,16 @@ def covariance(df: DataFrame, key: str, vector: str, biased: bool = False) -> Da
     return found.select(key, "i", "j", F.when(F.col("n") > 1, F.col("c") + diagonal).otherwise(0.0).alias("value"))
 
 
+def weighted_covariance(df: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
+    """covariance() of centered vectors whose products are summed with their weights, as they are."""
+    v = F.col(vector)
+    pairs = F.flatten(F.transform(v, lambda x, i: F.filter(F.transform(v, lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("xy"))), lambda s: s["i"] <= s["j"])))
+    flat = df.select(key, F.col(weight).alias("w"), F.inline(pairs))
+    found = flat.groupBy(key, "i", "j").agg(F.sum(F.col("w") * F.col("xy")).alias("c"), F.count("*").alias("n"))
+    diagonal = F.when(F.col("i") == F.col("j"), DIAGONAL).otherwise(0.0)
+    return found.select(key, "i", "j", F.when(F.col("n") > 1, F.col("c") + diagonal).otherwise(0.0).alias("value"))
+
+
 def running_mean(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("mean", F.avg(value).over(by))

@@ -10,6 +10,10 @@ from corvana.functions import texts as t
 from corvana.functions import times as s
 from corvana.session import table
 
+#: 45 marks and their plain forms.
+MARKS_SQL = "md5(translate(text, '“”‟ˮ„‹›❮❯«»״❝❞🙶🙷⹂〝〞〟＂❠🙸ߵߴ’‘ʹʼ＇ʻ՚՛❛❜❟，、：；。？؟！¡', '" + 23 * '"' + 13 * "''" + ",,:;.??!!'))"
+#: The number of code points before each, and of those beyond the first plane.
+STARTS_SQL = "md5(array_to_string(list_transform(range(0, length(text) + 1), lambda i: i + len(list_filter(places, lambda p: p <= i))), ','))"
 #: name: (Spark over text, SQL over text), a value for each document.
 DOCUMENTS = {
     "txt_is_word": (lambda x: t.is_word(x), "regexp_matches(text, '[\\p{L}\\p{N}]')"),
@@ -18,17 +22,17 @@ DOCUMENTS = {
     "txt_blank": (lambda x: t.is_blank(x), "regexp_matches(text, '^[\\s\\x{FEFF}\\x{A0}]*$')"),
     "txt_n_lines": (lambda x: F.size(t.lines(x)), "len(list_filter(string_split(text, chr(10)), lambda x: true)) - CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 1 ELSE 0 END"),
     "txt_n_paragraphs": (lambda x: F.size(t.paragraphs(x, "single")), "len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s]')))"),
-    "txt_whitespace": (lambda x: F.md5(t.collapse(x)), "md5(regexp_replace(text, '\\s+', ' ', 'g'))"),
-    "txt_line_breaks": (lambda x: F.md5(t.whitespace(x, "removeLineBreaks")), "md5(regexp_replace(text, '(\\r?\\n)+|\\r', ' ', 'g'))"),
+    "txt_whitespace": (lambda x: F.md5(t.whitespace(x, "collapse")), "md5(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))"),
+    "txt_line_breaks": (lambda x: F.md5(t.whitespace(x, "removeLineBreaks")), "md5(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '(\\r?\\n)+', ' ', 'g'))"),
     "txt_trim": (lambda x: F.md5(t.trim(x)), "md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"),
     "txt_words": (lambda x: F.md5(F.array_join(t.words(x), "|")), "md5(array_to_string(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+(?:[''’][\\p{L}\\p{M}\\p{N}]+)*|[^\\s\\p{L}\\p{M}\\p{N}]'), '|'))"),
-    "txt_simplify_punct": (lambda x: F.md5(t.simplify_punctuation(x)), f"md5(translate(text, '{t.MARKS}', '{t.PLAIN.replace(chr(39), chr(39) * 2)}'))"),
+    "txt_simplify_punct": (lambda x: F.md5(t.simplify_punctuation(x)), MARKS_SQL),
     "txt_index_of_any": (lambda x: t.index_of_any(x, ["zz", "the", "de", "."]), "CASE WHEN contains(text, 'zz') THEN instr(text, 'zz') - 1 WHEN contains(text, 'the') THEN instr(text, 'the') - 1 WHEN contains(text, 'de') THEN instr(text, 'de') - 1 WHEN contains(text, '.') THEN instr(text, '.') - 1 ELSE -1 END"),
     "txt_includes_any": (lambda x: t.includes_any(x, ["idiot", "and"]), "contains(text, 'idiot') OR contains(text, 'and')"),
     "txt_starts_with_any": (lambda x: t.starts_with_any(x, ["The", "Der"]), "starts_with(text, 'The') OR starts_with(text, 'Der')"),
     "txt_utf16_length": (lambda x: t.utf16_length(x), "CAST(length(text) + len(list_filter(string_split(text, ''), lambda c: unicode(c) > 65535)) AS INTEGER)"),
-    "txt_code_points": (lambda x: F.array_join(F.slice(t.code_points(x), 1, 30).cast("array<string>"), ","), "array_to_string(list_transform(string_split(text, '')[1:30], lambda c: unicode(c)), ',')"),
-    "txt_utf_offsets": (lambda x: F.element_at(t.utf16_starts(F.substring(x, 1, 200)), -1), "CAST(length(left(text, 200)) + len(list_filter(string_split(left(text, 200), ''), lambda c: unicode(c) > 65535)) AS INTEGER)"),
+    "txt_code_points": (lambda x: F.md5(F.array_join(t.code_points(x).cast("array<string>"), ",")), "md5(array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ','))"),
+    "txt_utf_offsets": (lambda x: F.md5(F.array_join(t.utf16_starts(x).cast("array<string>"), ",")), STARTS_SQL),
     "txt_invalid_codepoint": (lambda x: t.has_invalid_codepoint(x), "contains(text, chr(65533))"),
     "txt_escape_brackets": (lambda x: F.md5(t.escape_angle_brackets(x)), "md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))"),
     "txt_substitute_chars": (lambda x: F.md5(t.substitute_characters(x, {"a": "á", "e": "é"})), "md5(translate(text, 'ae', 'áé'))"),
@@ -57,7 +61,6 @@ EVENTS = {
     "db_gain": (lambda x: F.round(s.decibels_to_gain(x / 5 - 120), 6), "round(CASE WHEN value / 5 - 120 <= -100 THEN 0.0 ELSE pow(10, (value / 5 - 120) / 20) END, 6)"),
     "mel_scale": (lambda x: F.round(s.hertz_to_mel(x * 10), 6), "round(2595 * log10(1 + value * 10 / 700), 6)"),
     "mel_inverse": (lambda x: F.round(s.mel_to_hertz(s.hertz_to_mel(x * 10)), 4), "round(value * 10, 4)"),
-    "hash_murmur_int": (lambda x: e.murmur3_int(F.floor(x).cast("int")), None),
 }
 
 
@@ -100,14 +103,14 @@ FROM documents
 
 
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "conversations").withColumn("r", t.repetition(F.slice(F.split("text", " "), 1, 40)))
+    found = table(spark, sf_dir, "conversations").withColumn("r", t.repetition(F.split("text", " ")))
     return found.select("conv_id", "turn", F.col("r.longest").alias("longest"), F.round("r.cycles", 6).alias("cycles"))
 
 
 REPETITION_SQL = """
 SELECT conv_id, turn, CAST(coalesce(max(match), 0) AS INTEGER) AS longest, round(coalesce(max(match / c + 1), 0), 6) AS cycles
 FROM (SELECT conv_id, turn, c, coalesce(list_min(list_filter(range(0, len(w) - c), lambda i: w[i + 1] <> w[i + c + 1])), len(w) - c) AS match
-  FROM (SELECT conv_id, turn, string_split(text, ' ')[1:40] AS w FROM conversations) LEFT JOIN LATERAL (SELECT unnest(range(1, len(w) // 2 + 1)) AS c) ON true)
+  FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations) LEFT JOIN LATERAL (SELECT unnest(range(1, len(w) // 2 + 1)) AS c) ON true)
 GROUP BY conv_id, turn
 """
 
@@ -146,5 +149,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     found = {n: f"SELECT doc_id, {sql} AS value FROM documents" for n, (_, sql) in DOCUMENTS.items() if sql}
+    found["txt_utf_offsets"] = f"SELECT doc_id, {STARTS_SQL} AS value FROM (SELECT doc_id, text, list_filter(range(1, length(text) + 1), lambda i: c[i] > 65535) AS places FROM (SELECT doc_id, text, list_transform(string_split(text, ''), lambda c: unicode(c)) AS c FROM documents))"
     found |= {n: f"SELECT event_id, {sql} AS value FROM events" for n, (_, sql) in EVENTS.items() if sql}
     return found | {n: sql for n, (_, sql) in OTHERS.items() if sql}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvana.functions import encodings, signals
 from corvana.functions.texts import words as split_words
-from corvana.operators import alignment, catalog, stateful, subtitles
+from corvana.operators import catalog, stateful, subtitles
 from corvana.operators import timeline as tl
 from corvana.plans.islands import state_islands
 from corvana.session import table
@@ -231,26 +231,28 @@ def gate(spark, sf_dir):
 GATE_SQL = "SELECT event_id, max(value > 150) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS active FROM events"
 
 
-def folded(f):
+def folded(fold):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = stateful.series(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value")
-        return rows.select("user_id", F.array_join(F.transform(f(F.col("values")), lambda x: F.format_string("%.4f", F.round(x + 1e-9, 4) + 0.0)), ",").alias("series"))
+        found = stateful.folded(events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), "user_id", ["ts", "event_id"], "value", fold)
+        return found.select("event_id", (F.round(F.col("y") + 1e-9, 4) + 0.0).alias("value"))
 
     return query
 
 
-VALUES = "(SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id)"
+VALUES = "(SELECT list(event_id ORDER BY ts, event_id) AS ids, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id)"
 
 
 def fold_sql(first: str, step: str, keep: int) -> str:
     """A fold in SQL: the accumulator's first values are the state, the rest the outputs."""
-    return f"SELECT user_id, array_to_string(list_transform(list_reduce(list_prepend({first}, list_transform(v, lambda x: [x])), lambda a, x: {step})[{keep + 1}:], lambda y: printf('%.4f', round(y + 1e-9, 4) + 0.0)), ',') AS series FROM {VALUES}"
+    return f"SELECT event_id, round(y + 1e-9, 4) + 0.0 AS value FROM (SELECT unnest(ids) AS event_id, unnest(list_reduce(list_prepend({first}, list_transform(v, lambda x: [x])), lambda a, x: {step})[{keep + 1}:]) AS y FROM {VALUES})"
 
 
 EMA = "a[1] + (x[1] - a[1]) * CASE WHEN x[1] > a[1] THEN 0.4 ELSE 0.05 END"
 EMA_SQL = fold_sql("[0::DOUBLE]", f"list_append(list_prepend({EMA}, a[2:]), {EMA})", 1)
 COEFFICIENTS = signals.filter_coefficients("lowpass", 1000.0, 100.0, 0.7071)
-BIQUAD = "{b0!r} * x[1] + {b1!r} * a[3] + {b2!r} * a[4] - {a1!r} * a[1] - {a2!r} * a[2]".format(**COEFFICIENTS)
+#: The same by the equaliser cookbook's formulas: w = 0.2 pi, alpha = sin(w) / (2 * 10^(q / 20)).
+COS, ALPHA = "cos(pi() / 5)", "(sin(pi() / 5) / (2 * pow(10, 0.7071 / 20)))"
+BIQUAD = f"((1 - {COS}) / 2 * x[1] + (1 - {COS}) * a[3] + (1 - {COS}) / 2 * a[4] + 2 * {COS} * a[1] - (1 - {ALPHA}) * a[2]) / (1 + {ALPHA})"
 BIQUAD_SQL = fold_sql("[0::DOUBLE, 0, 0, 0]", f"list_append(list_concat([{BIQUAD}, a[1], x[1], a[3]], a[5:]), {BIQUAD})", 4)
 LOUD = "greatest(1e-10, a[1] + (x[1] * x[1] - a[1]) * CASE WHEN x[1] * x[1] > a[1] THEN 0.3 ELSE 0.1 END)"
 LOUD_SQL = fold_sql("[1e-5::DOUBLE]", f"list_append(list_prepend({LOUD}, a[2:]), greatest(-100.0, 10 * log10({LOUD})))", 1)
@@ -292,10 +294,14 @@ def lang_topk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", catalog.detected(F.col("text")).alias("language"))
 
 
-COUNTS = ", ".join("len(list_filter(w, lambda x: x IN ({}))) AS {}".format(", ".join(f"'{x}'" for x in own), lang) for lang, own in catalog.EVIDENCE.items())
+COUNTS = """
+len(list_filter(w, lambda x: x IN ('der', 'die', 'und', 'den', 'von', 'zu', 'das', 'mit', 'sich', 'ist'))) AS de,
+len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'to', 'that', 'is', 'was', 'for', 'with', 'this'))) AS en,
+len(list_filter(w, lambda x: x IN ('el', 'los', 'las', 'del', 'una', 'por', 'con', 'para', 'es', 'como'))) AS es,
+len(list_filter(w, lambda x: x IN ('le', 'les', 'des', 'est', 'une', 'dans', 'du', 'pour', 'et', 'sur'))) AS fr"""
 LANG_SQL = f"""
 SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'en' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS language
-FROM (SELECT doc_id, {COUNTS.replace(' AS de', ' AS de')} FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents))
+FROM (SELECT doc_id, {COUNTS} FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents))
 """
 LEXICON = [
     ("the", 0, "ði", None, None, ["a", "is", "on"], None, 0), ("the", 1, "ðə", None, None, None, None, 0), ("of", 0, "ɒv", ["that"], None, None, None, 0),
@@ -341,41 +347,7 @@ SELECT e.event_id, p.t AS matched FROM e ASOF LEFT JOIN (SELECT DISTINCT user_id
 
 
 
-def neighbours(spark, sf_dir, n=16):
-    e = table(spark, sf_dir, "embeddings")
-    cut = F.slice(F.col("embedding").cast("array<double>"), 1, n)
-    return e.select("vec_id", cut.alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), cut.alias("b")), "vec_id")
-
-
-def warped(band):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = neighbours(spark, sf_dir)
-        found = pairs.select("vec_id", alignment.aligned(pairs, "a", "b", band=band).alias("r"))
-        return found.select("vec_id", F.round("r.cost", 4).alias("cost"), F.size("r.path").alias("steps")) if band is None else found.select("vec_id", F.round("r.cost", 4).alias("cost"))
-
-    return query
-
-
-def edit_words(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 12).alias("a"))
-    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
-    return pairs.select("item_id", alignment.edit_aligned(pairs, "a", "b", {("the", "and"): 0.5, ("of", "in"): 0.5})["cost"].alias("cost"))
-
-
-STEP = "abs(v[CAST({i} AS INTEGER)] - w[CAST({j} AS INTEGER)])::FLOAT"
-WARP_SQL = f"""
-SELECT vec_id, round(list_reduce(list_prepend(
-    list_reduce(list_prepend([0::FLOAT], list_transform(range(2, 17), lambda j: [j::FLOAT])), lambda r, y: list_append(r, {STEP.format(i=1, j='y[1]')} + r[-1])),
-    list_transform(range(2, 17), lambda i: [i::FLOAT])),
-  lambda p, x: list_reduce(list_prepend([{STEP.format(i='x[1]', j=1)} + p[1]], list_transform(range(2, 17), lambda j: [j::FLOAT])),
-    lambda r, y: list_append(r, {STEP.format(i='x[1]', j='y[1]')} + least(r[-1], p[CAST(y[1] AS INTEGER)], p[CAST(y[1] AS INTEGER) - 1]))))[-1]::DOUBLE, 4) AS cost
-FROM (SELECT a.vec_id, a.embedding::DOUBLE[] AS v, b.embedding::DOUBLE[] AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-"""
-
 QUERIES = {
-    "dtw_banded": (warped(16), WARP_SQL),
-    "dtw_pair": (warped(None), None),
-    "txt_edit_phone": (edit_words, None),
     "timeline_shift": (shift, f"SELECT event_id, round(greatest(start_time + 12.5, 0) + 2e-8, 4) + 0.0 AS start_time, round(greatest(end_time + 12.5, 0) + 2e-8, 4) + 0.0 AS end_time FROM {ENTRIES}"),
     "timeline_scale": (scale, f"SELECT event_id, round(start_time * 1.5 + 2e-8, 4) + 0.0 AS start_time, round(end_time * 1.5 + 2e-8, 4) + 0.0 AS end_time FROM {ENTRIES}"),
     "timeline_round": (rounding, f"SELECT event_id, floor(start_time * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS start_time, floor(end_time * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS end_time, floor(confidence * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS confidence FROM {ENTRIES}"),
@@ -393,9 +365,9 @@ QUERIES = {
     "srt_parse_roundtrip": (srt_parse, PARSE_SQL),
     "sig_decaying_peak": (decaying_peak, PEAK_SQL),
     "sig_gate": (gate, GATE_SQL),
-    "sig_ema_asym": (folded(lambda v: stateful.smoothed(v, 0.4, 0.05)), EMA_SQL),
-    "sig_biquad": (folded(lambda v: stateful.biquad(v, COEFFICIENTS)), BIQUAD_SQL),
-    "sig_loudness": (folded(lambda v: stateful.loudness(v, 0.3, 0.1)), LOUD_SQL),
+    "sig_ema_asym": (folded(stateful.smoothing(0.4, 0.05)), EMA_SQL),
+    "sig_biquad": (folded(stateful.biquad(COEFFICIENTS)), BIQUAD_SQL),
+    "sig_loudness": (folded(stateful.loudness(0.3, 0.1)), LOUD_SQL),
     "cfg_flatten": (config, CONFIG_SQL),
     "catalog_voice": (catalog_voice, f"SELECT ord, name, gender FROM {VOICES} WHERE list_contains(languages, 'fr') AND gender IN ('female', 'unknown')"),
     "catalog_best": (catalog_best, f"SELECT ord, name FROM {VOICES} WHERE list_contains(languages, 'de') ORDER BY list_contains(languages, 'de-DE') DESC, ord LIMIT 1"),

@@ -42,9 +42,9 @@ SINGLE = {
     "vec_norm": ("n", lambda u: v.magnitude(u), "sqrt(list_sum(list_transform(v, lambda x: x * x)))"),
     "vec_logsumexp": ("n", lambda u: v.log_sum_exp(u), "ln(list_sum(list_transform(v, lambda x: exp(x))) + 1e-40)"),
     "vec_sumexp": ("n", lambda u: v.sum_exp(u), "list_sum(list_transform(v, lambda x: exp(x)))"),
-    "vec_sigmoid": ("n", lambda u: v.sigmoid(F.get(u, F.lit(0))), "1 / (1 + exp(-v[1]))"),
-    "vec_round_half_up": ("n", lambda u: v.round_half_up(F.get(u, F.lit(1)), 2), "floor(v[2] * 100 + 0.5) / 100"),
-    "vec_clip": ("n", lambda u: v.clip(F.get(u, F.lit(2)), -0.1, 0.1), "greatest(-0.1, least(0.1, v[3]))"),
+    "vec_sigmoid": ("a", lambda u: F.transform(u, v.sigmoid), "list_transform(v, lambda x: 1 / (1 + exp(-x)))"),
+    "vec_round_half_up": ("a", lambda u: F.transform(u, lambda x: v.round_half_up(x, 2)), "list_transform(v, lambda x: floor(x * 100 + 0.5) / 100)"),
+    "vec_clip": ("a", lambda u: F.transform(u, lambda x: v.clip(x, -0.1, 0.1)), "list_transform(v, lambda x: greatest(-0.1, least(0.1, x)))"),
     "vec_center": ("a", lambda u: v.center(u), "list_transform(v, lambda x: x - list_avg(v))"),
     "vec_sum_to_1": ("a", lambda u: v.scale_to_sum_1(u), "list_transform(v, lambda x: (x + CASE WHEN list_min(v) < 0 THEN -2 * list_min(v) ELSE 0 END) / (list_sum(v) + len(v) * CASE WHEN list_min(v) < 0 THEN -2 * list_min(v) ELSE 0 END))"),
     "vec_zscore": ("a", lambda u: v.z_scores(u), f"list_transform(v, lambda y: (y - list_avg(v)) / sqrt({SQL_VAR.format('len(v)')}))"),
@@ -57,8 +57,8 @@ SINGLE = {
     "vec_med5": ("a", lambda u: v.median_filter(u, 5), "list_transform(v, lambda x, i: CASE WHEN i > 2 AND i < len(v) - 1 THEN list_sort(v[i - 2:i + 2])[3] ELSE x END)"),
     "vec_topk": ("t", lambda u: v.top_k_indexes(u, 5), "list_transform(list_sort(list_transform(v, lambda x, i: {'x': -x, 'i': i - 1}))[1:5], lambda s: s.i)"),
     "vec_deltas": ("a", lambda u: v.deltas(F.transform(u, lambda x: x * 40)), "list_transform(list_reduce(list_prepend([0::DOuBLE], list_transform(v, lambda x: [x * 40])), lambda a, x: list_append(list_prepend(a[1] + floor(x[1] - a[1]), a[2:]), floor(x[1] - a[1])))[2:], lambda x: x)"),
-    "vec_slice_parts": ("n", lambda u: v.total(F.get(v.split_parts(u, 10), F.lit(6))), "list_sum(v[61:70])"),
-    "vec_transpose": ("a", lambda u: F.get(v.transpose(F.array(u, u)), F.lit(3)), "[v[4], v[4]]"),
+    "vec_slice_parts": ("a", lambda u: F.transform(v.split_parts(u, 10), v.total), "list_transform(range(0, CAST(ceil(len(v) / 10) AS BIGINT)), lambda i: list_sum(v[i * 10 + 1:i * 10 + 10]))"),
+    "vec_transpose": ("a", lambda u: F.flatten(v.transpose(F.array(u, F.reverse(u)))), "flatten(list_transform(range(1, len(v) + 1), lambda i: [v[i], v[len(v) + 1 - i]]))"),
     "vec_last_index": ("i", lambda u: v.last_index_in_range(u, F.get(u, F.lit(9)), 0, 20), "list_max(list_filter(range(0, 20), lambda i: v[i + 1] = v[10]))"),
     "vec_emphasis": ("a", lambda u: F.transform(u, lambda x, i: F.when(i == 0, x).otherwise(x - 0.97 * F.get(u, i - 1))), "list_transform(v, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - 0.97 * v[i - 1] END)"),
     "vec_denormalize": ("a", lambda u: v.denormalize(u, F.transform(u, lambda x: F.lit(2.0)), F.transform(u, lambda x: F.lit(3.0))), "list_transform(v, lambda x: x * 3.0 + 2.0)"),
@@ -126,7 +126,7 @@ def centered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vector_sets.covariance(rows(spark, sf_dir).withColumn("v", F.slice("v", 1, 4)), "label", "v")
+    found = vector_sets.covariance(rows(spark, sf_dir), "label", "v")
     return found.select("label", "i", "j", rounded(F.col("value")).alias("value"))
 
 
@@ -152,7 +152,7 @@ SETS = {
     "vec_weighted_mean": (by_label(weighted), f"SELECT label, CAST(pos AS INTEGER) AS pos, round(sum(x / (1 + vec_id)), {ROUND}) + 0.0 AS value FROM {LONG} GROUP BY label, pos"),
     "vec_normalize_sets": (normalized, f"SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN stddev_pop(x) OVER w = 0 THEN 0 ELSE (x - avg(x) OVER w) / stddev_pop(x) OVER w END, {ROUND}) + 0.0 AS value FROM {LONG} WINDOW w AS (PARTITION BY label, pos)"),
     "vec_center_sets": (centered, f"SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x - avg(x) OVER (PARTITION BY label, pos), {ROUND}) + 0.0 AS value FROM {LONG}"),
-    "vec_cov": (covariance, f"SELECT a.label, CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(coalesce(covar_samp(a.x, b.x), 0) + CASE WHEN a.pos = b.pos AND count(*) > 1 THEN 1e-6 ELSE 0 END, {ROUND}) + 0.0 AS value FROM {LONG} a JOIN {LONG} b ON a.vec_id = b.vec_id AND a.pos <= b.pos AND b.pos < 4 GROUP BY a.label, a.pos, b.pos"),
+    "vec_cov": (covariance, f"SELECT a.label, CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(coalesce(covar_samp(a.x, b.x), 0) + CASE WHEN a.pos = b.pos AND count(*) > 1 THEN 1e-6 ELSE 0 END, {ROUND}) + 0.0 AS value FROM {LONG} a JOIN {LONG} b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY a.label, a.pos, b.pos"),
     "vec_mse_sets": (squared_error_of_sets, f"SELECT label, round(avg({ZIP.format('(v[i] - w[i]) ** 2')} / len(v)), {ROUND}) + 0.0 AS value FROM (SELECT a.label, a.embedding::DOUBLE[] AS v, b.embedding::DOUBLE[] AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) GROUP BY label"),
     "vec_running_mean": (running_mean, f"SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, {ROUND}) + 0.0 AS value FROM events"),
     "vec_hamming": (hamming_ids, "SELECT event_id, CAST(bit_count((xor(event_id, user_id * 7919)) & 4294967295) AS INTEGER) AS value FROM events"),

@@ -55,7 +55,7 @@ def test_texts(spark, f, text, expected):
 
 def test_phones(spark):
     cost = lambda a, b, n: one(spark, t.phone_cost(F.lit(a), F.lit(b), n))
-    assert [cost("p", "p", 1), cost("p", "b", 1), cost("p", "s", 2), cost("p", "a", 2), cost("p", "m", 3), cost("p", "s", 3), cost("a", "e", 3), cost("a", "p", 3)] == [0, 1, 0.5, 1, 0.5, 0.75, 0.5, 1]
+    assert [cost("p", "p", 1), cost("p", "b", 1), cost("p", "s", 2), cost("p", "a", 2), cost("p", "m", 3), cost("p", "s", 3), cost("a", "e", 3), cost("a", "p", 3)] == [0, 1, 0.5, 1, 0.5, 0.75, 0.75, 1]
     assert one(spark, t.subphones(F.array(F.lit("a"), F.lit("pause")), 2)) == ["a/1", "a/2", "pause"]
     assert tuple(one(spark, t.repetition(F.split(F.lit("a b a b a b"), " ")))) == (4, 3.0)
     assert tuple(one(spark, t.repetition(F.split(F.lit("a"), " ")))) == (0, 0.0)
@@ -128,3 +128,41 @@ def test_randoms():
     assert list(randoms.packed(["aa", "b", "ccc"], 4)) == [["aa", "b"], ["ccc"]]
     with pytest.raises(ValueError):
         list(randoms.packed(["abcdef"], 4))
+
+
+def test_html_to_text(spark):
+    from corvana.functions.markup import html_to_text
+
+    page = "<html><head><title>T</title><style>p{}</style></head><body><p>One <b>two</b><br>three &amp; four</p><ul><li>x<li><a href='y'>y</a></ul><img src='z' alt='z'><script>no()</script><table><tr><td>c<td>d</table>end"
+    assert one(spark, html_to_text(F.lit(page))) == "One two\nthree & four\nx\ny\nc d\nend"
+    assert one(spark, html_to_text(F.lit(None).cast("string"))) is None and one(spark, html_to_text(F.lit(""))) == ""
+
+
+def test_parsed(spark):
+    text = "One, two; three. \"Four?\" five… 六、七。八 3.14"
+    found = one(spark, t.parsed(F.lit(text)))
+    assert [s.text for s in found] == ["One, two; three. ", '"Four?" ', "five… ", "六、七。", "八 3.14"]
+    assert [[p.text for p in s.phrases] for s in found][0] == ["One, ", "two; ", "three. "]
+    assert [p.separated for p in found[0].phrases] == [True, True, False]
+    assert "".join(w for s in found for p in s.phrases for w in p.words) == text
+    assert one(spark, t.parsed(F.lit(""))) == []
+
+
+def test_fixed_values(spark):
+    assert len(t.SYMBOL_WORDS) == 25 and len(t.PUNCTUATION) == 45 and len(t.PHRASE_SEPARATORS) == 9
+    assert one(spark, t.simplify_punctuation(F.lit("‹a›🙶b❜，。¡"))) == "\"a\"\"b',.!"
+    assert one(spark, t.is_symbol_word(F.lit("\\"))) and one(spark, t.is_symbol_word(F.lit("×"))) and not one(spark, t.is_symbol_word(F.lit("_")))
+    with pytest.raises(Exception, match="not a known phone"):
+        one(spark, t.phone_cost(F.lit("a"), F.lit("?"), 3))
+
+
+def test_binary_columns(spark):
+    for n in (0, 1, 63, 64, -1, -64, -65, 127, 128, 300, -300, 2**31 - 1, -(2**31), 2**40):
+        assert bytes(one(spark, e.encode_leb128(F.lit(n)))) == e.leb128_signed(n)
+        assert one(spark, e.decode_leb128(F.lit(e.leb128_signed(n)))) == n
+        if n >= 0:
+            assert bytes(one(spark, e.encode_leb128(F.lit(n), signed=False))) == e.leb128(n)
+            assert one(spark, e.decode_leb128(F.lit(e.leb128(n)), signed=False)) == n
+    samples = [0.0, 0.5, -0.5, 1.0, -1.0, 2.0, 1 / 3]
+    for bits in (16, 24, 32):
+        assert bytes(one(spark, e.pcm_bytes(F.array(*map(F.lit, samples)), bits))) == e.to_pcm(samples, bits)

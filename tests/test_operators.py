@@ -80,7 +80,7 @@ def test_edit_alignment():
         for b in itertools.chain(itertools.product("abc", repeat=2), itertools.product("abc", repeat=4)):
             assert al.edit_alignment(list(a), list(b))[0] == levenshtein(a, b)
     assert al.edit_alignment([], list("ab")) == (2.0, [(-1, 0), (-1, 1)])
-    assert al.edit_alignment(["a"], ["e", "a"], lambda x, y: 0.0 if x == y else 0.5)[0] == 1.5
+    assert al.edit_alignment(["a"], ["e", "a"], {("a", "e"): 0.5})[0] == 1.5
 
 
 def test_alignment_columns(spark):
@@ -104,7 +104,10 @@ def test_stateful(spark):
     rows = [(1, n, float(x)) for n, x in enumerate([5, 1, 1, 9, 0, 0])]
     df = spark.createDataFrame(rows, "k long, n int, x double")
     assert [r.peak for r in stateful.decaying_peak(df, "k", ["n"], "x", 1.5).orderBy("n").collect()] == [5.0, 3.5, 2.0, 9.0, 7.5, 6.0]
-    assert stateful.series(df, "k", ["n"], "x").select(stateful.smoothed(F.col("values"), 0.5, 0.1).alias("y")).first().y[:2] == [2.5, 2.35]
+    found = stateful.folded(df, "k", ["n"], "x", stateful.smoothing(0.5, 0.1)).orderBy("n").collect()
+    assert [r.y for r in found][:2] == [2.5, 2.35] and len(found) == df.count()
+    odd = spark.createDataFrame([(1, 0, 4.0), (1, 1, None), (1, 2, 4.0), (None, 0, 2.0)], "k int, n int, x double")
+    assert sorted([r.y for r in stateful.folded(odd, "k", ["n"], "x", stateful.smoothing(0.5, 0.5)).collect()], key=str) == [1.0, 2.0, 3.0, None]
     assert spark.range(1).select(stateful.first_exceeding(F.array(F.lit(1.0), F.lit(1.0)), F.lit(0.6)).alias("i")).first().i == 1
 
 
