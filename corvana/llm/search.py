@@ -3,10 +3,13 @@
 Document frequencies, the number of documents and their mean length are counted over all documents
 first, so scores are the same in every shard and the shards' results merge exactly. A shard's
 documents are laid out by their most frequent term and length, so that neighbours are alike, and cut
-into blocks; each posting list keeps its largest impact in each block. For a query the block maxima
-of its lists, weighted, add up to an upper bound of every document in the block. Blocks are visited
-from the highest bound on, and the postings of a block are only read while its bound can reach the
-k-th best score so far, which is carried from shard to shard.
+into blocks; each posting list keeps its largest impact in each block it stands in. For a query the
+block maxima of its lists, weighted, add up to an upper bound of every document in the block. The
+next blocks to visit, the pivots, are those of highest bound; they move on while the bound can reach
+the k-th best score so far, which is carried from shard to shard, and postings are read in these
+blocks only: every cursor skips the others. Unlike WAND's, pivots are blocks and not documents, and
+they come by bound and not by number: with the hundreds of terms of a whole text as query, a pivot
+document found by the lists' global maxima would be nearly each one.
 
 score = sum over distinct query terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)),
 rounded to 6 decimals; equal scores rank by the smaller id. Terms are runs of letters and digits in
@@ -33,7 +36,8 @@ K1, B = 1.2, 0.75
 SHARD_DOCS = 8_192
 SHARD_POSTINGS = 2_000_000
 BLOCK = 64
-QUERY_BLOCK = 16_384
+QUERY_BLOCK, QUERY_BYTES = 16_384, 64 << 20
+PIVOTS = (8, 64)  # blocks that are read at once, at first and later
 FREQUENT, FREQUENT_SHARE = 512, 16
 SLACK = 1e-5
 TERMS = re.compile(r"[^\W_]+").findall
@@ -76,8 +80,9 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Shard:
     """Posting lists by term over blocks of documents, with each list's largest impact in each block.
 
-    The lists of frequent terms are laid out block by block, with a place for each document; those
-    of rare terms hold (document, impact) pairs.
+    The lists of frequent terms are laid out block by block, with a place for each document, and have
+    their maxima as rows over all blocks. Those of rare terms hold (document, impact) pairs, and an
+    entry (block, largest impact, first posting, number of postings) for each block that they stand in.
     """
 
     def __init__(self, docs: list[tuple[int, int, bytes, bytes]], mean_length: float):
@@ -93,25 +98,33 @@ class Shard:
         every = np.concatenate([terms[n] for n in order])
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
         by_term = np.argsort(every, kind="stable")
-        every, self.doc, self.impact = every[by_term], doc[by_term], impact[by_term]
-        self.first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        self.terms, self.size = every[self.first], np.diff(np.concatenate([self.first, [len(every)]]))
-        frequent = np.flatnonzero(self.size >= max(2, len(order) // FREQUENT_SHARE))
-        frequent = frequent[np.argsort(-self.size[frequent], kind="stable")[:FREQUENT]]
+        every, doc, impact = every[by_term], doc[by_term], impact[by_term]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.terms, size = every[first], np.diff(np.concatenate([first, [len(every)]]))
+        is_frequent = np.zeros(len(first), bool)
+        frequent = np.flatnonzero(size >= max(2, len(order) // FREQUENT_SHARE))
+        frequent = frequent[np.argsort(-size[frequent], kind="stable")[:FREQUENT]]
+        is_frequent[frequent] = True
         self.row = np.full(len(self.terms), -1)
         self.row[frequent] = np.arange(len(frequent))
-        at = ranges(self.first[frequent], self.size[frequent])
+        at = ranges(first[frequent], size[frequent])
         self.laid = np.zeros((self.blocks, len(frequent), BLOCK))
-        self.laid[self.doc[at] // BLOCK, np.repeat(np.arange(len(frequent)), self.size[frequent]), self.doc[at] % BLOCK] = self.impact[at]
+        self.laid[doc[at] // BLOCK, np.repeat(np.arange(len(frequent)), size[frequent]), doc[at] % BLOCK] = impact[at]
         self.block_max = np.ascontiguousarray(self.laid.max(axis=2).T)
+        # the rare lists, and their entries
+        term = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        rare = ~is_frequent[term]
+        term, doc, impact = term[rare], doc[rare], impact[rare]
+        block = doc // BLOCK
+        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.place, self.impact = doc % BLOCK, impact
+        self.entry_block, self.entry_start, self.entry_size = block[start], start, np.diff(np.concatenate([start, [len(term)]]))
+        self.entry_max = np.maximum.reduceat(impact, start) if len(start) else np.zeros(0)
+        entries = np.bincount(term[start], minlength=len(first))
+        self.entries, self.first_entry = entries, np.cumsum(entries) - entries
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, heap: list[tuple[float, int]]) -> None:
-        """Into the heap of (score, -id), the worst on top, what of this shard belongs to the k best.
-
-        A block's bound is the weighted sum of the frequent lists' block maxima and the largest sum
-        that the rare lists reach in it. Blocks are read from the highest bound on, until none can
-        reach the k-th best score.
-        """
+        """Into the heap of (score, -id), the worst on top, what of this shard belongs to the k best."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         own = self.terms[at] == terms
@@ -119,24 +132,43 @@ class Shard:
         row = self.row[at]
         lists, frequent = row[row >= 0], weights[row >= 0]
         at, weights = at[row < 0], weights[row < 0]
-        postings = ranges(self.first[at], self.size[at])
-        rare = np.bincount(self.doc[postings], np.repeat(weights, self.size[at]) * self.impact[postings], self.blocks * BLOCK).reshape(-1, BLOCK)
-        bound = frequent @ self.block_max[lists] + rare.max(axis=1)
-        for b in np.argsort(-bound, kind="stable").tolist():
+        entry = ranges(self.first_entry[at], self.entries[at])
+        weight = np.repeat(weights, self.entries[at])
+        block = self.entry_block[entry]
+        bound = frequent @ self.block_max[lists] + np.bincount(block, weight * self.entry_max[entry], self.blocks)
+        pivots = np.argsort(-bound, kind="stable")
+        bound, done = bound[pivots], 0
+        rank = np.empty(self.blocks, np.uint16)
+        rank[pivots] = np.arange(self.blocks)
+        rank = rank[block]
+        by_pivot = np.argsort(rank, kind="stable")
+        entry, weight, rank = entry[by_pivot], weight[by_pivot], rank[by_pivot]
+        ends = np.searchsorted(rank, np.arange(self.blocks + 1)).tolist()
+        while done < self.blocks:
             least = heap[0][0] if len(heap) == k else 1e-6
-            if bound[b] + SLACK < least:
+            n = min(PIVOTS[done > 0], int(np.searchsorted(-bound[done:], SLACK - least, side="right")))  # those that can reach it
+            if not n:
                 return
-            score = np.round(frequent @ self.laid[b, lists] + rare[b], 6)
-            found = np.flatnonzero(score >= least)
-            for n in found.tolist():
-                hit = (float(score[n]), -int(self.ids[b * BLOCK + n]))
+            read = pivots[done : done + n]
+            mine = slice(ends[done], ends[done + n])
+            size = self.entry_size[entry[mine]]
+            posting = ranges(self.entry_start[entry[mine]], size)
+            at = (rank[mine].astype(np.int64) - done) * BLOCK
+            score = np.bincount(np.repeat(at, size) + self.place[posting], np.repeat(weight[mine], size) * self.impact[posting], n * BLOCK)
+            score = np.round(score + (frequent @ self.laid[read[:, None], lists]).ravel(), 6)
+            good = np.flatnonzero(score >= least)
+            if len(good) > k:  # of these only the k best, and their equals, can stay
+                good = good[score[good] >= np.partition(score[good], -k)[-k]]
+            for found in good.tolist():
+                hit = (float(score[found]), -int(self.ids[int(read[found // BLOCK]) * BLOCK + found % BLOCK]))
                 if len(heap) < k:
                     heapq.heappush(heap, hit)
                 elif hit > heap[0]:
                     heapq.heapreplace(heap, hit)
+            done += n
 
 
-def searched(k: int, mean_length: float):
+def searched(k: int, mean_length: float, shard_docs: int):
     """For mapInArrow over rows sorted by block, then queries before documents, which are indexed shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +200,7 @@ def searched(k: int, mean_length: float):
                 elif queries:
                     docs.append((i, length, terms, values))
                     held += len(terms) // 8
-                    if len(docs) >= SHARD_DOCS or held >= SHARD_POSTINGS:
+                    if len(docs) >= shard_docs or held >= SHARD_POSTINGS:
                         search()
         search()
         yield found()
@@ -186,13 +218,14 @@ def packed_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], names=["id", "terms", "freqs"])
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, query_rows: int = QUERY_BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, id_col, score): the k best of all rows for each query row's whole text, itself among them.
 
     Rows without an id take no part; a null or empty text is a document of length 0 and a query
     without results; documents that share no term with a query aren't returned. Where a query's id
     repeats, its smallest text is the query; as documents all rows count. Only the two columns and
-    those of is_query are read.
+    those of is_query are read. Texts are taken whole, however long: a task holds the terms of at most
+    about query_bytes of queries, and of a shard of shard_docs documents or SHARD_POSTINGS postings.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null")
     df_rows = rows.select("t").mapInArrow(frequencies, "term long, df long, length long")
@@ -213,14 +246,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id",
     weighted = asked.mapInArrow(mapper(query_terms, "t"), "id long, term long").join(counted.select("term", weight.alias("weight")), "term")
     queries = weighted.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("pairs"))  # bounded by a text's distinct terms
     queries = cut(queries.mapInArrow(packed_queries, "id long, terms binary, freqs binary"))
-    q_blocks, d_blocks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, n // (2 * SHARD_DOCS))
+    held = queries.agg(F.count("*").alias("n"), F.sum(2 * F.octet_length("terms")).alias("bytes")).first()
+    q_blocks, d_blocks = max(1, -(-held["n"] // query_rows), -(-(held["bytes"] or 0) // query_bytes)), max(1, n // (2 * shard_docs))
     spread = lambda blocks: F.pmod(F.xxhash64("id", "terms"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = queries.select(spread(q_blocks).alias("qb"), every(d_blocks).alias("db"), F.lit(True).alias("is_query"), "id", F.lit(0).cast("long").alias("length"), "terms", "freqs")
     docs = rows.select("id", "t").mapInArrow(mapper(doc_rows, "t"), schema)
     right = docs.select(spread(d_blocks).alias("db"), every(q_blocks).alias("qb"), F.lit(False).alias("is_query"), "id", "length", "terms", "freqs")
     tiles = left.unionByName(right).repartition(q_blocks * d_blocks, "qb", "db").sortWithinPartitions("qb", "db", F.desc("is_query"))
-    best = tiles.mapInArrow(searched(k, mean_length), "query_id long, id long, score double")
+    best = tiles.mapInArrow(searched(k, mean_length, shard_docs), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvana.llm import search as s
 
 
-def test_against_sql(spark, monkeypatch):
+def test_against_sql(spark):
     rng = random.Random(4)
     words = [f"w{n}" for n in range(60)]
     rows = [(n, " ".join(rng.choice(words[: rng.choice((5, 20, 60))]) for _ in range(rng.randint(0, 40)))) for n in range(400)]
@@ -19,8 +19,21 @@ def test_against_sql(spark, monkeypatch):
     frame = df.toPandas()
     con.register("documents", frame)
     expected = sorted(con.execute(s.oracle()).fetchall())
-    got = sorted(tuple(r) for r in s.top_k(df, F.col("doc_id") % 50 == 0).collect())
-    assert got == expected
+    assert sorted(tuple(r) for r in s.top_k(df, F.col("doc_id") % 50 == 0).collect()) == expected
+    # several shards to a tile, several tiles, several blocks of queries by number and by bytes; a shard of one block and of many
+    for sizes in ({"shard_docs": 30}, {"shard_docs": 90, "query_rows": 3}, {"shard_docs": 70, "query_bytes": 500}):
+        assert sorted(tuple(r) for r in s.top_k(df.repartition(5), F.col("doc_id") % 50 == 0, **sizes).collect()) == expected
+
+
+def test_long_texts(spark):
+    rng = random.Random(6)
+    rows = [(n, " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000 if n % 50 == 0 else 300))) for n in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    frame = df.toPandas()
+    con.register("documents", frame)
+    expected = sorted(con.execute(s.oracle()).fetchall())
+    assert sorted(tuple(r) for r in s.top_k(df, F.col("doc_id") % 50 == 0, shard_docs=50, query_bytes=40_000).collect()) == expected
 
 
 def test_pruned_equals_full():
