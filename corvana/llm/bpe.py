@@ -222,7 +222,7 @@ class Encoder:
             else:
                 for p in pieces[r]:
                     store.extend(found[p])
-            spans[r] = at << 24 | len(store) - at
+            spans[r] = at << 32 | len(store) - at
 
     def encode_batch(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
@@ -239,7 +239,7 @@ class Encoder:
         self.learn(distinct)
         spans = np.fromiter(map(self.spans.__getitem__, distinct), np.int64, len(distinct))
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        first, length = (spans >> 24)[codes], (spans & 0xFFFFFF)[codes]
+        first, length = (spans >> 32)[codes], (spans & 0xFFFFFFFF)[codes]
         ends = np.cumsum(length)
         where = np.repeat(first - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
         values = np.frombuffer(self.store, np.int32)[where]

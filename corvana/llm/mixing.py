@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 OTHER = "(other)"
 RANGE_ROWS = 256
 COARSE = 1024
+MAX_WEIGHT = 1_000_000
 ADDED = ("pool", "block", "pos", "slot", "release", "deadline", "mix_position")
 
 
@@ -68,13 +69,17 @@ def mix(df: DataFrame, weights: dict[str, int], other_weight: int, block_rows: i
     pos (of the source, and within the block, from 0), slot, release and deadline (in blocks over
     the whole mix) and mix_position (slot * block_rows + pos). Where df has columns of these names,
     the new ones replace them. Only a source's last block may be short. Weights are positive
-    integers. Rows of equal ids follow each other in any order; a null id counts as the empty text.
-    No rows give no rows.
+    integers, of MAX_WEIGHT together at most: the slots of one period are laid out on the driver.
+    Rows of equal ids follow each other in the order of their hash; rows without an id are spread by
+    theirs. No rows give no rows.
     """
     if block_rows < 1 or min([other_weight, *weights.values()]) < 1 or OTHER in weights:
         raise ValueError("weights and block_rows must be positive integers, and the name of the rest isn't free")
+    if other_weight + sum(weights.values()) > MAX_WEIGHT:
+        raise ValueError(f"the weights are more than {MAX_WEIGHT} together")
     columns = [c for c in df.columns if c not in ADDED]
-    hashed = F.md5(F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")))
+    hashable = [F.col(f"row.`{f.name}`") for f in df.schema if f.name in columns and "map<" not in f.dataType.simpleString()]
+    hashed = F.md5(F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.concat(F.lit("row "), F.xxhash64(*hashable).cast("string"))))
     pool = F.when(F.col(f"row.`{source_col}`").isin(list(weights)), F.col(f"row.`{source_col}`")).otherwise(OTHER)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("h", hashed).withColumn("pool", pool)
     n_ranges = max(1, rows.count() // RANGE_ROWS)
@@ -94,7 +99,6 @@ def mix(df: DataFrame, weights: dict[str, int], other_weight: int, block_rows: i
     kind = "array<struct<pool:string,phases:array<struct<first:bigint,last:bigint,start:bigint,period:bigint,share:bigint,slots:array<bigint>>>>>"
     table = df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(by_pool)), kind)).alias("p")).select("p.*")
 
-    hashable = [F.col(f"row.`{f.name}`") for f in df.schema if f.name in columns and "map<" not in f.dataType.simpleString()]
     order = Window.partitionBy("pool", "range").orderBy("h", F.xxhash64(*hashable))  # the same order in a repeated task
     ranked = rows.join(before, ["pool", "range"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
     placed = ranked.withColumns({"block": F.floor(F.col("rank") / block_rows), "pos": F.col("rank") % block_rows})

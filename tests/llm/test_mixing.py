@@ -62,8 +62,17 @@ def test_rows(spark):
     assert {r.pool for r in got if r.doc_id in (None, 900)} == {m.OTHER}
     assert all(r.release <= r.slot < r.deadline for r in got)
     assert m.mix(df.limit(0), {"a": 3}, 1, 4).count() == 0
-    with pytest.raises(ValueError):
-        m.mix(df, {"a": 0}, 1, 4)
+    for weights in ({"a": 0}, {"a": m.MAX_WEIGHT}):
+        with pytest.raises(ValueError):
+            m.mix(df, weights, 1, 4)
+
+
+def test_rows_without_id_are_spread(spark):
+    df = spark.createDataFrame([(None, "a", n) for n in range(3000)] + [(n, "a", n) for n in range(100)], "doc_id long, source string, n long")
+    got = m.mix(df, {"a": 3}, 1, 4).collect()
+    assert sorted(r.mix_position for r in got) == list(range(3100))
+    places = sorted(r.mix_position for r in got if r.doc_id is not None)
+    assert places[0] < 200 and places[-1] > 2900  # between the others, not before or behind them
 
 
 def test_against_sql(spark):

@@ -94,3 +94,10 @@ def test_rows(spark):
     assert masked.columns == df.columns and masked.count() == 5
     assert masked.where("doc_id = 3").first().n_chars == len("é <masked-assign>")
     assert s.scan(df.limit(0)).count() == 0
+
+
+def test_openssh_block_of_many_keys():
+    for count in (70, 3):
+        block = s.OPENSSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + count.to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in [*[b"p" * 51] * count, b"q" * 88])
+        assert s.is_openssh_key(block) and not s.is_openssh_key(block[:-1])
+    assert not s.is_openssh_key(s.OPENSSH + b"\0" * 12 + b"\xff" * 8)
