@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a local master without it takes a folder of its own machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not where:
         where = os.environ.get("CORVANA_SHARED_DIR") or os.path.join(tempfile.gettempdir(), "corvana-shared")
     return where
