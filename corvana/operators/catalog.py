@@ -53,6 +53,20 @@ def voice_languages(df: DataFrame, order: str = "ord") -> DataFrame:
     return df.select(order, F.explode("languages").alias("language")).groupBy("language").agg(F.min(order).alias("first"))
 
 
+VERSION = r"^.*-([0-9]{8}(?:_[0-9]+)?)$"
+
+
+def version_tag(name: Column) -> Column:
+    """The date, and the number after it if any, at the end of a package's name; null if it has none."""
+    return F.when(name.rlike(VERSION), F.regexp_extract(name, VERSION, 1))
+
+
+def versioned(name: Column, tags: dict[str, str], default: str) -> Column:
+    """A package's name with its version: its own, the listed one or the default."""
+    listed = F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])[name] if tags else F.lit(None).cast("string")
+    return F.when(version_tag(name).isNotNull(), name).otherwise(F.concat(name, F.lit("-"), F.coalesce(listed, F.lit(default))))
+
+
 def lexicon_matches(words: DataFrame, lexicon: DataFrame, key: list[str], order: str, word: str) -> DataFrame:
     """words with the pronunciation that a contextual lexicon gives.
 

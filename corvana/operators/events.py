@@ -1,4 +1,4 @@
-"""Event streams of speech engines to timelines, and phone alphabets. Input order is a column; each key's events stay together."""
+"""Event streams of speech engines to timelines. Input order is a column; each key's events stay together."""
 
 from __future__ import annotations
 
@@ -7,19 +7,6 @@ from pyspark.sql import functions as F
 
 TICKS = 1e7  # in a second
 
-# ARPAbet phones and their IPA forms.
-ARPABET = {
-    "AA": "ɑ", "AE": "æ", "AH": "ʌ", "AO": "ɔ", "AW": "aʊ", "AY": "aɪ", "B": "b", "CH": "tʃ", "D": "d", "DH": "ð", "EH": "ɛ", "ER": "ɝ", "EY": "eɪ", "F": "f", "G": "ɡ", "HH": "h", "IH": "ɪ", "IY": "i", "JH": "dʒ", "K": "k",
-    "L": "l", "M": "m", "N": "n", "NG": "ŋ", "OW": "oʊ", "OY": "ɔɪ", "P": "p", "R": "ɹ", "S": "s", "SH": "ʃ", "T": "t", "TH": "θ", "UH": "ʊ", "UW": "u", "V": "v", "W": "w", "Y": "j", "Z": "z", "ZH": "ʒ",
-}
-
-
-def arpabet_to_ipa(phone: Column) -> Column:
-    """Without the stress digit, in any case; null for unknown phones."""
-    table = F.create_map(*[F.lit(x) for pair in ARPABET.items() for x in pair])
-    return table[F.upper(F.regexp_replace(phone, "[0-2]$", ""))]
-
-
 def word_boundaries(events: DataFrame, kind: str = "WordBoundary") -> DataFrame:
     """Word events with ticks as seconds: start_time and end_time."""
     return events.where(F.col("kind") == kind).withColumns({"start_time": F.col("offset_ticks") / TICKS, "end_time": (F.col("offset_ticks") + F.col("duration_ticks")) / TICKS})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import encodings as e
-from corvana.functions import markup
+from corvana.functions import markup, phones
 from corvana.functions import texts as t
 from corvana.operators import catalog, events, subtitles
 from corvana.operators import timeline as tl
@@ -61,6 +61,29 @@ SELECT event_id, {', '.join(f'list_contains({x}, p) AS {n}' for n, x in (('plosi
 FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN a || '?' ELSE a END AS p FROM {PAIRED})
 """
 
+ARPABET_MAP = "map {'AA': 'ɑ', 'AE': 'æ', 'AH': 'ʌ', 'AH0': 'ə', 'AO': 'ɔ', 'AW': 'aʊ', 'AY': 'aɪ', 'EH': 'ɛ', 'ER': 'ɝ', 'ER0': 'ɚ', 'EY': 'eɪ', 'IH': 'ɪ', 'IH0': 'ɨ', 'IY': 'i', 'OW': 'oʊ', 'OY': 'ɔɪ', 'UH': 'ʊ', 'UW': 'u', 'B': 'b', 'CH': 'tʃ', 'D': 'd', 'DH': 'ð', 'EL': 'l̩ ', 'EM': 'm̩', 'EN': 'n̩', 'F': 'f', 'G': 'ɡ', 'HH': 'h', 'JH': 'dʒ', 'K': 'k', 'L': 'l', 'M': 'm', 'N': 'n', 'NG': 'ŋ', 'P': 'p', 'Q': 'ʔ', 'R': 'ɹ', 'S': 's', 'SH': 'ʃ', 'T': 't', 'TH': 'θ', 'V': 'v', 'W': 'w', 'WH': 'ʍ', 'Y': 'j', 'Z': 'z', 'ZH': 'ʒ'}"
+TIMIT_MAP = "map {'AX': 'ə', 'AX-H': 'ə̥', 'AXR': 'ɚ', 'B': '', 'BCL': 'b', 'D': '', 'DCL': 'd', 'DX': 'ɾ', 'ENG': 'ŋ̍', 'EPI': '', 'G': '', 'GCL': 'g', 'HV': 'ɦ', 'H//': '', 'IX': 'ɨ', 'KCL': 'k', 'K': '', 'NX': 'ɾ̃', 'P': '', 'PAU': '', 'PCL': 'p', 'T': '', 'TCL': 't', 'UX': 'ʉ'}"
+TOKENS_MAP = "map {'ɑ': 'aa', 'ɑː': 'aa', 'ɑːɹ': 'aa r', 'a': 'aa', 'aʊ': 'aw', 'aɪ': 'ay', 'aɪɚ': 'ay r', 'aɪə': 'ay ax', 'æ': 'ae', 'æʊ': 'ae uh', 'ʌ': 'ah', 'ɐ': 'ah', 'ə': 'ax', 'ə̥': 'ax-h', 'əʊ': 'ax uh', 'ɚ': 'axr', 'ᵻ': 'ax', 'ɔ': 'ao', 'ɔː': 'ao', 'ɔːɹ': 'ao r', 'ɔɪ': 'oy', 'ɒ': 'ao', 'ɛ': 'eh', 'ɜː': 'eh', 'ɝ': 'er', 'ɛɹ': 'er', 'eɪ': 'ey', 'eə': 'ey ax', 'eː': 'ey', 'ɪ': 'ih', 'ɪɹ': 'ih r', 'ɨ': 'ix', 'i': 'iy', 'iː': 'iy', 'iə': 'iy ax', 'oʊ': 'ow', 'oː': 'ow', 'oːɹ': 'ow r', 'ʊ': 'uh', 'ʊɹ': 'uh r', 'ʊə': 'uh ax', 'u': 'uw', 'uː': 'uw', 'b': 'bcl b', 'tʃ': 'tcl ch', 'd': 'dcl d', 'ð': 'dh', 'l̩': 'el', 'əl': 'el', 'm̩': 'em', 'n̩': 'en', 'f': 'f', 'ɡ': 'gcl g', 'h': 'hh', 'dʒ': 'dcl jh', 'k': 'kcl k', 'l': 'l', 'm': 'm', 'n': 'n', 'ŋ': 'ng', 'p': 'pcl p', 'ʔ': 'q', 'ɹ': 'r', 's': 's', 'ʃ': 'sh', 't': 'tcl t', 'θ': 'th', 'v': 'v', 'w': 'w', 'ʍ': 'wh', 'j': 'y', 'z': 'z', 'ʒ': 'zh', 'ɾ̃': 'nx', 'ʉ': 'ux', 'ɦ': 'hv', 'ŋ̍': 'eng', 'ɾ': 'dx'}"
+
+
+def phone_alphabets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of both alphabets for each event, known or not, in either case, and the tokens of its phone."""
+    names = F.array(*[F.lit(x) for x in ("AA", "ah0", "B", "bcl", "EL", "ax-h", "PAU", "zz", "t", "ER0")])
+    name, p = F.element_at(names, (F.col("event_id") % 10 + 1).cast("int")), F.col("a")
+    told = lambda c: F.array_join(c, " ")
+    return phone_pairs(spark, sf_dir).select("event_id", phones.arpabet_to_ipa(name).alias("arpabet"), phones.timit_to_ipa(name).alias("timit"), told(phones.ipa_to_timit(p)).alias("tokens"), told(phones.ipa_to_timit(p, 2)).alias("parts"), told(phones.ipa_word_to_timit(F.concat(F.lit("kɑ"), p))).alias("word"))
+
+
+FOUND = "element_at({}, {})[1]"
+HALVES = "array_to_string(flatten(list_transform(string_split(tokens, ' '), lambda t: [t || '/1', t || '/2'])), ' ')"
+ALPHABETS_SQL = f"""
+SELECT event_id, arpabet, coalesce(timit, arpabet) AS timit, tokens, CASE WHEN tokens IS NOT NULL THEN {HALVES} END AS parts,
+  CASE WHEN len(list_filter(letters, lambda t: t IS NULL)) = 0 THEN 'kcl k aa ' || array_to_string(letters, ' ') END AS word
+FROM (SELECT event_id, {FOUND.format(ARPABET_MAP, 'upper(name)')} AS arpabet, {FOUND.format(TIMIT_MAP, 'upper(name)')} AS timit, {FOUND.format(TOKENS_MAP, 'a')} AS tokens,
+    list_transform(string_split(a, ''), lambda c: {FOUND.format(TOKENS_MAP, 'c')}) AS letters
+  FROM (SELECT event_id, a, ['AA', 'ah0', 'B', 'bcl', 'EL', 'ax-h', 'PAU', 'zz', 't', 'ER0'][event_id % 10 + 1] AS name FROM {PAIRED}))
+"""
+
 # words, signs and paths
 
 SYMBOLS = "('$','€','¢','£','¥','©','®','™','%','&','#','~','@','+','±','÷','/','\\','^','*','×','=','¼','½','¾')"
@@ -305,7 +328,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "phone_costs": (phone_costs, COSTS_SQL), "phone_classes": (phone_classes, CLASSES_SQL), "txt_word_kinds": (word_kinds, KINDS_SQL), "txt_segments": (segments, SEGMENTS_SQL), "txt_strings": (strings, STRINGS_SQL),
+    "phone_costs": (phone_costs, COSTS_SQL), "phone_classes": (phone_classes, CLASSES_SQL), "phone_alphabets": (phone_alphabets, ALPHABETS_SQL), "txt_word_kinds": (word_kinds, KINDS_SQL), "txt_segments": (segments, SEGMENTS_SQL), "txt_strings": (strings, STRINGS_SQL),
     "txt_whole_paths": (whole_paths, WHOLE_SQL), "enc_more": (more_encodings, ENCODINGS_SQL), "enc_windows_1252": (windows_1252, WINDOWS_SQL), "ev_boundaries": (boundaries, BOUNDARIES_SQL),
     "ev_words_phones": (words_phones, WORDS_PHONES_SQL), "ev_trace": (trace, TRACE_SQL), "ev_log": (log_lines, LOG_SQL), "ev_path_tokens": (path_tokens, PATH_SQL), "ev_greedy_words": (greedy, GREEDY_SQL),
     "ev_sentences": (phrase_sentences, SENTENCES_SQL), "ev_token_kinds": (token_kinds, KIND_SQL), "ev_suppressed": (suppressed, SUPPRESSED_SQL), "timeline_token_words": (token_words, TOKEN_SQL),

@@ -287,6 +287,18 @@ def catalog_languages(spark, sf_dir):
     return catalog.voice_languages(voice_catalogue(spark, sf_dir))
 
 
+def catalog_versions(spark, sf_dir):
+    """Suppliers as packages, a third of them with a version in their name."""
+    n = F.col("s_suppkey")
+    name = F.when(n % 3 == 0, F.concat("s_name", F.lit("-20240"), (n % 900 + 100).cast("string"))).when(n % 3 == 1, F.concat("s_name", F.lit("-20240101_"), n.cast("string"))).otherwise(F.concat(F.lit("voice-"), (n % 2).cast("string")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", catalog.version_tag(name).alias("tag"), catalog.versioned(name, {"voice-1": "20231212"}, "20230718").alias("versioned"))
+
+
+VERSIONS_SQL = """
+SELECT s_suppkey, nullif(regexp_extract(name, '^.*-([0-9]{8}(?:_[0-9]+)?)$', 1), '') AS tag,
+  CASE WHEN regexp_matches(name, '-[0-9]{8}(_[0-9]+)?$') THEN name WHEN name = 'voice-1' THEN name || '-20231212' ELSE name || '-20230718' END AS versioned
+FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name || '-20240' || (s_suppkey % 900 + 100) WHEN 1 THEN s_name || '-20240101_' || s_suppkey ELSE 'voice-' || (s_suppkey % 2) END AS name FROM supplier)
+"""
 VOICES = "(SELECT s_suppkey AS ord, s_name AS name, CASE s_nationkey % 3 WHEN 0 THEN ['en', 'en-US'] WHEN 1 THEN ['de', 'de-DE'] ELSE ['fr'] END AS languages, CASE s_nationkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'female' ELSE 'male' END AS gender FROM supplier)"
 
 
@@ -372,6 +384,7 @@ QUERIES = {
     "catalog_voice": (catalog_voice, f"SELECT ord, name, gender FROM {VOICES} WHERE list_contains(languages, 'fr') AND gender IN ('female', 'unknown')"),
     "catalog_best": (catalog_best, f"SELECT ord, name FROM {VOICES} WHERE list_contains(languages, 'de') ORDER BY list_contains(languages, 'de-DE') DESC, ord LIMIT 1"),
     "catalog_languages": (catalog_languages, f"SELECT language, min(ord) AS first FROM (SELECT ord, unnest(languages) AS language FROM {VOICES}) GROUP BY language"),
+    "catalog_versions": (catalog_versions, VERSIONS_SQL),
     "lang_topk": (lang_topk, LANG_SQL),
     "lex_lookup": (lex_lookup, LEX_SQL),
     "txt_compress_ratio": (deflate, None),

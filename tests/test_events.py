@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvana.functions import phones as p
 from corvana.operators import events as e
 
 
@@ -34,4 +35,5 @@ def test_tokens(spark):
     assert [r.x for r in kinds.collect()] == ["text", "special", "language", "timestamp"]
     words = spark.createDataFrame([(" a",), ("!!",), (",",)], "token string")
     assert [r.token for r in e.suppressed_tokens(words, [","]).collect()] == ["!!"]
-    assert spark.range(1).select(e.arpabet_to_ipa(F.lit("ah1")).alias("x")).first().x == "ʌ"
+    found = spark.range(1).select(*[f(F.lit(x)).alias(f"c{n}") for n, (f, x) in enumerate([(p.arpabet_to_ipa, "ah"), (p.arpabet_to_ipa, "Ah0"), (p.arpabet_to_ipa, "ah9"), (p.timit_to_ipa, "b"), (p.ipa_to_timit, "tʃ"), (p.ipa_word_to_timit, "kæt"), (p.ipa_word_to_timit, "k?")])]).first()
+    assert list(found) == ["ʌ", "ə", None, "", ["tcl", "ch"], ["kcl", "k", "ae", "tcl", "t"], None]
