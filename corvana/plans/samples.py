@@ -294,6 +294,22 @@ FROM {PAIR_FROM}
 """
 
 
+def mfcc_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two signals by way of their mfcc frames: features, then the warping path's cost."""
+    found = alignment.aligned_signals(neighbours(spark, sf_dir), "vec_id", "a", "b", **SHORT)
+    return found.select("vec_id", F.round("cost", 2).alias("cost"))
+
+
+FRAMES_OF = MFCC_SQL[: MFCC_SQL.rindex("SELECT vec_id, array_to_string")]
+MFCC_DTW_SQL = f"""{FRAMES_OF.rstrip()},
+m AS (SELECT vec_id, list(mfcc ORDER BY f) AS m FROM found GROUP BY vec_id),
+c AS (SELECT x.vec_id, list_transform(x.m, lambda p: list_transform(y.m, lambda q: sqrt(list_sum(list_transform(range(1, 5), lambda k: pow(p[k] - q[k], 2))))::FLOAT)) AS c FROM m x JOIN m y ON y.vec_id = x.vec_id + 1)
+SELECT vec_id, round(list_reduce(list_prepend(list_prepend(0::FLOAT, list_transform(range(2, 10), lambda j: 'inf'::FLOAT)), list_transform(range(2, 10), lambda i: [i::FLOAT])),
+  lambda p, x: list_reduce(list_prepend(['inf'::FLOAT], list_transform(range(2, 10), lambda j: [j::FLOAT])),
+    lambda r, y: list_append(r, c[CAST(x[1] AS INTEGER)][CAST(y[1] AS INTEGER)] + least(r[-1], p[CAST(y[1] AS INTEGER)], p[CAST(y[1] AS INTEGER) - 1]))))[-1]::DOUBLE, 2) AS cost FROM c
+"""
+
+
 def edit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("a"))
     pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
@@ -313,7 +329,7 @@ OTHERS = {
     "sig_pcm": (pcm, PCM_QUERY), "sig_power_spectrum": (spectra("power"), POWER_SQL), "sig_mel_spectrum": (spectra("mel"), MEL_SQL), "sig_mfcc": (spectra("mfcc"), MFCC_SQL),
     "vec_window_weights": (window_weights, WINDOW_SQL), "sig_filter_coefficients": (filters, FILTER_SQL), "enc_leb128": (leb128, LEB_SQL), "enc_little_endian": (little_endian, LITTLE_SQL),
     "hash_murmur_int": (murmur_int, MURMUR_SQL), "rnd_xorshift": (xorshift, XORSHIFT_SQL), "time_frames": (frames, FRAMES_SQL), "vec_cov_weighted": (weighted_covariance, WEIGHTED_SQL),
-    "dtw_pair": (warped(None), PAIR_SQL), "dtw_banded": (warped(8), BANDED_SQL), "dtw_cosine": (cosine_warped, COSINE_SQL), "dtw_search": (searched, SEARCH_SQL), "txt_edit_phone": (edit_words, EDIT_SQL),
+    "dtw_pair": (warped(None), PAIR_SQL), "dtw_banded": (warped(8), BANDED_SQL), "dtw_cosine": (cosine_warped, COSINE_SQL), "dtw_search": (searched, SEARCH_SQL), "dtw_mfcc": (mfcc_aligned, MFCC_DTW_SQL), "txt_edit_phone": (edit_words, EDIT_SQL),
 }
 
 

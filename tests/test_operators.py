@@ -153,3 +153,17 @@ def test_streams(spark, small, tmp_path):
     text = states.ChunkedUtf8()
     data = "aé日😀".encode()
     assert "".join(text.add(data[i : i + 1]) for i in range(len(data))) + text.end() == "aé日😀"
+
+
+def test_aligned_signals(spark):
+    """A signal and the same one after a pause: behind the pause the path keeps its length."""
+    rng = np.random.default_rng(2)
+    parts = [rng.normal(0, 0.3, 1200), np.sin(np.arange(1200) * 0.9), rng.normal(0, 0.05, 1200), np.sin(np.arange(1200) * 0.3)]
+    sound = np.concatenate(parts)
+    later = np.concatenate([np.zeros(1600), sound])
+    df = spark.createDataFrame([(1, sound.tolist(), later.tolist()), (2, None, [0.0] * 800)], "k int, a array<double>, b array<double>")
+    got = {r.k: r for r in al.aligned_signals(df, "k", "a", "b", rate=8000, high=3500.0).collect()}
+    path = got[1].path
+    assert got[2].cost is None and got[2].path is None and got[1].cost > 0
+    assert (path[0].source, path[0].dest) == (0.0, 0.0) and abs(path[-1].dest - path[-1].source - 0.2) < 0.03
+    assert abs(np.median([p.dest - p.source for p in path if p.source > 0.2]) - 0.2) < 0.05
