@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from corvana.session import cut
 
-#: A key is hot with more rows than this, and than this share of all, so that at most HOT_SHARE keys are broadcast.
-HOT_ROWS, HOT_SHARE = 1_000, 100_000
+#: A key is hot with more rows than this, and than this share of all, so that at most HOT_SHARE keys are broadcast; of so few rows that one task takes them all none is.
+HOT_ROWS, HOT_SHARE, FEW_ROWS = 1_000, 100_000, 10_000
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left joined with right, which has each key once; a key that holds a large share of left meets right by broadcast, so its rows stay where they are."""
-    counts = left.groupBy(key).agg(F.count("*").alias("n"))
     total = left.count()
+    if total <= FEW_ROWS:
+        return left.join(right, key, how)
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
     hot = cut(counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(key))
     if hot.isEmpty():
         return left.join(right, key, how)

@@ -100,6 +100,7 @@ def test_keep_first_by_component(spark):
 
 def test_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(components, "HOT_ROWS", 20)
+    monkeypatch.setattr(components, "FEW_ROWS", 0)
     left = spark.createDataFrame([(n % 7 if n % 3 else 1, n) for n in range(200)] + [(None, 500)], "k long, x long")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k long, y string")
     for how in ("inner", "left"):
