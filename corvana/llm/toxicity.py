@@ -293,8 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             labelled[place[r["mask"]], int(r["y"] > 0)] += r["n"]
     model = LabelModel.fit(bits(masks), labelled, other)
 
-    drawn = lambda kind: told.where(kind).orderBy(F.xxhash64("id", "key"), "id", "key").select("mask", "hits").limit(FIT_ROWS).collect()
-    rows = drawn("y is not null") + drawn("y is null")  # 2 * FIT_ROWS at most
+    drawn = lambda kind: cut(told.where(kind).orderBy(F.xxhash64("id", "key"), "id", "key").select("mask", "hits").limit(FIT_ROWS))  # noqa: E731  cut: else each task sends as many to the driver
+    rows = drawn("y is not null").collect() + drawn("y is null").collect()  # 2 * FIT_ROWS at most
     masks, (hits, row) = np.array([r["mask"] for r in rows], np.int64), flattened([r["hits"] for r in rows])
     target = model.posterior(bits(masks)) if rows else np.zeros(0)
     weight, bias = logistic(masks, hits, row, len(lexicon.entries), target)
