@@ -200,10 +200,10 @@ NUMBERED = "(SELECT user_id, event_id, event_type, value, row_number() OVER (PAR
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "WordBoundary").otherwise("Viseme")
     rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), (F.col("event_id") * 1_234_567).alias("offset_ticks"), F.floor(F.col("value") * 100_000).alias("duration_ticks"))
-    return events.word_boundaries(rows).select("event_id", F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"))
+    return events.word_boundaries(rows).select("event_id", F.round("start_time", 7).alias("start_time"), F.round("end_time", 7).alias("end_time"))
 
 
-BOUNDARIES_SQL = "SELECT event_id, round(event_id * 1234567 / 1e7, 6) AS start_time, round((event_id * 1234567 + CAST(floor(value * 100000) AS BIGINT)) / 1e7, 6) AS end_time FROM events WHERE event_type = 'purchase'"
+BOUNDARIES_SQL = "SELECT event_id, round(event_id * 1234567 / 1e7, 7) AS start_time, round((event_id * 1234567 + CAST(floor(value * 100000) AS BIGINT)) / 1e7, 7) AS end_time FROM events WHERE event_type = 'purchase'"
 
 
 def words_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
