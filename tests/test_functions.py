@@ -166,3 +166,13 @@ def test_binary_columns(spark):
     samples = [0.0, 0.5, -0.5, 1.0, -1.0, 2.0, 1 / 3]
     for bits in (16, 24, 32):
         assert bytes(one(spark, e.pcm_bytes(F.array(*map(F.lit, samples)), bits))) == e.to_pcm(samples, bits)
+
+
+def test_murmur_many(spark):
+    rng = np.random.default_rng(1)
+    data = [rng.bytes(int(n)) for n in [*range(20), 4000, 333, 0, 7]]
+    for seed in (0, 42):
+        assert e.murmur3_many(data, seed).tolist() == [e.murmur3(x, seed) for x in data]
+    assert e.murmur3_many([]).tolist() == []
+    df = spark.createDataFrame([("abc",), (None,), ("",), ("é😀",)], "t string")
+    assert [r.h for r in df.select(e.murmur3_text("t").alias("h")).collect()] == [e.murmur3(b"abc"), None, 0, e.murmur3("é😀".encode())]
