@@ -6,8 +6,9 @@ structure holds:
 
 - ``jwt``: three base64url parts of which the first decodes to a JSON object with a string ``alg``
   and the second to a JSON object;
-- ``pem``: an armoured private key whose body decodes to DER whose nested lengths fill it exactly,
-  or to the length-prefixed fields of an ``openssh-key-v1`` block;
+- ``pem``: an armoured private key, its line breaks escaped or not, whose body decodes to DER whose
+  nested lengths fill it exactly, or to the length-prefixed fields of an ``openssh-key-v1`` block; or
+  to whole cipher blocks, where a header line tells cipher and initial vector;
 - ``key64`` and ``keyhex``: a bare base64 or hex run that decodes to such DER (a sequence that
   begins with a version number or an algorithm) or such a block.
 
@@ -45,7 +46,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A JSON object's first byte makes the first letter an e.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{9,})\.(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?:\s|\\+[nr])*[A-Z][A-Za-z-]+: [A-Za-z0-9,.-]+)*)((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1PRIVATE KEY-----")
+ESCAPED = re.compile(r"\\+[nr]")
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})(?![0-9A-Fa-f])")
 #: M begins a DER sequence of more than 47 bytes, b the magic of an openssh block.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[Mb][A-Za-z0-9+/]{39,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]|6f70656e)[0-9A-Fa-f]{36,}")
@@ -139,6 +142,23 @@ def is_signed_token(head: str, body: str) -> bool:
     return isinstance((json_object(head) or {}).get("alg"), str) and json_object(body) is not None
 
 
+def is_armoured(headers: str, body: str) -> bool:
+    data = decoded(ESCAPED.sub("\n", body))
+    cipher = CIPHER.search(headers)
+    return is_key(data) or cipher is not None and bool(data) and len(data) % (len(cipher[1]) // 2) == 0
+
+
+def tokens(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens; where a candidate fails, its second part may begin another."""
+    found, at = [], 0
+    while m := JWT.search(text, at):
+        good = is_signed_token(m[1], m[2])
+        if good:
+            found.append((m.start(), m.end(), "jwt"))
+        at = m.end() if good else m.start(2)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
@@ -149,9 +169,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose structure holds; a bare run inside an armoured key isn't reported again."""
-    found = [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    found = tokens(text)
     if "PRIVATE KEY-----" in text:
-        found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_key(decoded(m[2]))]
+        found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_armoured(m[2], m[3])]
     armoured = [(a, b) for a, b, kind in found if kind == "pem"]
     bare = [(m.start(), m.end(), "key64") for m in BASE64.finditer(text) if is_key(decoded(m[0]))]
     bare += [(m.start(), m.end(), "keyhex") for m in HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]

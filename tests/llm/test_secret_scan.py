@@ -101,3 +101,25 @@ def test_openssh_block_of_many_keys():
         block = s.OPENSSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + count.to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in [*[b"p" * 51] * count, b"q" * 88])
         assert s.is_openssh_key(block) and not s.is_openssh_key(block[:-1])
     assert not s.is_openssh_key(s.OPENSSH + b"\0" * 12 + b"\xff" * 8)
+
+
+def test_escaped_and_headed_armour():
+    body = base64.b64encode(KEY).decode()
+    lines = [body[n : n + 64] for n in range(0, len(body), 64)]
+    for stop in ("\\n", "\\r\\n", "\\\\n", "\r\n"):
+        text = f'"private_key": "-----BEGIN PRIVATE KEY-----{stop}{stop.join(lines)}{stop}-----END PRIVATE KEY-----{stop}"'
+        assert kinds(text).count("pem") == 1, stop
+        assert s.redacted(text, s.spans_of(text)).count(body[:20]) == 0
+    for vector, size, good in (("00112233445566778899AABBCCDDEEFF", 64, True), ("00112233445566778899AABBCCDDEEFF", 63, False), ("0011223344556677", 40, True)):
+        cipher = base64.b64encode(bytes(range(size))).decode()
+        text = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{vector}\n\n{cipher}\n-----END RSA PRIVATE KEY-----"
+        assert ("pem" in kinds(text)) == good
+    assert "pem" not in kinds(f"-----BEGIN PRIVATE KEY-----\\q{body}-----END PRIVATE KEY-----")
+    assert kinds("-----BEGIN PRIVATE KEY-----" + "A: b\n" * 3000 + "A" * 3000) == []  # no long backtracking
+
+
+def test_token_behind_a_word():
+    token = f"{url64({'alg': 'HS256'})}.{url64({'sub': 'x'})}.c2ln"
+    text = f"endpoint-host.{token} and error_message.{token}.{token}"
+    spans = [(a, b) for a, b, k in s.spans_of(text) if k == "jwt"]
+    assert [text[a:b] for a, b in spans] == [token, token, token]
