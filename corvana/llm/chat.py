@@ -231,8 +231,8 @@ def chat(df: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id", tur
     their hash, so repeated rows stand together. Only the four columns are read.
     """
     uid = F.concat_ws(":", F.coalesce(F.col("conv").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")), "h", "seq")
-    events = event_rows(df, schemas, conv_col, turn_col, role_col, text_col).withColumns({"uid": uid, "at": F.coalesce("turn", F.lit(LAST))})
-    events = cut(events)  # parsed once
+    events = cut(event_rows(df, schemas, conv_col, turn_col, role_col, text_col))  # parsed once
+    events = events.withColumns({"uid": uid, "at": F.coalesce("turn", F.lit(LAST))})
     tools = events.where("kind <> 'message'").select("uid", "conv", "at", "h", "seq", "kind", "call_id", "after")
     if tools.isEmpty():
         events = events.withColumns({"eff": F.col("at"), "depth": F.lit(0), "cyclic": F.lit(False), "partner": F.lit(False)})
