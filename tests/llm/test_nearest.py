@@ -51,3 +51,12 @@ def test_tiles_against_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(s, "QUERY_BLOCK", 8)
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in s.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect())
     assert got == [e[:3] for e in brute(vectors, range(0, 700, 20), 3)]
+
+
+def test_long_vectors(spark):
+    """Beyond 1,040 components the products of codes don't fit single precision any more."""
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=1041 + i % 2 * 300).astype(np.float32).tolist() for i in range(60)}
+    df = spark.createDataFrame([(i, v) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in s.nearest(df, F.col("vec_id") % 10 == 0, k=3).collect())
+    assert got == [e[:3] for e in brute(vectors, range(0, 60, 10), 3)]
