@@ -42,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of the shared folder, by the store that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df read back from a checkpoint in the shared folder, so that later plans don't repeat its work."""
     sc = df.sparkSession.sparkContext
