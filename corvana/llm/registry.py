@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import bpe, chat, html_extract, mixing, nearest, repeats, search, secret_scan, simhash, toxicity
+from corvana.llm import bpe, chat, html_extract, mixing, nearest, negatives, quality, repeats, search, secret_scan, simhash, toxicity, treaps
 from corvana.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,20 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(*negatives.anchors_and_labels(table(spark, sf_dir, "embeddings")))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, seen = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.verdicts(quality.score(seen, model))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors the package, which the kernels are imported from there, once for each context."""
     sc = spark.sparkContext
@@ -97,8 +111,8 @@ def shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: shipped(f) for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op6_chat, op7_html, op8_toxicity, op9_repeats, op10_search)}
+    return {f.__name__: shipped(f) for f in (op1_mixing, op2_nearest, op3_bpe, op4_secrets, op5_simhash, op6_chat, op7_html, op8_toxicity, op9_repeats, op10_search, op11_ranked, op12_negatives, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS), "op2_nearest": nearest.oracle(), "op6_chat": chat.ORACLE_SQL, "op10_search": search.oracle()}
+    return {"op1_mixing": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS), "op2_nearest": nearest.oracle(), "op6_chat": chat.ORACLE_SQL, "op10_search": search.oracle(), "op11_ranked": treaps.oracle(), "op12_negatives": negatives.oracle()}
