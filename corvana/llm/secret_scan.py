@@ -46,7 +46,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A JSON object's first byte makes the first letter an e.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{9,})\.(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?:\s|\\+[nr])*[A-Z][A-Za-z-]+: [A-Za-z0-9,.-]+)*)((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1PRIVATE KEY-----")
+#: Headers and body never give characters back: a value ends at the first other character, so each armour is read once.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?:\s|\\++[nr])*+[A-Z][A-Za-z-]++: [A-Za-z0-9,.-]++)*+)((?:[A-Za-z0-9+/=\s]|\\++[nr])++)-----END \1PRIVATE KEY-----")
 ESCAPED = re.compile(r"\\+[nr]")
 CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})(?![0-9A-Fa-f])")
 #: M begins a DER sequence of more than 47 bytes, b the magic of an openssh block.

@@ -3,7 +3,9 @@
 import base64
 import json
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -123,3 +125,14 @@ def test_token_behind_a_word():
     text = f"endpoint-host.{token} and error_message.{token}.{token}"
     spans = [(a, b) for a, b, k in s.spans_of(text) if k == "jwt"]
     assert [text[a:b] for a, b in spans] == [token, token, token]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["-----BEGIN PRIVATE KEY-----\nDek: " + "a" * 1_000_000, "-----BEGIN PRIVATE KEY-----" + "\nDek: ab" * 150_000, "-----BEGIN PRIVATE KEY-----\n" + "A" * 1_000_000, "-----BEGIN " + "AB " * 300_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "-----BEGIN PRIVATE KEY-----" + "\\" * 1_000_000, "-----BEGIN PRIVATE KEY-----" + " " * 1_000_000],
+    ids=["value", "headers", "body", "labels", "begins", "escapes", "blanks"],
+)
+def test_long_armour_is_read_once(text):
+    began = time.monotonic()
+    s.PEM.findall(text)
+    assert time.monotonic() - began < 1
