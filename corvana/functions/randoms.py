@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,74 @@ def uniform(state: Column) -> Column:
     return state / F.lit(float(1 << 32))
 
 
+# columns of several draws: the generators of a batch's rows step together, so a row's numbers are its seed's, whatever its partition
+
+
+def states(seed: np.ndarray) -> np.ndarray:
+    state = (seed + OFFSET) & MASK
+    return np.where(state == 0, 1, state)
+
+
+def stepped(state: np.ndarray) -> np.ndarray:
+    state = state ^ (state << 13 & MASK)
+    state = state ^ (state >> 17)
+    return state ^ (state << 5 & MASK)
+
+
+def permutations(seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row the places 0 to its size - 1 in drawn order, then what lies beyond: at each place in turn one of those from it on is put there."""
+    out = np.tile(np.arange(int(sizes.max(initial=0))), (len(sizes), 1))
+    state = states(seeds)
+    for i in range(out.shape[1]):
+        live = np.flatnonzero(sizes > i)
+        state[live] = stepped(state[live])
+        j = np.floor(i + state[live] / 2**32 * (sizes[live] - i)).astype(np.int64)
+        out[live, i], out[live, j] = out[live, j], out[live, i]
+    return out
+
+
+def shuffled(items: Column, seed: Column) -> Column:
+    """An array of whole numbers in an order that a generator with this seed draws; null for null."""
+
+    @F.pandas_udf("array<long>")
+    def kernel(x: pd.Series, seeds: pd.Series) -> pd.Series:
+        there = (x.notna() & seeds.notna()).to_numpy()
+        own = [np.asarray(v, np.int64) for v in x[there]]
+        sizes = np.array([len(v) for v in own], np.int64)
+        order = permutations(seeds[there].to_numpy(np.int64), sizes)
+        found = iter([v[o[: len(v)]] for v, o in zip(own, order, strict=True)])
+        return pd.Series([next(found) if t else None for t in there])
+
+    return kernel(items, seed)
+
+
+def normals(seed: Column, count: Column, mean: Column | float = 0.0, deviation: Column | float = 1.0) -> Column:
+    """count normal numbers of a generator with this seed, by the polar method with its rejections; null for a null argument."""
+    given = [c if isinstance(c, Column) else F.lit(c) for c in (mean, deviation)]
+
+    @F.pandas_udf("array<double>")
+    def kernel(seeds: pd.Series, counts: pd.Series, means: pd.Series, deviations: pd.Series) -> pd.Series:
+        there = (seeds.notna() & counts.notna() & means.notna() & deviations.notna()).to_numpy()
+        n = counts[there].to_numpy(np.int64)
+        state, out = states(seeds[there].to_numpy(np.int64)), np.zeros((len(n), int(n.max(initial=0)) + 2))
+        have = np.zeros(len(n), np.int64)
+        while len(live := np.flatnonzero(have < n)):
+            first = stepped(state[live])
+            state[live] = second = stepped(first)
+            a, b = first / 2**32 * 2 - 1, second / 2**32 * 2 - 1
+            square = a * a + b * b
+            good = (square > 0) & (square < 1)
+            live, a, b, square = live[good], a[good], b[good], square[good]
+            factor = np.sqrt(-2 * np.log(square) / square)
+            out[live, have[live]], out[live, have[live] + 1] = a * factor, b * factor
+            have[live] += 2
+        m, d = means[there].to_numpy(float), deviations[there].to_numpy(float)
+        found = iter([m[k] + d[k] * out[k, : n[k]] for k in range(len(n))])
+        return pd.Series([next(found) if t else None for t in there])
+
+    return kernel(seed, count, *given)
+
+
 def pick(weights: list[float], generator: XorShift32) -> int:
     """The first place whose running sum passes a uniform share of the total."""
     mark, run = generator.uniform() * sum(weights), 0.0

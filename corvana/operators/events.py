@@ -82,3 +82,50 @@ def token_kind(token: Column, end_of_text: int, first_language: int, languages:
 def suppressed_tokens(vocabulary: DataFrame, allowed: list[str], token: str = "token") -> DataFrame:
     """Tokens without letters or digits that aren't allowed punctuation."""
     return vocabulary.where(~F.col(token).rlike(r"[\p{L}\p{N}]") & ~F.trim(F.col(token)).isin(allowed))
+
+
+TOKEN = "struct<id:int,text:string,p:double,t_dtw:long,offsets:struct<`from`:long,`to`:long>>"
+RESULT = f"struct<result:struct<language:string>,transcription:array<struct<offsets:struct<`from`:long,`to`:long>,tokens:array<{TOKEN}>>>>"
+BEGIN = "[_BEG_]"
+
+
+def result_tokens(df: DataFrame, key: str, json: str, total: str | None = None) -> DataFrame:
+    """(key, language, segment, token, id, text, start_time, end_time, confidence) of recognisers' results in JSON, in seconds.
+
+    Offsets are milliseconds. A token without offsets stands at the end of the last one before it that has any, also
+    across segments, at 0 if none has. Where a segment opens with a begin mark at offset 0, its tokens and those
+    of all segments after it, up to the next such, are moved by the segment's own start. total: a column with the whole duration; if it is given, tokens start at their aligned
+    hundredths of a second instead, at 0 if these are negative, and end where the next token of the segment starts, the last at the total.
+    Null or broken JSON has no tokens.
+    """
+    kept = [F.col(total).cast("double").alias("total")] if total else []
+    parsed = df.select(key, *kept, F.from_json(F.col(json), RESULT).alias("r")).where("r is not null")
+    segments = parsed.select(key, *(["total"] if total else []), F.col("r.result.language").alias("language"), F.posexplode("r.transcription").alias("segment", "s"))
+    tokens = segments.select("*", F.posexplode("s.tokens").alias("token", "t"))
+    by = Window.partitionBy(key).orderBy("segment", "token").rowsBetween(Window.unboundedPreceding, 0)  # one result's tokens: they came in one row
+    known = F.coalesce(F.last("t.offsets.to", ignorenulls=True).over(by), F.lit(0))
+    offset = lambda c: F.when(F.col("t.offsets").isNull(), known).otherwise(F.col(f"t.offsets.{c}"))
+    opens = (F.col("token") == 0) & (F.col("t.text") == BEGIN) & (offset("from") == 0)
+    shift = F.coalesce(F.last(F.when(opens, F.col("s.offsets.from") / 1000), ignorenulls=True).over(by), F.lit(0.0))
+    if total:
+        following = F.lead("t.t_dtw").over(Window.partitionBy(key, "segment").orderBy("token"))
+        start, end = F.greatest(F.col("t.t_dtw") / 100, F.lit(0.0)), F.coalesce(following / 100, F.col("total"))
+    else:
+        start, end = offset("from") / 1000, offset("to") / 1000
+    return tokens.select(key, "language", "segment", "token", F.col("t.id").alias("id"), F.col("t.text").alias("text"), (start + shift).alias("start_time"), (end + shift).alias("end_time"), F.col("t.p").alias("confidence"))
+
+
+def result_timeline(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, segment, word, text, start_time, end_time, confidence, tokens) of result_tokens(): words of their visible tokens.
+
+    A token that begins with a blank opens a word, as does the first of a segment; marks in square brackets are left
+    out. A word's confidence is its tokens' mean; tokens: their structs in order.
+    """
+    visible = tokens.where(~F.col("text").rlike(r"^\[_.*\]$"))
+    by = Window.partitionBy(key, "segment").orderBy("token")
+    opens = (F.row_number().over(by) == 1) | F.col("text").rlike(r"^\s")
+    words = visible.withColumn("opens", opens.cast("int")).withColumn("word", F.sum("opens").over(by) - 1)
+    held = F.array_sort(F.collect_list(F.struct("token", "id", "text", "start_time", "end_time", "confidence")))  # bounded by a word
+    found = words.groupBy(key, "segment", "word").agg(held.alias("tokens"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.avg("confidence").alias("confidence"))
+    text = F.trim(F.array_join(F.transform("tokens", lambda t: t["text"]), ""))
+    return found.select(key, "segment", "word", text.alias("text"), "start_time", "end_time", "confidence", "tokens")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from corvana.operators.parts import Each, Machine, machined
 
 
 def decaying_peak(df: DataFrame, key: str, order: list[str], value: str, decay: float, initial: float = 0.0, kind: str = "maximum") -> DataFrame:
@@ -61,28 +61,12 @@ def biquad(c: dict[str, float]) -> Fold:
     return (0.0, 0.0, 0.0, 0.0), step
 
 
-def folded(df: DataFrame, key: str, order: list[str], value: str, fold: Fold, out: str = "y") -> DataFrame:
-    """df with a fold's output at each row, over each key's rows in order; a null value leaves the state as it is and gives null.
+def folded(df: DataFrame, key: str, order: list[str], value: str, fold: Fold | Machine, out: str = "y") -> DataFrame:
+    """df with a fold's or machine's output at each row, over each key's rows in order; a null value leaves the state as it is and gives null.
 
-    Rows are sorted in their partition and stream through a kernel that keeps the state of one key,
-    so neither a key's rows nor its outputs are ever held together.
+    Long keys are run in parts (operators/parts.py); neither a key's rows nor its outputs are ever held together.
     """
-    rows = df.repartition(key).sortWithinPartitions(key, *order)
-    first, step = fold
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state = object(), first
-        for batch in batches:
-            found = []
-            for k, x in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
-                if k != held:
-                    held, state = k, first
-                if x is not None:
-                    state, y = step(state, x)
-                found.append(None if x is None else y)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
+    return machined(df, key, order, value, fold if isinstance(fold, Machine) else Each(*fold, output=out))
 
 
 def first_exceeding(weights: Column, u: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.plans import activity, pieces, samples, speech, streams, texts, timelines, vectors
+from corvana.plans import activity, articles, carried, pieces, rates, results, samples, speech, streams, texts, timelines, vectors
 from corvana.plans.islands import state_islands
 from corvana.session import table
 
@@ -37,7 +37,7 @@ FROM numbered GROUP BY user_id, island, state
 """
 
 
-PARTS = (vectors, texts, timelines, samples, speech, streams, activity, pieces)
+PARTS = (vectors, texts, timelines, samples, speech, streams, activity, pieces, carried, results, rates, articles)
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvana.functions import encodings, signals
 from corvana.functions.texts import words as split_words
-from corvana.operators import catalog, stateful, subtitles
+from corvana.operators import catalog, parts, stateful, subtitles
 from corvana.operators import timeline as tl
 from corvana.plans.islands import state_islands
 from corvana.session import table
@@ -377,8 +377,8 @@ QUERIES = {
     "srt_parse_roundtrip": (srt_parse, PARSE_SQL),
     "sig_decaying_peak": (decaying_peak, PEAK_SQL),
     "sig_gate": (gate, GATE_SQL),
-    "sig_ema_asym": (folded(stateful.smoothing(0.4, 0.05)), EMA_SQL),
-    "sig_biquad": (folded(stateful.biquad(COEFFICIENTS)), BIQUAD_SQL),
+    "sig_ema_asym": (folded(parts.Smoother(0.4, 0.05)), EMA_SQL),
+    "sig_biquad": (folded(parts.Cascade(COEFFICIENTS)), BIQUAD_SQL),
     "sig_loudness": (folded(stateful.loudness(0.3, 0.1)), LOUD_SQL),
     "cfg_flatten": (config, CONFIG_SQL),
     "catalog_voice": (catalog_voice, f"SELECT ord, name, gender FROM {VOICES} WHERE list_contains(languages, 'fr') AND gender IN ('female', 'unknown')"),
