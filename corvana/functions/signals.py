@@ -108,6 +108,48 @@ def window_weights(kind: str, n: int) -> np.ndarray:
     return {"hann": hann, "hann-sqrt": np.sqrt(hann), "hamming": 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / max(n - 1, 1)), "povey": hann**0.85}[kind]
 
 
+def windows(kind: str, n: Column) -> Column:
+    """window_weights() as a column: an array for each row's number of places."""
+    at = lambda mean: F.transform(F.sequence(F.lit(0), n - 1), lambda i: mean - (1 - mean) * F.cos(2 * math.pi * i / F.greatest(n - 1, F.lit(1))))
+    shapes = {"hann": lambda x: x, "hann-sqrt": lambda x: F.sqrt(F.greatest(x, F.lit(0.0))), "povey": lambda x: F.pow(F.greatest(x, F.lit(0.0)), F.lit(0.85))}
+    found = at(0.54) if kind == "hamming" else F.transform(at(0.5), shapes[kind])
+    return F.when(n > 0, found).otherwise(F.array().cast("array<double>"))
+
+
+# spectra as arrays of real and imaginary parts in turn
+
+
+def bin_frequencies(bins: Column, highest: Column) -> Column:
+    """The frequency of each of so many bins, evenly from 0 to the highest."""
+    return F.transform(F.sequence(F.lit(0), bins - 1), lambda i: i * highest / F.greatest(bins - 1, F.lit(1)))
+
+
+def complex_bins(buffer: Column, mirrored: bool = False) -> Column:
+    """array<struct<real, imaginary>> of a buffer; mirrored: with the conjugates of the inner bins behind, in reverse."""
+    own = F.transform(F.sequence(F.lit(0), F.floor(F.size(buffer) / 2).cast("int") - 1), lambda i: F.struct(F.get(buffer, 2 * i).alias("real"), F.get(buffer, 2 * i + 1).alias("imaginary")))
+    none = F.array().cast("array<struct<real:double,imaginary:double>>")
+    found = F.when(F.size(buffer) >= 2, own).otherwise(none)
+    if not mirrored:
+        return found
+    conjugates = lambda x: F.transform(F.reverse(F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0)))), lambda z: F.struct(z["real"].alias("real"), (-z["imaginary"]).alias("imaginary")))
+    return let(found, lambda x: F.concat(x, conjugates(x)))
+
+
+def bin_buffer(bins: Column) -> Column:
+    """The real and imaginary parts in turn."""
+    return F.flatten(F.transform(bins, lambda z: F.array(z["real"], z["imaginary"])))
+
+
+def polar(bins: Column) -> Column:
+    """array<struct<magnitude, phase>>."""
+    return F.transform(bins, lambda z: F.struct(F.sqrt(z["real"] * z["real"] + z["imaginary"] * z["imaginary"]).alias("magnitude"), F.atan2(z["imaginary"], z["real"]).alias("phase")))
+
+
+def cartesian(bins: Column) -> Column:
+    """array<struct<real, imaginary>> of magnitudes and phases."""
+    return F.transform(bins, lambda z: F.struct((z["magnitude"] * F.cos(z["phase"])).alias("real"), (z["magnitude"] * F.sin(z["phase"])).alias("imaginary")))
+
+
 def stft(samples: np.ndarray, order: int, window: int, hop: int, kind: str = "hann") -> np.ndarray:
     """Spectra of frames, the signal padded by half a window at both ends."""
     if order % 2 or window % 2 or window > order or hop > window:
@@ -227,6 +269,37 @@ def filter_coefficients(kind: str, rate: float, frequency: float, q: float = 1.0
     return {"b0": b[0] / a[0], "b1": b[1] / a[0], "b2": b[2] / a[0], "a1": a[1] / a[0], "a2": a[2] / a[0]}
 
 
+def filter_sections(kind: str, rate: float, frequency: Column, q: float = 1.0, gain: float = 0.0) -> Column:
+    """filter_coefficients() as a column: struct<b0, b1, b2, a1, a2> for each row's frequency."""
+    ratio = F.least(F.greatest(frequency / (rate / 2), F.lit(0.0)), F.lit(1.0))
+    w, amp = math.pi * ratio, 10 ** (gain / 40)
+    cos, sin = F.cos(w), F.sin(w)
+    edge = None
+    if kind in ("lowpass", "highpass"):
+        alpha, s = sin / (2 * 10 ** (q / 20)), 1 if kind == "lowpass" else -1
+        half = (1 - s * cos) / 2
+        b, a = (half, 2 * s * half, half), (1 + alpha, -2 * cos, 1 - alpha)
+        edge = F.when(ratio.isin(0.0, 1.0), F.when((ratio == 1.0) == F.lit(kind == "lowpass"), 1.0).otherwise(0.0))
+    elif kind in ("lowshelf", "highshelf"):
+        s = 1 if kind == "lowshelf" else -1
+        root, more, less = 2 * math.sqrt(amp) * sin / math.sqrt(2), amp + 1, amp - 1
+        b = (amp * (more - s * less * cos + root), s * 2 * amp * (less - s * more * cos), amp * (more - s * less * cos - root))
+        a = (more + s * less * cos + root, -s * 2 * (less + s * more * cos), more + s * less * cos - root)
+    else:
+        alpha = sin / (2 * q) if q > 0 else sin * 0
+        shapes = {
+            "bandpass": ((alpha, alpha * 0, -alpha), (1 + alpha, -2 * cos, 1 - alpha)),
+            "notch": ((alpha * 0 + 1, -2 * cos, alpha * 0 + 1), (1 + alpha, -2 * cos, 1 - alpha)),
+            "allpass": ((1 - alpha, -2 * cos, 1 + alpha), (1 + alpha, -2 * cos, 1 - alpha)),
+            "peaking": ((1 + alpha * amp, -2 * cos, 1 - alpha * amp), (1 + alpha / amp, -2 * cos, 1 - alpha / amp)),
+        }
+        b, a = shapes[kind]
+    found = {"b0": b[0] / a[0], "b1": b[1] / a[0], "b2": b[2] / a[0], "a1": a[1] / a[0], "a2": a[2] / a[0]}
+    if edge is not None:
+        found = {n: F.when(edge.isNotNull(), edge if n == "b0" else F.lit(0.0)).otherwise(c) for n, c in found.items()}
+    return F.struct(*[c.alias(n) for n, c in found.items()])
+
+
 def bandwidth_to_q(octaves: float) -> float:
     return math.sqrt(2**octaves) / (2**octaves - 1)
 

@@ -139,6 +139,44 @@ class Smoother(Machine):
         return np.array([y]), found[:, None]
 
 
+class Changes(Machine):
+    """How often a value has changed so far, from 0 on: the number of the run that each sample is in."""
+
+    def __init__(self, output: str = "run"):
+        self.first, self.outputs = np.array([np.nan, 0.0]), (output,)
+
+    def run(self, state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(x):
+            return state, np.empty((0, 1))
+        before = np.concatenate([[x[0, 0] if np.isnan(state[0]) else state[0]], x[:-1, 0]])
+        found = state[1] + np.cumsum(before != x[:, 0])
+        return np.array([x[-1, 0], found[-1]]), found[:, None]
+
+
+class Latest(Machine):
+    """The second channel's latest value where the first one is 0, not a number before there is any."""
+
+    def __init__(self, output: str = "latest"):
+        self.first, self.outputs = np.array([np.nan]), (output,)
+
+    def run(self, state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.maximum.accumulate(np.where(x[:, 0] == 0, np.arange(1, len(x) + 1), 0)) if len(x) else np.zeros(0, int)
+        found = np.concatenate([state, x[:, 1]])[at]
+        return found[-1:] if len(x) else state, found[:, None]
+
+
+class RunningMean(Machine):
+    """The mean of the first channel's values so far, of the rows where the second is 1; not a number before the first of them."""
+
+    def __init__(self, output: str = "mean"):
+        self.first, self.outputs = np.zeros(2), (output,)
+
+    def run(self, state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = state + np.cumsum(x * x[:, 1:], axis=0)
+        found = np.divide(sums[:, 0], sums[:, 1], out=np.full(len(x), np.nan), where=sums[:, 1] > 0)
+        return sums[-1] if len(x) else state, found[:, None]
+
+
 def decaying(peak: float, x: np.ndarray, decay: float, kind: str = "maximum", ticks: np.ndarray | None = None) -> np.ndarray:
     """peak = max(x, peak - decay) after each value, or its mirror; where ticks is false a value neither counts nor lets the peak decay."""
     sign = 1.0 if kind == "maximum" else -1.0
@@ -252,7 +290,14 @@ def by_key(df: DataFrame, key: str, order: list[str], values: str | list[str], m
     return with_outputs(df.repartition(key).sortWithinPartitions(key, *order), key, values, machine, {})
 
 
-def machined(df: DataFrame, key: str, order: list[str], values: str | list[str], machine: Machine, most: int = 1 << 20) -> DataFrame:
+MOST = 1 << 20  # rows of a key that one task takes
+
+
+def is_long(df: DataFrame, key: str, most: int = MOST) -> bool:
+    """Whether any key has more rows than one task should take."""
+    return (df.groupBy(key).count().agg(F.max("count")).first()[0] or 0) > most
+
+
+def machined(df: DataFrame, key: str, order: list[str], values: str | list[str], machine: Machine, most: int = MOST) -> DataFrame:
     """The machine's outputs at each row: dealt by key where no key has more than `most` rows, else in parts. The rows are the same."""
-    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    return by_key(df, key, order, values, machine) if largest <= most else in_parts(df, key, order, values, machine)
+    return in_parts(df, key, order, values, machine) if is_long(df, key, most) else by_key(df, key, order, values, machine)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.functions.vectors import round_half_up
+from corvana.operators.parts import MOST, Latest, in_parts, is_long
 
 TIMES = ("start_time", "end_time")
 
@@ -137,9 +138,18 @@ def tokens_to_words(tokens: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key, "word_no").agg(text.alias("word"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.avg("confidence").alias("confidence"))
 
 
-def nearest_times(left: DataFrame, right: DataFrame, key: str, time: str, other: str) -> DataFrame:
-    """As-of join: for each left time the latest right time not after it, by one sort of both."""
+def nearest_times(left: DataFrame, right: DataFrame, key: str, time: str, other: str, most: int = MOST) -> DataFrame:
+    """As-of join: for each left time the latest right time not after it, by one sort of both.
+
+    Times are numbers. Where a key has more than `most` rows, the latest time is handed from part to part instead of
+    being looked for in one task.
+    """
     both = left.select(key, F.col(time).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("row")).unionByName(right.select(key, F.col(other).alias("t"), F.lit(0).alias("side")), allowMissingColumns=True)
-    by = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("matched", F.last(F.when(F.col("side") == 0, F.col("t")), ignorenulls=True).over(by))
+    if is_long(both.select(key), key, most):
+        seen = in_parts(both.where("t is not null"), key, ["t", "side"], ["side", "t"], Latest("matched")).withColumn("matched", F.nanvl("matched", F.lit(None).cast("double")))
+        seen = seen.unionByName(both.where("t is null").withColumn("matched", F.lit(None).cast("double")))
+        seen = seen.withColumn("matched", F.col("matched").cast(right.schema[other].dataType))
+    else:
+        by = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+        seen = both.withColumn("matched", F.last(F.when(F.col("side") == 0, F.col("t")), ignorenulls=True).over(by))
     return seen.where("side = 1").select("row.*", "matched")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvana.operators.parts import MOST, RunningMean, in_parts, is_long
+
 DIAGONAL = 1e-6
 
 
@@ -64,6 +66,12 @@ def weighted_covariance(df: DataFrame, key: str, vector: str, weight: str) -> Da
     return found.select(key, "i", "j", F.when(F.col("n") > 1, F.col("c") + diagonal).otherwise(0.0).alias("value"))
 
 
-def running_mean(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+def running_mean(df: DataFrame, key: str, order: list[str], value: str, most: int = MOST) -> DataFrame:
+    """df with the mean of a key's values up to each row. Where a key has more than `most` rows, sums are handed from part to part."""
+    if is_long(df, key, most):
+        there = F.col(value).isNotNull()
+        channels = df.withColumns({"value_": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "there_": there.cast("double")})
+        found = in_parts(channels, key, order, ["value_", "there_"], RunningMean()).drop("value_", "there_")
+        return found.withColumn("mean", F.nanvl("mean", F.lit(None).cast("double")))
     by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("mean", F.avg(value).over(by))

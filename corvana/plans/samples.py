@@ -52,8 +52,12 @@ SINGLE = {
     "sig_silence_end": ("i", lambda u: signals.trailing_silent(u, F.lit(0.1)), SILENT.format("list_reverse(v)")),
     "sig_trim_start": ("a", lambda u: signals.trimmed_start(u, 3, -20.0), f"list_concat([0.0, 0.0, 0.0], v[{SILENT.format('v')} + 1:])"),
     "sig_trim_end": ("a", lambda u: signals.trimmed_end(u, 2, -20.0), f"list_concat(v[1:len(v) - {SILENT.format('list_reverse(v)')}], [0.0, 0.0])"),
-    "sig_istft": ("a", lambda u: F.transform(F.slice(signals.restored(u, 16, 16, 4), 1, 60), lambda x: F.round(x, 3)), "list_transform(v[1:60], lambda x: round(x, 3))"),
+    "sig_istft": ("a", lambda u: F.transform(signals.restored(u, 16, 16, 4), lambda x: F.round(x, 3)), "list_transform(v, lambda x: round(x, 3))"),
     "vec_sum_and_sumsq": ("a", lambda u: F.array(v.sum_and_squares(u)["sum"], v.sum_and_squares(u)["squares"]), "[list_sum(v), list_sum(list_transform(v, lambda x: x * x))]"),
+    "sig_polar": ("a", lambda u: F.flatten(F.transform(signals.polar(signals.complex_bins(u)), lambda z: F.array(z["magnitude"], z["phase"]))), "flatten(list_transform(range(1, len(v) // 2 + 1), lambda i: [sqrt(pow(v[2 * i - 1], 2) + pow(v[2 * i], 2)), atan2(v[2 * i], v[2 * i - 1])]))"),
+    "sig_cartesian": ("a", lambda u: signals.bin_buffer(signals.cartesian(signals.polar(signals.complex_bins(u)))), "v"),
+    "sig_mirrored": ("a", lambda u: signals.bin_buffer(signals.complex_bins(u, mirrored=True)), "list_concat(v, flatten(list_transform(range(1, len(v) // 2 - 1), lambda k: [v[len(v) - 1 - 2 * k], -v[len(v) - 2 * k]])))"),
+    "sig_bin_frequencies": ("a", lambda u: signals.bin_frequencies(F.size(u), F.abs(F.get(u, F.lit(0))) * 1000), "list_transform(range(0, len(v)), lambda i: i * abs(v[1]) * 1000 / (len(v) - 1))"),
     "vec_pick": ("i", lambda u: stateful.first_exceeding(F.transform(u, F.abs), F.lit(0.37)), "list_min(list_filter(range(0, len(v)), lambda i: list_sum(list_transform(v[1:i + 1], lambda x: abs(x))) > 0.37 * list_sum(list_transform(v, lambda x: abs(x)))))"),
     "vec_constant": ("a", lambda u: F.concat(u, v.constant(3, 0.5), F.transform(F.array(F.lit(float("nan")), F.lit(2.0)), v.zero_if_nan)), "list_concat(v, [0.5, 0.5, 0.5, 0.0, 2.0])"),
     "vec_int_range": ("t", lambda u: F.concat(v.whole_numbers(F.lit(3), F.size(u)), v.whole_numbers(F.lit(5), F.lit(5))), "range(3, len(v))"),
@@ -66,11 +70,11 @@ BACK_SQL = "array_to_string(list_transform(v, lambda x: printf('%.15f', greatest
 def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda c: F.array_join(c.cast("array<string>"), ",")
     back = F.transform(e.from_pcm_numbers(e.pcm_numbers(F.col("v"), 16), 16), lambda x: F.format_string("%.15f", x + 0.0))
-    digest = F.lower(F.hex(e.pcm_bytes(F.slice("v", 1, 4), 24)))
+    digest = F.lower(F.hex(e.pcm_bytes(F.col("v"), 24)))
     return rows(spark, sf_dir).select("vec_id", *[told(e.pcm_numbers(F.col("v"), n)).alias(f"bits_{n}") for n in (8, 16, 24, 32)], F.array_join(back, ",").alias("restored"), digest.alias("bytes_24"))
 
 
-BYTES_24 = "array_to_string(list_transform(v[1:4], lambda x: printf('%02x%02x%02x', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255)), '')".format("((CAST(round_even(x * 8388608::DOUBLE, 0) AS BIGINT) + 16777216) & 16777215)")
+BYTES_24 = "array_to_string(list_transform(v, lambda x: printf('%02x%02x%02x', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255)), '')".format("((CAST(round_even(x * 8388608::DOUBLE, 0) AS BIGINT) + 16777216) & 16777215)")
 PCM_QUERY = f"SELECT vec_id, {PCM_SQL.format(128, 128)} AS bits_8, {PCM_SQL.format(32768, 0)} AS bits_16, {PCM_SQL.format(8388608, 0)} AS bits_24, {PCM_SQL.format(2147483648, 0)} AS bits_32, {BACK_SQL} AS restored, {BYTES_24} AS bytes_24 FROM {SINGLE_FROM}"
 
 # spectra: 16 samples to a frame, 8 to a hop, of signals padded by half a frame
@@ -106,9 +110,10 @@ def spectra(kind: str):
 
 
 def window_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of windows of 8 to 32 places: a table made on the driver."""
-    found = [(n, kind, pos, float(x)) for n in range(25) for kind in ("hann", "hann-sqrt", "hamming", "povey") for pos, x in enumerate(signals.window_weights(kind, 8 + n))]
-    return spark.createDataFrame(found, "n int, kind string, pos int, weight double").withColumn("weight", F.round("weight", 8) + 0.0)
+    """Weights of windows of 8 places and as many more as a nation's key."""
+    n = F.col("n_nationkey").cast("int")
+    every = table(spark, sf_dir, "nation").select(n.alias("n"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), signals.windows(k, n + 8).alias("w")) for k in ("hann", "hann-sqrt", "hamming", "povey")])).alias("x"))
+    return every.select("n", "x.kind", F.posexplode("x.w").alias("pos", "weight")).withColumn("weight", F.round("weight", 8) + 0.0)
 
 
 WINDOW_SQL = """
@@ -121,11 +126,12 @@ SELECT n, pos, kind, round(weight, 8) + 0.0 AS weight FROM (
 
 
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients of second-order sections at 25 frequencies: a table made on the driver."""
+    """Coefficients of second-order sections at frequencies that rise with a nation's key."""
     kinds = {"lowpass": 3.0, "highpass": 3.0, "bandpass": 0.8, "notch": 0.8, "allpass": 0.8, "peaking": 0.8, "lowshelf": 1.0, "highshelf": 1.0}
-    found = [(n, kind, *signals.filter_coefficients(kind, 16000.0, 200.0 + 250 * n, q, 4.0).values()) for n in range(25) for kind, q in kinds.items()]
-    df = spark.createDataFrame(found, "n int, kind string, b0 double, b1 double, b2 double, a1 double, a2 double")
-    return df.select("n", "kind", *[(F.round(c, 8) + 0.0).alias(c) for c in ("b0", "b1", "b2", "a1", "a2")])
+    n = F.col("n_nationkey").cast("int")
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), signals.filter_sections(k, 16000.0, 200.0 + 250 * n, q, 4.0).alias("c")) for k, q in kinds.items()]))
+    found = table(spark, sf_dir, "nation").select(n.alias("n"), every.alias("x")).select("n", "x.kind", "x.c.*")
+    return found.select("n", "kind", *[(F.round(c, 8) + 0.0).alias(c) for c in ("b0", "b1", "b2", "a1", "a2")])
 
 
 FILTER_SQL = """

@@ -176,3 +176,25 @@ def test_murmur_many(spark):
     assert e.murmur3_many([]).tolist() == []
     df = spark.createDataFrame([("abc",), (None,), ("",), ("é😀",)], "t string")
     assert [r.h for r in df.select(e.murmur3_text("t").alias("h")).collect()] == [e.murmur3(b"abc"), None, 0, e.murmur3("é😀".encode())]
+
+
+def test_windows_and_sections_as_columns(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corvana.functions import signals
+
+    df = spark.range(0, 12).select(F.col("id").cast("int").alias("n"))
+    for kind in ("hann", "hann-sqrt", "hamming", "povey"):
+        for r in df.select("n", signals.windows(kind, F.col("n")).alias("w")).collect():
+            assert np.allclose(r.w, signals.window_weights(kind, r.n) if r.n else [], rtol=0, atol=1e-12)
+    cutoffs = spark.createDataFrame([(0.0,), (-5.0,), (120.0,), (3999.0,), (4000.0,), (9000.0,)], "f double")
+    for kind in ("lowpass", "highpass", "bandpass", "notch", "allpass", "peaking", "lowshelf", "highshelf"):
+        for r in cutoffs.select("f", signals.filter_sections(kind, 8000.0, F.col("f"), 0.9, 3.0).alias("c")).collect():
+            expected = signals.filter_coefficients(kind, 8000.0, r.f, 0.9, 3.0)
+            assert all(abs(r.c[k] - v) < 1e-9 for k, v in expected.items())
+    buffers = spark.createDataFrame([([],), ([1.0, 2.0],), ([1.0, 0.0, 3.0, -4.0],), (np.fft.rfft(np.arange(8.0)).view(float).tolist(),)], "b array<double>")
+    for r in buffers.select("b", signals.bin_buffer(signals.cartesian(signals.polar(signals.complex_bins(F.col("b"))))).alias("x"), signals.bin_buffer(signals.complex_bins(F.col("b"), mirrored=True)).alias("m")).collect():
+        assert np.allclose(r.x, r.b)
+        if len(r.b) == 10:
+            assert np.allclose(np.array(r.m).view(complex), np.fft.fft(np.arange(8.0)))

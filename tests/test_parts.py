@@ -123,3 +123,29 @@ def test_no_samples(spark):
     assert gate.voice_activity(df, "key", ["at"], ["x"], 1000.0).count() == 0
     assert gate.voice_activity(df.limit(0), "key", ["at"], ["x"], 1000.0, parts=3).count() == 0
     assert parts.in_parts(df, "key", ["at"], "x", parts.Smoother(1.0, 1.0), 3).first()["y"] is None
+
+
+def test_windows_in_parts(spark):
+    """Islands, as-of joins and running means are the same when a key is too long for a task."""
+    from pyspark.sql import functions as F
+
+    from corvana.operators import timeline, vector_sets
+    from corvana.plans.islands import state_islands
+
+    rng = np.random.default_rng(5)
+    rows = [(k, i, None if rng.random() < 0.05 else float(rng.integers(0, 4))) for k, n in ((1, 900), (2, 30), (None, 50)) for i in range(n)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "key long, at long, value double").repartition(3)
+
+    def same(found, *columns):
+        a, b = (sorted((tuple(r[c] for c in columns) for r in x.collect()), key=repr) for x in found)
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert all(p == q or math.isclose(p, q, rel_tol=1e-12) for p, q in zip(x, y, strict=True))
+
+    same([state_islands(df, "key", ["at"], F.col("value") > 1, most) for most in (1 << 20, 10)], "key", "at", "state", "island")
+    same([vector_sets.running_mean(df, "key", ["at"], "value", most) for most in (1 << 20, 10)], "key", "at", "mean")
+    left = df.select("key", F.when(F.col("at") % 40 != 7, F.col("at") + 0.5).alias("t"), "value")
+    right = df.where("value = 2").select("key", F.col("at").cast("double").alias("other"))
+    found = [timeline.nearest_times(left, right, "key", "t", "other", most) for most in (1 << 20, 10)]
+    same(found, "key", "t", "value", "matched")
+    assert found[1].where("matched is not null").count() > 500
