@@ -9,7 +9,7 @@ from corvana.functions.texts import collapse, trim
 from corvana.functions.vectors import let
 
 # Character references that are decoded; the ampersand comes last, so that nothing is decoded twice.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 HIDDEN = r"(?is)<!--.*?-->|<script[\s>].*?</script\s*>|<style[\s>].*?</style\s*>|<head[\s>].*?</head\s*>"
 HEADING = r"(?i)(<h[1-6][\s>])"
 MARK = "\u0001"

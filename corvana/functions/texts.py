@@ -130,6 +130,19 @@ def parsed(s: Column) -> Column:
     return F.transform(sentences(s), lambda x: F.struct(x.alias("text"), F.transform(phrases(x), phrase).alias("phrases")))
 
 
+# What ends a sentence for masked_enders().
+MASKED = "[.。?？!！|]"
+
+
+def masked_enders(s: Column, mask: str = "_") -> Column:
+    """A text whose words (pieces between white space that hold a letter or digit) have their inner sentence enders masked; a word's last sign stays."""
+    if len(mask) != 1:
+        raise ValueError("a mask is one sign")
+    pieces = F.regexp_extract_all(s, F.lit(r"(\s+|\S+)"), 1)
+    inner = lambda w: F.concat(F.regexp_replace(F.substr(w, F.lit(1), F.length(w) - 1), MASKED, "\\" + mask), F.right(w, F.lit(1)))
+    return F.array_join(F.transform(pieces, lambda w: F.when(is_word(w), inner(w)).otherwise(w)), "")
+
+
 def includes_any(s: Column, parts) -> Column:
     found = F.lit(False)
     for p in parts:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvana.operators.parts import MOST, RunningMean, in_parts, is_long
 
@@ -45,15 +50,40 @@ def center(df: DataFrame, key: str, row_id: str, vector: str) -> DataFrame:
     return joined.select(row_id, "pos", (F.col("x") - F.col("m")).alias("value"))
 
 
+PRODUCTS = (("i", T.IntegerType()), ("j", T.IntegerType()), ("xy", T.DoubleType()), ("x", T.DoubleType()), ("y", T.DoubleType()), ("n", T.LongType()))
+
+
+def products(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, i, j, xy, x, y, n): sums of products and of their factors over the vectors of a key in a batch, i <= j; a batch sends its sums only."""
+    kind = df.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, codes = batch.column("v"), batch.column(key).dictionary_encode(null_encoding="encode")
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(lists.offsets.to_numpy())
+            starts, of = np.cumsum(sizes) - sizes, codes.indices.to_numpy(zero_copy_only=False)
+            for code, dim in sorted(set(zip(of.tolist(), sizes.tolist(), strict=True))):
+                own = np.flatnonzero((of == code) & (sizes == dim))
+                x = flat[starts[own][:, None] + np.arange(dim)]
+                i, j = np.triu_indices(dim)
+                total = x.sum(axis=0)
+                columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((x.T @ x)[i, j]), pa.array(total[i]), pa.array(total[j]), pa.array(np.full(len(i), len(own)))]
+                keys = codes.dictionary.take(pa.array(np.full(len(i), code)))
+                yield pa.RecordBatch.from_arrays([keys, *columns], names=[key, "i", "j", "xy", "x", "y", "n"])
+
+    fields = [T.StructField(key, kind), *(T.StructField(n, t) for n, t in PRODUCTS)]
+    return df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, T.StructType(fields))
+
+
 def covariance(df: DataFrame, key: str, vector: str, biased: bool = False) -> DataFrame:
-    """The upper triangle (i <= j), with a small amount on the diagonal; a single vector has zeros. Pairs are formed within each row, without a join."""
-    v = F.col(vector)
-    pairs = F.flatten(F.transform(v, lambda x, i: F.filter(F.transform(v, lambda y, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y"))), lambda s: s["i"] <= s["j"])))
-    flat = df.select(key, F.inline(pairs))
-    measure = F.covar_pop("x", "y") if biased else F.covar_samp("x", "y")
+    """The upper triangle (i <= j), with a small amount on the diagonal; a single vector has zeros. Null vectors are left out, a null component makes its sums not a number.
+
+    Products are summed batch by batch before anything is shuffled.
+    """
+    sums = products(df, key, vector).groupBy(key, "i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "x", "y", "n")])
+    measure = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") if biased else F.greatest(F.col("n") - 1, F.lit(1)))
     diagonal = F.when(F.col("i") == F.col("j"), DIAGONAL).otherwise(0.0)
-    found = flat.groupBy(key, "i", "j").agg(measure.alias("c"), F.count("*").alias("n"))
-    return found.select(key, "i", "j", F.when(F.col("n") > 1, F.col("c") + diagonal).otherwise(0.0).alias("value"))
+    return sums.select(key, "i", "j", F.when(F.col("n") > 1, measure + diagonal).otherwise(0.0).alias("value"))
 
 
 def weighted_covariance(df: DataFrame, key: str, vector: str, weight: str) -> DataFrame:

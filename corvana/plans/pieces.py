@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvana.functions import fragments as f
-from corvana.functions.texts import CURRENCIES
+from corvana.functions.texts import CURRENCIES, masked_enders
 from corvana.session import table
+from corvana.sources.lexicons import lexicon_entries
 
 MOST = 90
 
@@ -103,7 +104,37 @@ WITH words AS (
 SELECT doc_id, CAST(len(f) AS INTEGER) AS n, CAST(list_max(list_transform(f, lambda x: length(x))) AS INTEGER) AS longest, md5(array_to_string(f, '|')) AS pieces, md5(array_to_string(l, '|')) AS lasts FROM pieces
 """
 
-QUERIES = {"txt_normalized": (normalized, NORMALIZED_SQL), "txt_fragments": (split, SPLIT_SQL)}
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", masked_enders(F.col("text")).alias("m"))
+    return docs.select("doc_id", F.md5("m").alias("masked"))
+
+
+MASKED_SQL = """
+SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '\\s+|\\S+'), lambda w: CASE WHEN regexp_matches(w, '[\\p{L}\\p{N}]') THEN regexp_replace(w[:-2], '[.。?？!！|]', '_', 'g') || w[-1:] ELSE w END), '')) AS masked FROM documents
+"""
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon in JSON made of the parts' names, as a table: some words have one entry, some two, in two files."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("w"), F.col("p_partkey") % 400).alias("w"), F.col("p_partkey") % 3 == 0)
+    part = part.toDF("n", "w", "two")
+    entry = lambda tail: F.struct(F.struct(F.create_map(F.lit("en-us"), F.concat("w", F.lit(tail))).alias("espeak")).alias("pronunciation"), F.array(F.lit("the")).alias("precededBy"), F.array(F.lit("of")).alias("notSucceededBy"))
+    text = F.when(F.col("two"), F.to_json(F.array(entry(" a"), entry(" b")))).otherwise(F.to_json(entry(" c")))
+    words = part.groupBy((F.col("n") % 2).cast("int").alias("priority"), "w").agg(F.max_by(text, "n").alias("t"))  # a word has one value in a file
+    body = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "w", F.lit('":'), "t"))), ",")
+    files = words.groupBy("priority").agg(F.concat(F.lit('{"de":{"x":{}},"en":{'), body, F.lit("}}")).alias("json"))
+    found = lexicon_entries(files, "en", "en-us")
+    return found.select("word", "candidate", "pronunciation", F.array_join("preceded_by", ",").alias("preceded"), F.array_join("not_followed_by", ",").alias("banned"), "priority")
+
+
+LEXICON_SQL = """
+WITH words AS (
+  SELECT CAST(p_partkey % 2 AS INTEGER) AS priority, 'w' || (p_partkey % 400) AS word, arg_max(p_partkey % 3 = 0, p_partkey) AS two FROM part GROUP BY ALL
+)
+SELECT word, CAST(n AS INTEGER) AS candidate, word || ' ' || CASE WHEN NOT two THEN 'c' WHEN n = 0 THEN 'a' ELSE 'b' END AS pronunciation, 'the' AS preceded, 'of' AS banned, priority FROM words, (VALUES (0), (1)) AS t(n) WHERE n = 0 OR two
+"""
+
+QUERIES = {"txt_masked": (masked, MASKED_SQL), "lex_file": (lexicon, LEXICON_SQL), "txt_normalized": (normalized, NORMALIZED_SQL), "txt_fragments": (split, SPLIT_SQL)}
 
 
 def queries() -> dict:

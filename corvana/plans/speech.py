@@ -327,12 +327,28 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", markup.html_to_text("html").alias("text"))
 
 
+BLOCKS = "|".join(sorted(markup.BREAKS))
+SILENT = "|".join(f"<{t}[\\s>].*?</{t}\\s*>" for t in sorted(markup.SILENT))
+
+
+def unreferenced(x: str) -> str:
+    for name, sign in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "\'\'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·"}.items():
+        x = f"replace({x}, '{name}', '{sign}')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+MARKED = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>|{SILENT}', '', 'g'), '\\s+', ' ', 'g'), '(?i)</?(?:{BLOCKS})(?:\\s[^>]*)?/?>', chr(10), 'g')"
+VISIBLE = unreferenced(f"regexp_replace(regexp_replace({MARKED}, '(?i)<t[dh](?:\\s[^>]*)?>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')")
+HTML_SQL = f"""
+SELECT page_id, array_to_string(list_filter(list_transform(string_split({VISIBLE}, chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x{{A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages
+"""
+
 QUERIES = {
     "phone_costs": (phone_costs, COSTS_SQL), "phone_classes": (phone_classes, CLASSES_SQL), "phone_alphabets": (phone_alphabets, ALPHABETS_SQL), "txt_word_kinds": (word_kinds, KINDS_SQL), "txt_segments": (segments, SEGMENTS_SQL), "txt_strings": (strings, STRINGS_SQL),
     "txt_whole_paths": (whole_paths, WHOLE_SQL), "enc_more": (more_encodings, ENCODINGS_SQL), "enc_windows_1252": (windows_1252, WINDOWS_SQL), "ev_boundaries": (boundaries, BOUNDARIES_SQL),
     "ev_words_phones": (words_phones, WORDS_PHONES_SQL), "ev_trace": (trace, TRACE_SQL), "ev_log": (log_lines, LOG_SQL), "ev_path_tokens": (path_tokens, PATH_SQL), "ev_greedy_words": (greedy, GREEDY_SQL),
     "ev_sentences": (phrase_sentences, SENTENCES_SQL), "ev_token_kinds": (token_kinds, KIND_SQL), "ev_suppressed": (suppressed, SUPPRESSED_SQL), "timeline_token_words": (token_words, TOKEN_SQL),
-    "cue_wrapped": (wrapped_lines, WRAPPED_SQL), "txt_html": (page_texts, None),
+    "cue_wrapped": (wrapped_lines, WRAPPED_SQL), "txt_html": (page_texts, HTML_SQL),
 }
 
 

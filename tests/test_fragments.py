@@ -125,3 +125,24 @@ def test_fragments_against_loop(spark, sentences, phrases, most):
 def test_too_long_a_word(spark):
     with pytest.raises(Exception, match="a word of length 9 exceeds 5"):
         spark.createDataFrame([("abcdefghi",)], "text string").select(f.fragments(F.col("text"), 5)).collect()
+
+
+def test_masked_enders(spark):
+    rows = [("e.g. this. And 3.5! a.b.c", "e_g. this. And 3_5! a_b_c"), ("... ?! x|y|", "... ?! x_y|"), ("", ""), (None, None), ("a。b？\n c", "a_b？\n c")]
+    assert [r.m for r in spark.createDataFrame([(r[0],) for r in rows], "t string").select(texts.masked_enders(F.col("t")).alias("m")).collect()] == [r[1] for r in rows]
+
+
+def test_lexicon_files(spark, tmp_path):
+    import json
+
+    from corvana.sources.lexicons import read_lexicons
+
+    first = {"en": {"Read": [{"pronunciation": {"espeak": {"en-us": "r iː d", "en": "r i d"}}, "precededBy": ["to"]}, {"pronunciation": {"espeak": {"en": "r ɛ d"}}, "succeededBy": ["it"]}], "none": {"pos": ["noun"]}}, "de": {"x": {"pronunciation": {"espeak": {"de": "x"}}}}}
+    second = {"en": {"read": {"pronunciation": {"espeak": {"en-us": "own"}}, "notFollowedBy": ["me"], "notSucceededBy": ["you"]}}}
+    paths = []
+    for n, lexicon in enumerate((first, second)):
+        (tmp_path / f"{n}.json").write_text(json.dumps(lexicon, indent=1, ensure_ascii=False))
+        paths.append(str(tmp_path / f"{n}.json"))
+    found = sorted((tuple(r) for r in read_lexicons(spark, paths, "en", "en-us").collect()), key=repr)
+    assert found == [("read", 0, "own", None, None, None, ["me"], 1), ("read", 0, "r iː d", ["to"], None, None, None, 0), ("read", 1, "r ɛ d", None, None, ["it"], None, 0)]
+    assert read_lexicons(spark, paths, "fr").count() == 0

@@ -198,3 +198,20 @@ def test_windows_and_sections_as_columns(spark):
         assert np.allclose(r.x, r.b)
         if len(r.b) == 10:
             assert np.allclose(np.array(r.m).view(complex), np.fft.fft(np.arange(8.0)))
+
+
+def test_covariance_by_batches(spark):
+    import numpy as np
+
+    from corvana.operators import vector_sets
+
+    rng = np.random.default_rng(3)
+    vectors = {k: rng.normal(size=(n, 6)) + 5 for k, n in (("a", 700), ("b", 2), ("c", 1), (None, 9))}
+    rows = [(k, v.tolist()) for k, x in vectors.items() for v in x] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v array<double>").repartition(5)
+    for biased in (False, True):
+        found = {(r.k, r.i, r.j): r.value for r in vector_sets.covariance(df, "k", "v", biased).collect()}
+        assert len(found) == 4 * 21
+        for k, x in vectors.items():
+            expected = np.cov(x.T, bias=biased) + 1e-6 * np.eye(6) if len(x) > 1 else np.zeros((6, 6))
+            assert all(abs(found[(k, i, j)] - expected[i, j]) < 1e-9 for i in range(6) for j in range(i, 6))
