@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvana.functions.texts import CURRENCIES, is_blank, parsed, short_language_code, spoken_decade, spoken_year
+from corvana.functions.texts import CURRENCIES, all_words, is_blank, phrases, sentences, short_language_code, spoken_decade, spoken_year
 from corvana.functions.vectors import let
 
 # Words before which four digits are a year, before which they are a decade, and words that scale an amount.
@@ -114,16 +114,8 @@ def fragments(s: Column, most: int, whole_sentences: bool = True, whole_phrases:
     One fold over the words carries the open piece's length and what is already placed with its sentence or phrase.
     """
     length = lambda x: F.length(x)
-    placed = lambda s: F.flatten(
-        F.transform(
-            s["phrases"],
-            lambda p, j: F.transform(
-                p["words"],
-                lambda w, k: F.struct(length(w).alias("w"), F.when(k == 0, length(p["text"])).alias("p"), F.when((k == 0) & (j == 0), length(s["text"])).alias("s")),
-            ),
-        )
-    )
-    words = F.flatten(F.transform(parsed(s), placed))
+    word = lambda x, p, j: F.transform(all_words(p), lambda w, k: F.struct(length(w).alias("w"), F.when(k == 0, length(p)).alias("p"), F.when((k == 0) & (j == 0), length(x)).alias("s")))
+    words = F.flatten(F.transform(sentences(s), lambda x: F.flatten(F.transform(phrases(x), lambda p, j: word(x, p, j)))))
     most_ = F.lit(most)
 
     def step(a: Column, x: Column) -> Column:
