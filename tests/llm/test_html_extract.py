@@ -94,17 +94,22 @@ def test_comments_that_are_articles():
     assert h.main_text("<div class='post'><p>The body of this page</p></div><div id='comments'><article>a comment</article></div>") == "The body of this page"
 
 
+def template(node):
+    """A branch's elements in plain text, runs of equal ones as one."""
+    inner = [x if isinstance(x, str) else template(x) for x in node.kinds]
+    return f"{node.name}({','.join(x for n, x in enumerate(inner) if not n or x != inner[n - 1])})"
+
+
 def brute_tree(pages):
-    """{path: importance} of one host: paths, styles and contents as plain texts."""
+    """{path: (importance, presentation)} of one host: paths, templates and contents as plain texts."""
     by_text = {}
     for page in pages:
         blocks, nodes = h.parse(page)
         paths, styles, inside = {id(nodes[0]): ""}, {}, set()
         for node in nodes[1:]:
-            name = node.parent.kinds[sum(1 for x in nodes[1:nodes.index(node)] if x.parent is node.parent)]
-            paths[id(node)] = f"{paths[id(node.parent)]}/{name}"
-            styles.setdefault(paths[id(node)], []).extend(node.kinds)
-            if node.article == 2:
+            paths[id(node)] = f"{paths[id(node.parent)]}/{node.name}"
+            styles.setdefault(paths[id(node)], []).append(template(node))
+            if node.parent.article == 2:
                 inside.add(paths[id(node)])
         texts = {p: [] for p in styles}
         for node, text in blocks:
@@ -112,17 +117,17 @@ def brute_tree(pages):
             while path:
                 texts[path].append(text)
                 path = path.rpartition("/")[0]
-        rows = {p: (",".join(styles[p]), "\n".join(texts[p])) for p in styles if p not in inside}
-        by_text.setdefault("\n".join(t for _, t in h.article_blocks(blocks)), rows)
+        rows = {p: (";".join(x for n, x in enumerate(styles[p]) if not n or x != styles[p][n - 1]), "\n".join(texts[p])) for p in styles if p not in inside}
+        by_text.setdefault("\n".join(t for _, t in h.article_blocks([x for x in blocks if not x[0].dropped])), rows)
     out = {}
     for path in {p for rows in by_text.values() for p in rows}:
-        total = 0.0
-        for kind, share in ((0, h.PRESENTATION_SHARE), (1, 1 - h.PRESENTATION_SHARE)):
+        found = []
+        for kind in (0, 1):
             counts = Counter(rows[path][kind] for rows in by_text.values() if path in rows)
             m = sum(counts.values())
             e = -sum(n / m * log(n / m) for n in counts.values()) / log(m) if m > 1 else 1.0
-            total += share * (e * m + h.PRIOR) / (m + h.PRIOR)
-        out[path] = total
+            found.append((e * m + h.PRIOR) / (m + h.PRIOR))
+        out[path] = h.PRESENTATION_SHARE * found[0] + (1 - h.PRESENTATION_SHARE) * found[1], found[0]
     return out
 
 
@@ -144,9 +149,10 @@ def test_tree_by_brute_force(spark):
             at = h.number(f"{at}/{name}")
         return at
 
-    assert {key(p): round(v, 9) for p, v in want.items()} == {p: round(r.importance, 9) for p, r in got.items()}
+    assert {key(p): (round(v, 9), round(w, 9)) for p, (v, w) in want.items()} == {p: (round(r.importance, 9), round(r.presentation, 9)) for p, r in got.items()}
+    assert {r.parent for r in got.values()} <= {*got, h.number("/")}
     assert max(r.n_pages for r in got.values()) == 40
-    low = {p for p, v in want.items() if v < h.LOW_IMPORTANCE}
+    low = {p for p, (v, _) in want.items() if v < h.LOW_IMPORTANCE}
     assert "/html" not in low and not any("story" in p for p in low)
 
 
@@ -167,3 +173,40 @@ def test_deep_markup_is_linear():
         began = time.time()
         h.tree_rows(page)
         assert time.time() - began < 2
+
+
+def varied_page(random, words):
+    """A page without any mark of what is chrome, whose every branch says something else on each page; and its text."""
+    some = lambda n: " ".join(random.choices(words, k=n))
+    menu = "".join(f"<li><a href='/{n}'>{some(1)} {n}</a></li>" for n in range(random.randint(3, 7)))
+    inner = [(random.choice(["p", "h2", "blockquote"]), some(random.randint(4, 30))) for _ in range(random.randint(2, 12))]
+    story = "".join(f"<{t}>{x}</{t}>" for t, x in inner)
+    page = f"<body><div class='m1'><ul>{menu}</ul></div><div class='x9'>{some(6)}</div><div class='t2'><h1>{some(5)}</h1></div><div class='story'>{story}</div><div class='z'><span>{some(3)}</span> {some(4)}</div></body>"
+    heading = page.split("<h1>")[1].split("</h1>")[0]
+    return page, "\n".join([heading, *(x for _, x in inner)])
+
+
+def test_unmarked_branches_of_one_template_go(spark):
+    random = Random(11)
+    words = [f"w{n}" for n in range(300)]
+    made = [varied_page(random, words) for _ in range(60)]
+    rows = [(n, "https://a.example/", page) for n, (page, _) in enumerate(made)] + [(n, f"https://few{n % 10}.example/", page) for n, (page, _) in enumerate(made[:50], 1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (h.BROADCAST_PATHS, 0):
+        got = {r.page_id: r.text for r in h.extract(df, marks=False, broadcast_paths=bound).collect()}
+        assert [got[n] for n in range(60)] == [text for _, text in made]
+        assert all(len(got[1000 + n]) > len(made[n][1]) for n in range(50))  # of five pages no branch goes
+
+
+def test_prose_of_one_template_stays(spark):
+    rows = [(n, "https://a.example/", f"<body><div class='lead'><p>Lead {n}</p></div><div class='body'>{'<p>x</p><ul><li>y</li></ul>' * (n % 7)}<p>z {n}</p></div></body>") for n in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(df, marks=False).collect()}
+    assert all(got[n].startswith(f"Lead {n}\n") and got[n].endswith(f"z {n}") for n in range(40))
+
+
+def test_unclosed_tags_are_linear():
+    for piece in ("<a", "<!", "<?", "<a '", '<a "', "<!--", "</", "<a b='<"):
+        began = time.time()
+        h.main_text("<p>x</p>" + piece * ((1 << 20) // len(piece)))
+        assert time.time() - began < 1.5, piece
