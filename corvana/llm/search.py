@@ -12,7 +12,8 @@ they come by bound and not by number: with the hundreds of terms of a whole text
 document found by the lists' global maxima would be nearly each one.
 
 score = sum over distinct query terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)),
-rounded to 6 decimals; equal scores rank by the smaller id. Terms are runs of letters and digits in
+rounded to 6 decimals; equal scores rank by the smaller id. A document that shares a term is found
+even if its score rounds to 0. Terms are runs of letters and digits in
 lower case, known by their 64-bit hash.
 """
 
@@ -138,15 +139,16 @@ class Shard:
         bound = frequent @ self.block_max[lists] + np.bincount(block, weight * self.entry_max[entry], self.blocks)
         pivots = np.argsort(-bound, kind="stable")
         bound, done = bound[pivots], 0
+        reached = int(np.searchsorted(-bound, 0.0))  # the blocks that hold a term at all
         rank = np.empty(self.blocks, np.uint16)
         rank[pivots] = np.arange(self.blocks)
         rank = rank[block]
         by_pivot = np.argsort(rank, kind="stable")
         entry, weight, rank = entry[by_pivot], weight[by_pivot], rank[by_pivot]
         ends = np.searchsorted(rank, np.arange(self.blocks + 1)).tolist()
-        while done < self.blocks:
-            least = heap[0][0] if len(heap) == k else 1e-6
-            n = min(PIVOTS[done > 0], int(np.searchsorted(-bound[done:], SLACK - least, side="right")))  # those that can reach it
+        while done < reached:
+            least = heap[0][0] if len(heap) == k else 0.0
+            n = min(PIVOTS[done > 0], int(np.searchsorted(-bound[done:reached], SLACK - least, side="right")))  # those that can reach it
             if not n:
                 return
             read = pivots[done : done + n]
@@ -155,8 +157,9 @@ class Shard:
             posting = ranges(self.entry_start[entry[mine]], size)
             at = (rank[mine].astype(np.int64) - done) * BLOCK
             score = np.bincount(np.repeat(at, size) + self.place[posting], np.repeat(weight[mine], size) * self.impact[posting], n * BLOCK)
-            score = np.round(score + (frequent @ self.laid[read[:, None], lists]).ravel(), 6)
-            good = np.flatnonzero(score >= least)
+            score = score + (frequent @ self.laid[read[:, None], lists]).ravel()
+            shares, score = score > 0, np.round(score, 6)  # a term in every document may round to 0, and counts
+            good = np.flatnonzero(shares & (score >= least))
             if len(good) > k:  # of these only the k best, and their equals, can stay
                 good = good[score[good] >= np.partition(score[good], -k)[-k]]
             for found in good.tolist():
@@ -279,6 +282,6 @@ WITH words AS (
   FROM tf q JOIN tf t USING (term) JOIN df USING (term) JOIN lengths l ON l.doc_id = t.doc_id, whole
   WHERE q.doc_id % {step} = 0 GROUP BY q.doc_id, t.doc_id
 )
-SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {k}
 """

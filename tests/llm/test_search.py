@@ -60,6 +60,22 @@ def test_pruned_equals_full():
         assert sorted(heap, reverse=True) == [(-x, -i) for x, i in best]
 
 
+def test_scores_that_round_to_zero_count():
+    rng = np.random.default_rng(2)
+    docs, holds = [], []
+    for n in range(400):
+        terms = np.unique(rng.integers(1, 30, 3)).astype(np.int64) if n % 3 else np.array([50 + n], np.int64)
+        holds.append(7 in terms)
+        docs.append((n, len(terms), terms.tobytes(), np.ones(len(terms), np.int32).tobytes()))
+    for part in (docs, docs[:40]):
+        heap = []
+        s.Shard(part, 3.0).search(np.array([7]), np.array([1e-9]), 10, heap)
+        assert sorted(heap, reverse=True) == [(0.0, -n) for n in range(len(part)) if holds[n]][:10]
+    heap = []
+    s.Shard(docs, 3.0).search(np.array([7, 49]), np.array([1e-9, 1.0]), 1000, heap)
+    assert len(heap) == sum(holds)
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(0, "a b", 1), (0, "a b", 1), (1, "b c", 1), (None, "a b", 1), (50, None, 1)], "doc_id long, text string, score int")
     got = sorted((r.query_id, r["rank"], r.doc_id) for r in s.top_k(df, F.col("doc_id") % 50 == 0).collect())
