@@ -12,12 +12,16 @@ fixed number of rows for each distinct fingerprint, so the work grows with the i
 Rows of the same fingerprint are one class from the start, and of the links found under one key a
 spanning forest is passed on, so a group of copies never becomes all its pairs. A key with more than
 FULL rows is filed anew under each byte of its other two segments: of two fingerprints within TAU
-bits, one of these four bytes is equal.
+bits, one of these four bytes is equal. If that is still too full, it is filed under each quarter of
+the other three bytes, for the same reason; and what is too full even then is dealt in blocks of about
+FULL rows that meet two by two, each pair of blocks in a group of its own. FULL doesn't grow with the
+input, so no task does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,9 @@ from corvana.session import cut
 TAU, SEGMENTS, WIDTH = 3, 4, 16
 SEED, SHINGLE = 42, 3
 BLOCK = 1 << 21
-FULL, FULL_SHARE = 20_000, 100_000
+FULL = 20_000
 START_BITS, BYTE_BITS = 8, 2 * WIDTH + 8
+QUARTER_BITS = BYTE_BITS + 11
 #: Rows that are broadcast to mark others; more of them meet by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -126,17 +131,37 @@ def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(probe))], schema=KEY_SCHEMA)
 
 
-def refiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of full keys under four keys each: the key and one byte of the ring's last two segments."""
-    for batch in batches:
-        key, fp = (batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in (0, 1))
-        rest = np.empty_like(fp)
-        start = key >> np.uint64(2 * WIDTH)
-        for n in range(SEGMENTS):
-            rest[start == n] = rotated(fp[start == n], n)
-        for byte in range(4):
-            place = np.uint64(256 * (byte + 1)) + (rest >> np.uint64(8 * byte) & np.uint64(255))
-            yield pa.RecordBatch.from_arrays([pa.array((key | place << np.uint64(BYTE_BITS)).view(np.int64)), batch.column(1), batch.column(2)], schema=KEY_SCHEMA)
+def other_half(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """The ring's last two segments, from the start that the key names, as the lowest bits."""
+    rest, start = np.empty_like(fp), start_of(key)
+    for n in range(SEGMENTS):
+        rest[start == n] = rotated(fp[start == n], n)
+    return rest & np.uint64((1 << 2 * WIDTH) - 1)
+
+
+def by_byte(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
+    """Four keys for each row of a full key: the key and one byte of the other half."""
+    rest = other_half(key, fp)
+    return [key | (np.uint64(256 * (n + 1)) + (rest >> np.uint64(8 * n) & np.uint64(255))) << np.uint64(BYTE_BITS) for n in range(4)]
+
+
+def by_quarter(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
+    """Four keys for each row of a full key of by_byte(): the key and 6 bits of the other three bytes."""
+    rest = other_half(key, fp)
+    low = ((key >> np.uint64(BYTE_BITS + 8)) - np.uint64(1)) * np.uint64(8)  # bits below the byte in the key
+    rest = rest & (np.uint64(1) << low) - np.uint64(1) | rest >> low + np.uint64(8) << low
+    return [key | (np.uint64(64 * (n + 1)) + (rest >> np.uint64(6 * n) & np.uint64(63))) << np.uint64(QUARTER_BITS) for n in range(4)]
+
+
+def refiled(keys_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]):
+    """For mapInArrow: rows of full keys under their new keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in keys_of(*(batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in (0, 1))):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1), batch.column(2)], schema=KEY_SCHEMA)
+
+    return run
 
 
 def start_of(key: np.ndarray) -> np.ndarray:
@@ -248,15 +273,38 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(x) for x in zip(*waiting, strict=True)])
 
 
+def blocks_met(keys: DataFrame, crowded: DataFrame, full: int) -> DataFrame:
+    """Rows (key, fp, probe) of the crowded keys (key, n), dealt in blocks: what is filed in one meets all that is in another, under a key for the two.
+
+    The new keys are hashes that keep the start; keys that should collide only share a group.
+    """
+    dealt = keys.join(crowded, "key").withColumn("blocks", F.ceil(F.col("n") / full).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    filing = dealt.where(~F.col("probe")).select("key", "fp", F.lit(False).alias("probe"), F.col("own").alias("i"), others).withColumnRenamed("other", "j")
+    asking = dealt.select("key", "fp", F.lit(True).alias("probe"), F.col("own").alias("j"), others).withColumnRenamed("other", "i")
+    start = ((1 << START_BITS) - 1) << 2 * WIDTH
+    both = F.xxhash64("key", "i", "j").bitwiseAND(F.lit(~start)).bitwiseOR(F.col("key").bitwiseAND(F.lit(start)))
+    return filing.unionByName(asking).select(both.alias("key"), "fp", "probe")
+
+
 def fingerprint_links(distinct: DataFrame, full: int = FULL) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that differ in at most TAU bits, enough to connect all that are so linked."""
-    keys = cut(distinct.select("fp").mapInArrow(filed, "key long, fp long, probe boolean"))
-    most = max(full, keys.count() // FULL_SHARE)  # so full keys are at most FULL_SHARE
-    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"))
-    if not crowded.isEmpty():
-        again = keys.join(F.broadcast(crowded), "key", "left_semi").mapInArrow(refiled, "key long, fp long, probe boolean")
-        keys = keys.join(F.broadcast(crowded), "key", "left_anti").union(again)
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
+    schema = "key long, fp long, probe boolean"
+    keys, found = cut(distinct.select("fp").mapInArrow(filed, schema)), []
+    for keys_of in (by_byte, by_quarter, None):
+        crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > full))
+        few = crowded.count()
+        if not few:
+            found.append(keys)
+            break
+        marked = F.broadcast(crowded) if few <= BROADCAST_ROWS else crowded
+        found.append(keys.join(marked.select("key"), "key", "left_anti"))
+        if keys_of is None:
+            found.append(blocks_met(keys, marked, full))
+        else:
+            keys = cut(keys.join(marked.select("key"), "key", "left_semi").mapInArrow(refiled(keys_of), schema))
+    every = functools.reduce(DataFrame.unionByName, found)
+    return every.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
 
 
 def labelled(rows: DataFrame) -> DataFrame:

@@ -69,8 +69,41 @@ def test_links_connect_all(spark):
     groups = lambda m: sorted(sorted(x for x in fps if m.get(x, x) == r) for r in {m.get(x, x) for x in fps})
     assert groups(own) == groups(expected)
     assert len(found) < 3 * len(fps) * s.SEGMENTS
-    again = {r.node % (1 << 64): r.root % (1 << 64) for r in s.components(s.fingerprint_links(df, full=20)).collect()}  # most keys are filed anew
-    assert groups(again) == groups(expected)
+    for full in (20, 150):  # most keys are filed anew twice and dealt in blocks; some are filed anew
+        again = {r.node % (1 << 64): r.root % (1 << 64) for r in s.components(s.fingerprint_links(df, full=full)).collect()}
+        assert groups(again) == groups(expected)
+
+
+def test_keys_of_full_keys():
+    rng = random.Random(9)
+    a = np.array([rng.getrandbits(64) for _ in range(4000)], np.uint64)
+    low = [sum(1 << bit for bit in rng.sample(range(32), rng.randint(0, 3))) for _ in a]  # up to TAU bits of the other half
+    for start in range(s.SEGMENTS):
+        turned = [x if not start else (x >> 16 * start | x << 64 - 16 * start) & (1 << 64) - 1 for x in low]
+        b = a ^ np.array(turned, np.uint64)
+        key = s.rotated(a, start) >> np.uint64(32) | np.uint64(start << 32)
+        assert (key == s.rotated(b, start) >> np.uint64(32) | np.uint64(start << 32)).all()
+        bytes_a, bytes_b = s.by_byte(key, a), s.by_byte(key, b)
+        assert np.any([x == y for x, y in zip(bytes_a, bytes_b, strict=True)], axis=0).all()
+        for x, y in zip(bytes_a, bytes_b, strict=True):
+            same = x == y
+            quarters = zip(s.by_quarter(x[same], a[same]), s.by_quarter(y[same], b[same]), strict=True)
+            assert np.any([p == q for p, q in quarters], axis=0).all()
+            assert (s.start_of(s.by_quarter(x, a)[3]) == start).all()
+        assert len({k.tobytes() for k in [*bytes_a, *(q for x in bytes_a for q in s.by_quarter(x, a))]}) == 20
+
+
+def test_blocks_meet_once_each(spark):
+    rows = [(5 << 40 | 2 << 32 | 7, n, n % 3 == 0) for n in range(100)] + [(9, 1000, False), (9, 1001, True)]
+    df = spark.createDataFrame(rows, "key long, fp long, probe boolean")
+    crowded = df.groupBy("key").agg(s.F.count("*").alias("n")).where("n > 10")
+    groups = {}
+    for r in s.blocks_met(df, crowded, 10).collect():
+        groups.setdefault(r.key, ([], []))[r.probe].append(r.fp)
+    assert all(k >> 32 & 255 == 2 for k in groups)
+    met = sorted((a, b) for filed, asking in groups.values() for a in filed for b in asking)
+    assert met == sorted((a, b) for a in range(100) if a % 3 for b in range(100))
+    assert max(len(x) + len(y) for x, y in groups.values()) < 60
 
 
 def test_rows(spark):
