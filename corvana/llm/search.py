@@ -158,12 +158,13 @@ class Shard:
             at = (rank[mine].astype(np.int64) - done) * BLOCK
             score = np.bincount(np.repeat(at, size) + self.place[posting], np.repeat(weight[mine], size) * self.impact[posting], n * BLOCK)
             score = score + (frequent @ self.laid[read[:, None], lists]).ravel()
-            shares, score = score > 0, np.round(score, 6)  # a term in every document may round to 0, and counts
-            good = np.flatnonzero(shares & (score >= least))
+            good = np.flatnonzero(score > max(least - SLACK, 0.0))  # what rounds to 0 shares a term, and counts
+            score = np.round(score[good], 6)
             if len(good) > k:  # of these only the k best, and their equals, can stay
-                good = good[score[good] >= np.partition(score[good], -k)[-k]]
-            for found in good.tolist():
-                hit = (float(score[found]), -int(self.ids[int(read[found // BLOCK]) * BLOCK + found % BLOCK]))
+                least = max(least, np.partition(score, -k)[-k])
+            best = score >= least
+            for value, found in zip(score[best].tolist(), good[best].tolist(), strict=True):
+                hit = (value, -int(self.ids[int(read[found // BLOCK]) * BLOCK + found % BLOCK]))
                 if len(heap) < k:
                     heapq.heappush(heap, hit)
                 elif hit > heap[0]:
