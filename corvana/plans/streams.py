@@ -14,9 +14,9 @@ THRESHOLD = 50.0
 
 
 def streamed(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
-    """The rows that an operator gives for the stream of event files, all that are there now; results and state lie in the shared folder."""
+    """The rows that an operator gives for the stream of event files (one file or a folder of them), all that are there now; results and state lie in the shared folder."""
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream takes no path of a single file
     writer = operator(events).writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.parquet(f"{where}/rows")
