@@ -161,14 +161,14 @@ def stft(samples: np.ndarray, order: int, window: int, hop: int, kind: str = "ha
 
 
 def istft(spectra: np.ndarray, order: int, window: int, hop: int, kind: str = "hann") -> np.ndarray:
-    """Overlap-add over the sum of squared weights."""
+    """Overlap-add over the sum of squared weights; samples that no weight reaches are 0."""
     w = window_weights(kind, window)
     frames = np.fft.irfft(spectra, order)[:, :window] * w
     out, norm = np.zeros(window + hop * max(0, len(frames) - 1)), np.zeros(window + hop * max(0, len(frames) - 1))
     for i, f in enumerate(frames):
         out[i * hop : i * hop + window] += f
         norm[i * hop : i * hop + window] += w * w
-    return (out / (norm + 1e-8))[window // 2 : len(out) - window // 2]
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-8)[window // 2 : len(out) - window // 2]
 
 
 def to_mel(f):

@@ -52,7 +52,7 @@ SINGLE = {
     "sig_silence_end": ("i", lambda u: signals.trailing_silent(u, F.lit(0.1)), SILENT.format("list_reverse(v)")),
     "sig_trim_start": ("a", lambda u: signals.trimmed_start(u, 3, -20.0), f"list_concat([0.0, 0.0, 0.0], v[{SILENT.format('v')} + 1:])"),
     "sig_trim_end": ("a", lambda u: signals.trimmed_end(u, 2, -20.0), f"list_concat(v[1:len(v) - {SILENT.format('list_reverse(v)')}], [0.0, 0.0])"),
-    "sig_istft": ("a", lambda u: F.transform(signals.restored(u, 16, 16, 4), lambda x: F.round(x, 3)), "list_transform(v, lambda x: round(x, 3))"),
+    "sig_istft": ("a", lambda u: F.transform(signals.restored(u, 16, 16, 4), lambda x: F.round(F.round(x, 12), 3)), "list_transform(v, lambda x: round(x, 3))"),
     "vec_sum_and_sumsq": ("a", lambda u: F.array(v.sum_and_squares(u)["sum"], v.sum_and_squares(u)["squares"]), "[list_sum(v), list_sum(list_transform(v, lambda x: x * x))]"),
     "sig_polar": ("a", lambda u: F.flatten(F.transform(signals.polar(signals.complex_bins(u)), lambda z: F.array(z["magnitude"], z["phase"]))), "flatten(list_transform(range(1, len(v) // 2 + 1), lambda i: [sqrt(pow(v[2 * i - 1], 2) + pow(v[2 * i], 2)), atan2(v[2 * i], v[2 * i - 1])]))"),
     "sig_cartesian": ("a", lambda u: signals.bin_buffer(signals.cartesian(signals.polar(signals.complex_bins(u)))), "v"),
