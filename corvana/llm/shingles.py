@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.llm.batches import give_back, mapper
+from corvana.llm.components import joined
 from corvana.llm.simhash import BROADCAST_ROWS, components_of, first_rows, shingle_hashes, text_key
 from corvana.session import cut
 
@@ -175,13 +176,18 @@ def set_links(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str, wo
     return links.unionByName(rest)
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df with one row of each component of texts linked by at least the similarity: that of the smallest id; of several texts under this id and shingle set that of the least key, of equal rows one.
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, classes: DataFrame | None = None) -> DataFrame:
+    """df with one row of each component of texts linked by at least the similarity, or by a class (key, root) that they share: that of the smallest id; of several texts under this id and shingle set that of the least key, of equal rows one.
 
     A null text counts as empty; texts without words are one component. A component without any id
     keeps one row. Every other column is kept as it is.
     """
     rows = cut(set_rows(df, id_col, text_col, words))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"), F.min(F.struct("id", "key")).alias("rep")))
-    chosen = components_of(distinct.select("fp", "first"), set_links(df, distinct, id_col, text_col, words, similarity, block_bytes))
+    links = set_links(df, distinct, id_col, text_col, words, similarity, block_bytes)
+    if classes is not None:  # each shingle set is linked with the least one of its class
+        own = cut(rows.select("key", "fp").distinct().join(classes, "key").select("fp", "root").distinct())
+        least = own.groupBy("root").agg(F.min("fp").alias("least"))
+        links = links.unionByName(joined(own, least, "root").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")))
+    chosen = components_of(distinct.select("fp", "first"), links)
     return first_rows(df, id_col, text_col, rows.select("id", "key", "fp"), chosen)

@@ -337,6 +337,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+    """(key, root) of each different text: its text_key() and what tells its component of near-duplicates apart."""
+    rows = cut(fingerprint_rows(df, id_col, text_col, words, keyed=True))
+    return joined(rows.select("key", "fp").distinct(), cut(labelled(rows)), "fp").select("key", "root")
+
+
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """df with one row of each component: that of the smallest id; of several texts under this id and fingerprint that of the least key, of equal rows one.
 
