@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvana.functions.texts import CURRENCIES, all_words, is_blank, phrases, sentences, short_language_code, spoken_decade, spoken_year
-from corvana.functions.vectors import let
+from corvana.functions import kernels
+from corvana.functions.texts import CURRENCIES, PHRASE_END, SENTENCE_END, short_language_code
 
 # Words before which four digits are a year, before which they are a decade, and words that scale an amount.
 YEAR_CUES = (
@@ -18,8 +19,6 @@ DECADE_CUES = ("the", "in", "early", "mid", "late", "a")
 SCALES = ("million", "billion", "trillion")
 
 SIGNS = "".join(CURRENCIES)
-AMOUNT = "[0-9][0-9,.]*"
-YEAR, DECADE, RANGE = "^[0-9]{4}$", "^[0-9]{3}0s$", "^[0-9]{4}[-–][0-9]{4}$"
 #: Amounts with a sign before or behind or with a decimal part, then words, white space and single signs.
 SPOKEN_WORD = rf"([{SIGNS}][0-9]+(?:[.,][0-9]+)*|[0-9]+(?:[.,][0-9]+)*[{SIGNS}]|[0-9]+(?:[.,][0-9]+)+|[\p{{L}}\p{{M}}\p{{N}}]+(?:['’][\p{{L}}\p{{M}}\p{{N}}]+)*|\s+|[^\s\p{{L}}\p{{M}}\p{{N}}])"
 
@@ -29,10 +28,6 @@ def spoken_words(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(SPOKEN_WORD), 1)
 
 
-def currency_name(sign: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])[sign]
-
-
 def normalized_fragments(words: Column, language: Column) -> Column:
     """array<struct<normalized, reference, first, count>>: what is spoken for a text's words (white space as words among them).
 
@@ -43,64 +38,13 @@ def normalized_fragments(words: Column, language: Column) -> Column:
     languages' words stay. Null for null words.
     """
 
-    def matched(w: Column) -> Column:
-        """(first, count, kind) of each place where a rule fits, wherever others fit."""
-
-        def at(x: Column, i: Column) -> Column:
-            low, after, third = F.lower(x["w"]), F.get(w, i + 1), F.get(w, i + 2)
-            spaced = lambda cues, pattern: low.isin(list(cues)) & x["spaced"] & after["w"].rlike(pattern)
-            joined = ~x["spaced"] & ~after["spaced"] & F.concat(x["w"], after["w"], third["w"]).rlike(RANGE)
-            kind = (
-                F.when(spaced(YEAR_CUES, YEAR), F.struct(F.lit(2).alias("count"), F.lit("year").alias("kind")))
-                .when(spaced(DECADE_CUES, DECADE), F.struct(F.lit(2).alias("count"), F.lit("decade").alias("kind")))
-                .when(joined, F.struct(F.lit(3).alias("count"), F.lit("range").alias("kind")))
-                .when(low.rlike(f"^[{SIGNS}]{AMOUNT}$"), F.struct(F.when(F.lower(after["w"]).isin(list(SCALES)), 2).otherwise(1).alias("count"), F.lit("before").alias("kind")))
-                .when(low.rlike(f"^{AMOUNT}[{SIGNS}]$"), F.struct(F.lit(1).alias("count"), F.lit("behind").alias("kind")))
-            )
-            return F.struct(i.alias("first"), kind["count"].alias("count"), kind["kind"].alias("kind"))
-
-        return F.filter(F.transform(w, at), lambda m: m["kind"].isNotNull())
-
-    def kept(matches: Column) -> Column:
-        """Those that begin at a word which none before has taken."""
-        none = F.filter(matches, lambda m: F.lit(False))
-        state = F.struct(F.lit(0).alias("end"), none.alias("kept"))
-        take = lambda a, m: F.struct((m["first"] + m["count"]).alias("end"), F.concat(a["kept"], F.array(m)).alias("kept"))
-        return F.aggregate(matches, state, lambda a, m: F.when(m["first"] >= a["end"], take(a, m)).otherwise(a), lambda a: a["kept"])
-
-    def fragment(said: Column, written: Column, first: Column, count: Column | int) -> Column:
-        return F.struct(said.alias("normalized"), written.alias("reference"), first.cast("int").alias("first"), (F.lit(count) if isinstance(count, int) else count).cast("int").alias("count"))
-
-    def told(w: Column, m: Column) -> Column:
-        word = lambda n: F.get(w, m["first"] + n)["w"]
-        own = lambda n: fragment(word(n), word(n), m["first"] + n, 1)
-        year = lambda n: fragment(spoken_year(word(n)), word(n), m["first"] + n, 1)
-        amount, size = F.substr(word(0), F.lit(2)), F.length(word(0))
-        scaled = m["count"] == 2
-        before = fragment(
-            F.concat_ws(" ", amount, F.when(scaled, word(1)), currency_name(F.substring(word(0), 1, 1))), F.concat_ws(" ", word(0), F.when(scaled, word(1))), m["first"], m["count"]
-        )
-        behind = fragment(F.concat_ws(" ", F.substr(word(0), F.lit(1), size - 1), currency_name(F.substr(word(0), size, F.lit(1)))), word(0), m["first"], 1)
-        return (
-            F.when(m["kind"] == "year", F.array(own(0), year(1)))
-            .when(m["kind"] == "decade", F.array(own(0), fragment(spoken_decade(word(1)), word(1), m["first"] + 1, 1)))
-            .when(m["kind"] == "range", F.array(year(0), fragment(F.lit("to"), word(1), m["first"] + 1, 1), year(2)))
-            .when(m["kind"] == "before", F.array(before))
-            .otherwise(F.array(behind))
-        )
-
-    def plain(w: Column, start: Column, end: Column) -> Column:
-        return F.transform(F.slice(w, start + 1, F.greatest(end - start, F.lit(0))), lambda x, i: fragment(x["w"], x["w"], start + i, 1))
-
-    def whole(w: Column, found: Column) -> Column:
-        end = lambda n: F.coalesce(F.get(found, n)["first"] + F.get(found, n)["count"], F.lit(0))
-        parts = F.transform(found, lambda m, n: F.concat(plain(w, end(n - 1), m["first"]), told(w, m)))
-        return F.concat(F.flatten(parts), plain(w, end(F.size(found) - 1), F.size(w)))
-
-    spaced = lambda every: F.transform(every, lambda x, i: F.struct(x.alias("w"), F.coalesce(is_blank(F.get(every, i + 1)), F.lit(False)).alias("spaced")))
-    visible = let(words, lambda every: F.filter(spaced(every), lambda x: ~is_blank(x["w"])))
-    english = F.coalesce(short_language_code(language) == "en", F.lit(False))
-    return let(visible, lambda w: F.when(english, let(kept(matched(w)), lambda found: whole(w, found))).otherwise(plain(w, F.lit(0), F.size(w))))
+    told = kernels.normalized(YEAR_CUES, DECADE_CUES, SCALES, SIGNS, kernels.spoken_year, kernels.spoken_decade, CURRENCIES)
+
+    @F.arrow_udf("array<struct<normalized:string,reference:string,first:int,count:int>>")
+    def kernel(every: pa.Array, english: pa.Array) -> pa.Array:
+        return told(every, english)
+
+    return kernel(words, F.coalesce(short_language_code(language) == "en", F.lit(False)))
 
 
 def fragments(s: Column, most: int, whole_sentences: bool = True, whole_phrases: bool = True) -> Column:
@@ -110,43 +54,14 @@ def fragments(s: Column, most: int, whole_sentences: bool = True, whole_phrases:
     it doesn't fit there either, its phrases are placed one by one by the same rule, and of a phrase that
     fits nowhere its words. A longer word is an error. start: the piece's place in the text; last: the sentence, phrase or word that
     was placed in it last. Null for null; an empty text has no pieces.
-
-    One fold over the words carries the open piece's length and what is already placed with its sentence or phrase.
     """
-    length = lambda x: F.length(x)
-    word = lambda x, p, j: F.transform(all_words(p), lambda w, k: F.struct(length(w).alias("w"), F.when(k == 0, length(p)).alias("p"), F.when((k == 0) & (j == 0), length(x)).alias("s")))
-    words = F.flatten(F.transform(sentences(s), lambda x: F.flatten(F.transform(phrases(x), lambda p, j: word(x, p, j)))))
-    most_ = F.lit(most)
-
-    def step(a: Column, x: Column) -> Column:
-        used, is_s = a["used"], x["s"].isNotNull()
-        passed = ~is_s & ((a["skip"] == 1) | (x["p"].isNull() & (a["skip"] == 2)))
-        s_fits = F.coalesce(used + x["s"] <= most_, F.lit(False))
-        s_new = is_s & ~s_fits & (used > 0) & F.coalesce(x["s"] <= most_, F.lit(False)) if whole_sentences else F.lit(False)
-        used_0 = F.when(is_s & ~s_fits, 0).otherwise(used) if whole_sentences else used
-        is_p = x["p"].isNotNull()
-        p_fits = is_p & F.coalesce(used_0 + x["p"] <= most_, F.lit(False))
-        p_new = is_p & ~p_fits & (used_0 > 0) & F.coalesce(x["p"] <= most_, F.lit(False)) if whole_phrases else F.lit(False)
-        used_1 = F.when(is_p & ~p_fits, 0).otherwise(used_0) if whole_phrases else used_0
-        w_fits = used_1 + x["w"] <= most_
-        too_long = F.raise_error(F.concat(F.lit("a word of length "), x["w"].cast("string"), F.lit(f" exceeds {most}"))).cast("int")
-        after = F.when(passed, used).when(s_fits, used + x["s"]).when(s_new, x["s"]).when(p_fits, used_0 + x["p"]).when(p_new, x["p"]).when(w_fits, used_1 + x["w"]).when(x["w"] <= most_, x["w"]).otherwise(too_long)
-        skip = F.when(passed, a["skip"]).when(s_fits | s_new, 1).when(p_fits | p_new, 2).otherwise(0)
-        cut = F.when(passed | s_fits, F.lit(False)).when(s_new, F.lit(True)).when(p_fits, used_0 != used).when(p_new, F.lit(True)).when(w_fits, used_1 != used).otherwise(F.lit(True))
-        last = F.when(passed, a["last"]).otherwise(a["at"])
-        ended = F.struct(a["at"].alias("end"), a["last"].alias("last"))
-        return F.struct(
-            (a["at"] + x["w"]).alias("at"), after.alias("used"), skip.alias("skip"), last.alias("last"),
-            F.when(cut, F.concat(a["ends"], F.array(ended))).otherwise(a["ends"]).alias("ends"),
-        )
-
-    zero = F.lit(0)
-    none = F.array().cast("array<struct<end:int,last:int>>")
-    state = F.struct(zero.alias("at"), zero.alias("used"), zero.alias("skip"), zero.alias("last"), none.alias("ends"))
-    ends = F.aggregate(words, state, step, lambda a: F.when(a["at"] > 0, F.concat(a["ends"], F.array(F.struct(a["at"].alias("end"), a["last"].alias("last"))))).otherwise(a["ends"]))
-    start = lambda e, n: F.coalesce(F.get(e, n - 1)["end"], zero)
-    piece = lambda e: F.transform(e, lambda x, n: F.struct(F.substr(s, start(e, n) + 1, x["end"] - start(e, n)).alias("text"), start(e, n).alias("start"), F.substr(s, x["last"] + 1, x["end"] - x["last"]).alias("last")))
-    return let(ends, piece)
+    told = kernels.fragments(kernels.cutter(SENTENCE_END), kernels.cutter(PHRASE_END), most, whole_sentences, whole_phrases)
+
+    @F.arrow_udf("array<struct<text:string,start:int,last:string>>")
+    def kernel(texts: pa.Array) -> pa.Array:
+        return told(texts)
+
+    return kernel(s)
 
 
 def last_segment(piece: Column) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvana.functions import kernels
 from corvana.functions.vectors import let
 
 # Emoji ranges, separators of phrases, signs that are read as words, and typographic marks with their plain forms.
@@ -125,9 +127,13 @@ def parsed(s: Column) -> Column:
 
     separated: whether the phrase's last visible word parts phrases.
     """
-    last = lambda p: F.element_at(F.filter(all_words(p), lambda w: ~is_blank(w)), -1)
-    phrase = lambda p: F.struct(p.alias("text"), all_words(p).alias("words"), F.coalesce(is_phrase_separator(last(p)), F.lit(False)).alias("separated"))
-    return F.transform(sentences(s), lambda x: F.struct(x.alias("text"), F.transform(phrases(x), phrase).alias("phrases")))
+    told = kernels.parsed(kernels.cutter(SENTENCE_END), kernels.cutter(PHRASE_END), PHRASE_SEPARATORS)
+
+    @F.arrow_udf("array<struct<text:string,phrases:array<struct<text:string,words:array<string>,separated:boolean>>>>")
+    def kernel(texts: pa.Array) -> pa.Array:
+        return told(texts)
+
+    return kernel(s)
 
 
 # What ends a sentence for masked_enders().
