@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 
@@ -152,61 +152,55 @@ def normalized(year_cues, decade_cues, scales, signs: str, year: Callable[[str],
     before, behind = re.compile(f"[{signs}]{amount}").fullmatch, re.compile(f"{amount}[{signs}]").fullmatch
     year_cues, decade_cues, scales, digits = frozenset(year_cues), frozenset(decade_cues), frozenset(scales), frozenset("0123456789")
 
-    def told(w: list[str], spaced: list[bool]) -> Iterator[tuple[str, str, int, int]]:
-        i, n = 0, len(w)
-        while i < n:
-            word, first = w[i], w[i][:1]
-            after = w[i + 1] if i + 1 < n else ""
-            low = word.lower() if spaced[i] and after[:1] in digits else ""
-            if low in year_cues and is_year(after):
-                yield word, word, i, 1
-                yield year(after), after, i + 1, 1
-                i += 2
-            elif low in decade_cues and is_decade(after):
-                yield word, word, i, 1
-                yield decade(after), after, i + 1, 1
-                i += 2
-            elif first in digits and i + 2 < n and not spaced[i] and not spaced[i + 1] and is_range(word + after + w[i + 2]):
-                yield year(word), word, i, 1
-                yield "to", after, i + 1, 1
-                yield year(w[i + 2]), w[i + 2], i + 2, 1
-                i += 3
-            elif first in currencies and before(word):
-                if after.lower() in scales:
-                    yield f"{word[1:]} {after} {currencies[first]}", f"{word} {after}", i, 2
-                    i += 2
-                else:
-                    yield f"{word[1:]} {currencies[first]}", word, i, 1
-                    i += 1
-            elif first in digits and word[-1] in currencies and behind(word):
-                yield f"{word[:-1]} {currencies[word[-1]]}", word, i, 1
-                i += 1
-            else:
-                yield word, word, i, 1
-                i += 1
+    def told(w: list[str], spaced: list[bool], i: int) -> list[tuple[str, str, int, int]]:
+        """The fragments of the rule that fits word i; none for none."""
+        word, first, n = w[i], w[i][:1], len(w)
+        after = w[i + 1] if i + 1 < n else ""
+        low = word.lower() if spaced[i] and after[:1] in digits else ""
+        if low in year_cues and is_year(after):
+            return [(word, word, i, 1), (year(after), after, i + 1, 1)]
+        if low in decade_cues and is_decade(after):
+            return [(word, word, i, 1), (decade(after), after, i + 1, 1)]
+        if first in digits and i + 2 < n and not spaced[i] and not spaced[i + 1] and is_range(word + after + w[i + 2]):
+            return [(year(word), word, i, 1), ("to", after, i + 1, 1), (year(w[i + 2]), w[i + 2], i + 2, 1)]
+        if first in currencies and before(word):
+            if after.lower() in scales:
+                return [(f"{word[1:]} {after} {currencies[first]}", f"{word} {after}", i, 2)]
+            return [(f"{word[1:]} {currencies[first]}", word, i, 1)]
+        if first in digits and word[-1] in currencies and behind(word):
+            return [(f"{word[:-1]} {currencies[word[-1]]}", word, i, 1)]
+        return []
+
+    marks = digits | frozenset(currencies)  # a rule's words, or the word after a cue, begin with one
 
     def build(words: pa.Array, english: pa.Array) -> pa.Array:
         sizes, said, written, firsts, counts = [], [], [], [], []
-        for every, is_english in zip(words.to_pylist(), english.to_pylist(), strict=True):
-            if every is None:
+        flat, end = words.flatten().to_numpy(zero_copy_only=False).tolist(), 0
+
+        def plain(w: list[str], start: int, end: int) -> None:
+            said.extend(w[start:end])
+            written.extend(w[start:end])
+            firsts.extend(range(start, end))
+            counts.extend([1] * (end - start))
+
+        for length, is_english in zip(words.value_lengths().to_pylist(), english.to_pylist(), strict=True):
+            if length is None:
                 sizes.append(None)
                 continue
-            seen = [bool(VISIBLE(x)) for x in every]
+            every, end, size, i = flat[end : end + length], end + length, len(said), 0
+            seen = [not (x.isspace() or x[:1] == "\ufeff") or VISIBLE(x) is not None for x in every]
             w = [x for x, v in zip(every, seen, strict=True) if v]
-            if not is_english:
-                sizes.append(len(w))
-                said += w
-                written += w
-                firsts += range(len(w))
-                counts += [1] * len(w)
-                continue
-            spaced = [not after for v, after in zip(seen, [*seen, True][1:], strict=True) if v]
-            size = len(said)
-            for s, r, first, count in told(w, spaced):
-                said.append(s)
-                written.append(r)
-                firsts.append(first)
-                counts.append(count)
+            if is_english:
+                spaced = [not after for v, after in zip(seen, [*seen, True][1:], strict=True) if v]
+                for hot in [n for n, x in enumerate(w) if x[0] in marks]:
+                    for at in (hot - 1, hot):
+                        found = told(w, spaced, at) if at >= i else []
+                        if found:
+                            plain(w, i, at)
+                            for columns, values in zip((said, written, firsts, counts), zip(*found, strict=True), strict=True):
+                                columns.extend(values)
+                            i = at + sum(f[3] for f in found)
+            plain(w, i, len(w))
             sizes.append(len(said) - size)
         return listed(struct(normalized=pa.array(said, pa.string()), reference=pa.array(written, pa.string()), first=pa.array(firsts, pa.int32()), count=pa.array(counts, pa.int32())), sizes)
 
