@@ -39,19 +39,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     parent = live.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
     if live.isEmpty():
         return parent
+    tasks = -(-live.count() // max(1, FEW_ROWS))
+    kept = lambda df: cut(df).coalesce(tasks)
+    live = live.coalesce(tasks)
+    parent = kept(live.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
         lowest = live.groupBy(F.col("v").alias("high")).agg(F.min("u").alias("low"))
         jumped = lowest
         while True:  # chains of hooks shrink to half with each jump
             step = joined(jumped, jumped.select(F.col("high").alias("low"), F.col("low").alias("lower")), "low", "left")
-            step = cut(step.select("high", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")))
+            step = kept(step.select("high", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")))
             jumped = step.select("high", "low")
             if step.where("moved").isEmpty():
                 break
         parent = joined(parent, jumped.select(F.col("high").alias("root"), "low"), "root", "left")
-        parent = cut(parent.select("node", F.coalesce("low", "root").alias("root")))
+        parent = kept(parent.select("node", F.coalesce("low", "root").alias("root")))
         tops_u, tops_v = jumped.select(F.col("high").alias("u"), F.col("low").alias("top_u")), jumped.select(F.col("high").alias("v"), F.col("low").alias("top_v"))
         mapped = joined(joined(live, tops_u, "u", "left"), tops_v, "v", "left").select(F.coalesce("top_u", "u").alias("p"), F.coalesce("top_v", "v").alias("q"))
-        live = cut(mapped.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+        live = kept(mapped.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         if live.isEmpty():
             return parent

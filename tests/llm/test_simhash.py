@@ -150,3 +150,15 @@ def test_keep_first_without_broadcast(spark):
     found = s.fingerprint_rows(df, "doc_id", "text", keyed=True)
     few, many = (sorted(map(tuple, s.first_rows(df, "doc_id", "text", found, s.labelled(found), n).collect())) for n in (1000, 0))
     assert few == many and len(few) == len({t for _, t, _ in few})
+
+
+def test_few_edges_stay_in_one_task(spark):
+    """Small tables of a round aren't dealt over all shuffle partitions, which would write a file for each."""
+    edges = spark.createDataFrame([(n, n + 1) for n in range(300)] + [(1000, 1001)], "a long, b long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components.components(edges)
+        assert found.rdd.getNumPartitions() == 1
+        assert {r.node: r.root for r in found.collect()} == {n: 0 for n in range(301)} | {1000: 1000, 1001: 1000}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
