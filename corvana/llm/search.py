@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvana.llm.batches import mapper, slices
+from corvana.llm.batches import give_back, mapper
 from corvana.session import cut
 
 K1, B = 1.2, 0.75
@@ -38,6 +38,7 @@ SHARD_DOCS = 8_192
 SHARD_POSTINGS = 2_000_000
 BLOCK = 64
 QUERY_BLOCK, QUERY_BYTES = 16_384, 64 << 20
+WAYS = 64  # parts of the documents at most: a query has k rows of each
 PIVOTS = (8, 64)  # blocks that are read at once, at first and later
 FREQUENT, FREQUENT_SHARE = 512, 16
 SLACK = 1e-5
@@ -61,15 +62,14 @@ def doc_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df, length) partial counts; the null term has the number of documents and their length."""
+    """(term, df, length) partial counts of doc_rows(); the null term has the number of documents and their length."""
     for batch in batches:
-        for part in slices(batch, "t", 16 << 20):
-            found = [vector(t) for t in part.column("t").to_pylist()]
-            terms, df = np.unique(np.concatenate([x[0] for x in found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *terms.tolist()], pa.int64()), pa.array([len(found), *df.tolist()], pa.int64()), pa.array([sum(x[2] for x in found)] + [0] * len(terms), pa.int64())],
-                names=["term", "df", "length"],
-            )
+        terms, df = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(t, np.int64) for t in batch.column("terms").to_pylist()]]), return_counts=True)
+        length = int(batch.column("length").to_numpy(zero_copy_only=False).sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *terms.tolist()], pa.int64()), pa.array([batch.num_rows, *df.tolist()], pa.int64()), pa.array([length] + [0] * len(terms), pa.int64())],
+            names=["term", "df", "length"],
+        )
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -172,42 +172,67 @@ class Shard:
             done += n
 
 
-def searched(k: int, mean_length: float, shard_docs: int):
-    """For mapInArrow over rows sorted by block, then queries before documents, which are indexed shard by shard."""
+def packs(rows: int, size: int, names: tuple[str, ...]):
+    """For mapInArrow over (id, length, terms, freqs): up to so many rows, or terms, as one row of bytes. Rows without terms are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, docs, held = None, [], [], 0
+        number, held, terms_held = 0, [], 0
 
-        def search() -> None:
-            nonlocal docs, held
-            if docs and held:
-                shard = Shard(docs, mean_length)
-                for _, terms, weights, heap in queries:
-                    shard.search(terms, weights, k, heap)
-            docs, held = [], 0
+        def pack() -> pa.RecordBatch:
+            ids, lengths, terms, freqs = zip(*held, strict=True)
+            sizes = np.array([len(t) // 8 for t in terms], np.int64)
+            found = [np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), sizes.tobytes(), b"".join(terms), b"".join(freqs)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in found]], names=list(names))
+
+        for batch in batches:
+            for row in zip(*[batch.column(n).to_pylist() for n in ("id", "length", "terms", "freqs")], strict=True):
+                if not row[2]:
+                    continue
+                held.append(row)
+                terms_held += len(row[2]) // 8
+                if len(held) >= rows or terms_held >= size:
+                    yield pack()
+                    number, held, terms_held = number + 1, [], 0
+        if held:
+            yield pack()
+        give_back()
+
+    return run
+
+
+def unpacked(ids: bytes, lengths: bytes, sizes: bytes, terms: bytes, freqs: bytes, width: int) -> Iterator[tuple[int, int, memoryview, memoryview]]:
+    """The rows of packs(); width: bytes of a frequency."""
+    ends = np.cumsum(np.frombuffer(sizes, np.int64))
+    starts, terms, freqs = ends - np.frombuffer(sizes, np.int64), memoryview(terms), memoryview(freqs)
+    for i, n, a, b in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(lengths, np.int64).tolist(), starts.tolist(), ends.tolist(), strict=True):
+        yield i, n, terms[8 * a : 8 * b], freqs[width * a : width * b]
 
-        def found() -> pa.RecordBatch:
-            flat = [(q, -v, s) for q, _, _, heap in queries for s, v in heap]
-            columns = zip(*flat, strict=True) if flat else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
 
+PACK = ("pack", "ids", "lengths", "sizes", "terms", "freqs")
+DOC_PACK, QUERY_PACK = (tuple(f"{side}_{n}" for n in PACK) for side in "dq")
+DOC_SCHEMA, QUERY_SCHEMA = (", ".join(f"{n} {'long' if n.endswith('pack') else 'binary'}" for n in names) for names in (DOC_PACK, QUERY_PACK))
+
+
+def searched(k: int, mean_length: float):
+    """For mapInArrow over pairs of packs, those of a shard together: the k best of a task's shards for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, list] = {}
+        at, shard = None, None
         for batch in batches:
-            columns = [batch.column(n) for n in ("qb", "db", "is_query", "id", "length", "terms", "freqs")]
             for n in range(batch.num_rows):
-                qb, db, is_query, i, length, terms, values = (c[n].as_py() for c in columns)
-                if (qb, db) != key:
-                    search()
-                    yield found()
-                    key, queries = (qb, db), []
-                if is_query:
-                    queries.append((i, np.frombuffer(terms, np.int64), np.frombuffer(values), []))
-                elif queries:
-                    docs.append((i, length, terms, values))
-                    held += len(terms) // 8
-                    if len(docs) >= shard_docs or held >= SHARD_POSTINGS:
-                        search()
-        search()
-        yield found()
+                value = lambda names: [batch.column(c)[n].as_py() for c in names]  # noqa: E731, B023
+                (doc_pack,), (query_pack,) = value(DOC_PACK[:1]), value(QUERY_PACK[:1])
+                if doc_pack != at:
+                    at, shard = doc_pack, Shard(list(unpacked(*value(DOC_PACK[1:]), 4)), mean_length)
+                if query_pack not in queries:
+                    queries[query_pack] = [(i, np.frombuffer(t, np.int64), np.frombuffer(w), []) for i, _, t, w in unpacked(*value(QUERY_PACK[1:]), 8)]
+                for _, terms, weights, heap in queries[query_pack]:
+                    shard.search(terms, weights, k, heap)
+        flat = [(q, -v, s) for own in queries.values() for q, _, _, heap in own for s, v in heap]
+        columns = zip(*flat, strict=True) if flat else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+        give_back()
 
     return run
 
@@ -232,13 +257,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id",
     about query_bytes of queries, and of a shard of shard_docs documents or SHARD_POSTINGS postings.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null")
-    df_rows = rows.select("t").mapInArrow(frequencies, "term long, df long, length long")
+    schema = "id long, length long, terms binary, freqs binary"
+    docs = cut(rows.select("id", "t").mapInArrow(mapper(doc_rows, "t"), schema))
+    df_rows = docs.select("length", "terms").mapInArrow(frequencies, "term long, df long, length long")
     counted = cut(df_rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")))
     total = counted.where("term is null").first()
     n, length = (total["df"], total["length"]) if total else (0, 0)
     mean_length = max(length / n, 1e-9) if n else 1.0
 
-    schema = "id long, length long, terms binary, freqs binary"
     asked = rows.where("is_query").groupBy("id").agg(F.min("t").alias("t"))
 
     def query_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,14 +277,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id",
     queries = weighted.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("pairs"))  # bounded by a text's distinct terms
     queries = cut(queries.mapInArrow(packed_queries, "id long, terms binary, freqs binary"))
     held = queries.agg(F.count("*").alias("n"), F.sum(2 * F.octet_length("terms")).alias("bytes")).first()
-    q_blocks, d_blocks = max(1, -(-held["n"] // query_rows), -(-(held["bytes"] or 0) // query_bytes)), max(1, n // (2 * shard_docs))
-    spread = lambda blocks: F.pmod(F.xxhash64("id", "terms"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.select(spread(q_blocks).alias("qb"), every(d_blocks).alias("db"), F.lit(True).alias("is_query"), "id", F.lit(0).cast("long").alias("length"), "terms", "freqs")
-    docs = rows.select("id", "t").mapInArrow(mapper(doc_rows, "t"), schema)
-    right = docs.select(spread(d_blocks).alias("db"), every(q_blocks).alias("qb"), F.lit(False).alias("is_query"), "id", "length", "terms", "freqs")
-    tiles = left.unionByName(right).repartition(q_blocks * d_blocks, "qb", "db").sortWithinPartitions("qb", "db", F.desc("is_query"))
-    best = tiles.mapInArrow(searched(k, mean_length, shard_docs), "query_id long, id long, score double")
+    q_blocks = max(1, -(-held["n"] // query_rows), -(-(held["bytes"] or 0) // query_bytes))
+    d_blocks = min(WAYS, max(1, n // shard_docs))
+    asked_rows = queries.select("id", F.lit(0).cast("long").alias("length"), "terms", "freqs").repartition(q_blocks)
+    query_packs = cut(asked_rows.mapInArrow(packs(query_rows, max(1, query_bytes // 16), QUERY_PACK), QUERY_SCHEMA))
+    doc_packs = docs.coalesce(d_blocks).mapInArrow(packs(shard_docs, SHARD_POSTINGS, DOC_PACK), DOC_SCHEMA)
+    pairs = doc_packs.hint("shuffle_replicate_nl").crossJoin(query_packs)  # a task for each two partitions, without a shuffle
+    best = pairs.mapInArrow(searched(k, mean_length), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

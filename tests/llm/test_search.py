@@ -81,3 +81,13 @@ def test_rows(spark):
     got = sorted((r.query_id, r["rank"], r.doc_id) for r in s.top_k(df, F.col("doc_id") % 50 == 0).collect())
     assert got == [(0, 1, 0), (0, 2, 0), (0, 3, 1)]
     assert s.top_k(df.limit(0), F.col("doc_id") % 50 == 0).count() == 0
+
+
+def test_no_document_is_shuffled(spark):
+    """Neither documents go once for each block of queries through a shuffle, nor queries once for each block of documents."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id") % 7, F.col("id") % 11).alias("text"))
+    found = s.top_k(df, F.col("doc_id") % 50 == 0, shard_docs=50, query_rows=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    assert not any(name in line for line in plan.splitlines() if "Exchange" in line for name in ("terms", "qb", "db"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, s.top_k(df, F.col("doc_id") % 50 == 0).collect()))
