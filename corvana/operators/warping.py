@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +138,33 @@ def timeline_by_mapping(source: DataFrame, mapping: DataFrame, target: DataFrame
     place = F.struct("group_ord", "ord")
     merged = parts.groupBy(key, "target").agg(F.min_by("start_time", place).alias("start_time"), F.max_by("end_time", place).alias("end_time"))
     return merged.join(target.select(key, "target", "text"), [key, "target"]).select(key, "target", "text", "start_time", "end_time")
+
+
+def timeline_by_words(pairs: DataFrame, key: str) -> DataFrame:
+    """timeline_by_mapping() where words of equal keys mean the same, for texts that are in a row each; nothing is shuffled.
+
+    pairs: (key, start_times, end_times, source_words: keys of the source's words in their order, words: texts of
+    the target's, target_words: their keys). Linear in the words of a row.
+    """
+    names = ("start_times", "end_times", "source_words", "words", "target_words")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part, out = batch.slice(first, 256), ([], [], [], [], [])
+                for own, starts, ends, source, words, target in zip(*[part.column(n).to_pylist() for n in (key, *names)], strict=True):
+                    low, high = {w: n for n, w in reversed(list(enumerate(source)))}, {w: n for n, w in enumerate(source)}
+                    shares, seen = Counter(target), Counter()
+                    for n, (text, w) in enumerate(zip(words, target, strict=True)):
+                        if w in low:
+                            a, b, i = low[w], high[w], seen[w]
+                            begin = starts[a] + i * ((ends[a] - starts[a]) / shares[w])
+                            end = starts[b] + (i + 1) * ((ends[b] - starts[b]) / shares[w])
+                            for column, value in zip(out, (own, n, text, begin, end), strict=True):
+                                column.append(value)
+                            seen[w] += 1
+                types = (batch.schema.field(key).type, pa.int32(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=[key, "target", "text", "start_time", "end_time"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, *names).mapInArrow(kernel, f"{key} {kind}, target int, text string, start_time double, end_time double")

@@ -95,16 +95,33 @@ FROM back p, (VALUES {WORDS_SAID}) AS t(word, s, e) GROUP BY p.vec_id, p.segment
 
 
 def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's words, half a second each, carried over to the next turn's: words mean the same where they are the same in lower case."""
-    text = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line"), F.posexplode(split_words(F.col("text"))).alias("n", "text"))
-    source = text.select("line", F.col("n").alias("source"), (F.col("n") * 0.5).alias("start_time"), (F.col("n") * 0.5 + 0.4).alias("end_time"), F.lower("text").alias("w"))
-    target = text.select((F.col("line") - 1).alias("line"), F.col("n").alias("target"), "text")
-    met = source.select("line", "source", "w").join(target.withColumn("w", F.lower("text")), ["line", "w"])
-    mapping = met.select("line", "source", "target", F.row_number().over(Window.partitionBy("line").orderBy("source", "target")).alias("ord"))
-    found = warping.timeline_by_mapping(source, mapping, target, "line")
+    """Each turn's words, half a second each, carried over to the next turn's: words mean the same where they are the same in lower case.
+
+    Whole turns meet, twice a text and not its words; only lines that several turns share are told apart word by word.
+    """
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line"), "text")
+    side = lambda df, n: df.select("line", *[(F.col("text") if n == m else F.lit(None).cast("string")).alias(c) for m, c in enumerate("ab")])
+    both = side(turns, 0).unionByName(side(turns.withColumn("line", F.col("line") - 1), 1)).where("line is not null")
+    met = both.groupBy("line").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).where("size(a) > 0 and size(b) > 0")
+    once = F.size("a") + F.size("b") == 2
+    words = met.where(once).select("line", split_words(F.get("a", F.lit(0))).alias("s"), split_words(F.get("b", F.lit(0))).alias("words"))
+    lowered = lambda c: F.transform(c, lambda w: F.lower(w))
+    times = lambda end: F.transform("s", lambda w, n: n * 0.5 + 0.4 if end else n * 0.5)
+    pairs = words.select("line", times(False).alias("start_times"), times(True).alias("end_times"), lowered("s").alias("source_words"), "words", lowered("words").alias("target_words"))
+    found = warping.timeline_by_words(pairs, "line").unionByName(shared_lines(met.where(~once)))
     return found.select("line", "target", "text", *[(F.round(F.col(c) + 1e-9, 6) + 0.0).alias(c) for c in ("start_time", "end_time")])
 
 
+def shared_lines(met: DataFrame) -> DataFrame:
+    """carried() of lines that are of several turns (line, a: texts, b: the next line's)."""
+    split = lambda c: met.select("line", F.explode(c).alias("text")).select("line", F.posexplode(split_words(F.col("text"))).alias("n", "text"))
+    source = split("a").select("line", F.col("n").alias("source"), (F.col("n") * 0.5).alias("start_time"), (F.col("n") * 0.5 + 0.4).alias("end_time"), F.lower("text").alias("w"))
+    target = split("b").select("line", F.col("n").alias("target"), "text")
+    pairs = source.select("line", "source", "w").join(target.withColumn("w", F.lower("text")), ["line", "w"])
+    mapping = pairs.select("line", "source", "target", F.row_number().over(Window.partitionBy("line").orderBy("source", "target")).alias("ord"))
+    return warping.timeline_by_mapping(source, mapping, target, "line")
+
+
 WORD = "[\\p{L}\\p{M}\\p{N}]+(?:[''’][\\p{L}\\p{M}\\p{N}]+)*|[^\\s\\p{L}\\p{M}\\p{N}]"
 CARRIED_SQL = f"""
 WITH words AS (

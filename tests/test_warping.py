@@ -125,3 +125,20 @@ def test_mapping_against_loop(spark):
     )
     found = warping.timeline_by_mapping(*frames, "key").collect()
     assert sorted((r.target, r.text, round(r.start_time, 9), round(r.end_time, 9)) for r in found) == expected
+
+
+def test_timeline_by_words(spark):
+    """Whole rows give what pairs of words give, also for repeated, missing and no words, and for a line of several turns."""
+    from corvana.plans.carried import shared_lines
+
+    texts = [(1, "a b a c", "A x b a a"), (2, "one", "two"), (3, "", "a"), (4, "b b b", "B"), (5, "c a", "a c a c d")]
+    met = spark.createDataFrame([(n, [a], [b]) for n, a, b in texts], "line long, a array<string>, b array<string>")
+    split = lambda t: t.split()
+    rows = [(n, [i * 0.5 for i in range(len(split(a)))], [i * 0.5 + 0.4 for i in range(len(split(a)))], split(a.lower()), split(b), split(b.lower())) for n, a, b in texts]
+    pairs = spark.createDataFrame(rows, "line long, start_times array<double>, end_times array<double>, source_words array<string>, words array<string>, target_words array<string>")
+    found = warping.timeline_by_words(pairs, "line")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: sorted((r.line, r.target, r.text, round(r.start_time, 9), round(r.end_time, 9)) for r in df.collect())
+    assert told(found) == told(shared_lines(met)) and len(told(found)) == 4 + 0 + 0 + 1 + 4
+    twice = spark.createDataFrame([(1, ["a", "a b"], ["b a"])], met.schema)
+    assert [r[:3] for r in told(shared_lines(twice))] == [(1, 0, "b"), (1, 1, "a")]
