@@ -38,9 +38,11 @@ SHARD_DOCS = 8_192
 SHARD_POSTINGS = 2_000_000
 BLOCK = 64
 QUERY_BLOCK, QUERY_BYTES = 16_384, 64 << 20
-WAYS = 64  # parts of the documents at most: a query has k rows of each
-PIVOTS = (8, 64)  # blocks that are read at once, at first and later
+FIRST, STEP = 4, 8  # shards that are searched first; then this many times as many documents again and again
+PIVOTS = 8  # blocks that are read before the others, while a query has no k-th score
+TOGETHER = (128, 40_000)  # queries, or terms of theirs, that read a block together
 FREQUENT, FREQUENT_SHARE = 512, 16
+DENSE = 4
 SLACK = 1e-5
 TERMS = re.compile(r"[^\W_]+").findall
 
@@ -78,12 +80,24 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+class Asked:
+    """Queries of one call: their terms' numbers in the shard and weights, from ends to ends, and their heaps."""
+
+    def __init__(self, ends: list[int], at: np.ndarray, weights: np.ndarray, heaps: list[list[tuple[float, int]]]):
+        self.ends, self.at, self.weights, self.heaps = ends, at, weights, heaps
+
+    def least(self, k: int) -> np.ndarray:
+        return np.array([h[0][0] if len(h) == k else 0.0 for h in self.heaps])
+
+
 class Shard:
     """Posting lists by term over blocks of documents, with each list's largest impact in each block.
 
-    The lists of frequent terms are laid out block by block, with a place for each document, and have
-    their maxima as rows over all blocks. Those of rare terms hold (document, impact) pairs, and an
-    entry (block, largest impact, first posting, number of postings) for each block that they stand in.
+    The maxima of frequent terms are rows over all blocks; the other lists have an entry (block, largest
+    impact, first posting, number of postings) for each block that they stand in. What a block holds of
+    frequent terms, and of those that DENSE of its documents have, is laid out with a place for each
+    document; all else are (document, impact) pairs. What is laid out is in single precision: it finds
+    the documents, whose own terms give the score.
     """
 
     def __init__(self, docs: list[tuple[int, int, bytes, bytes]], mean_length: float):
@@ -94,105 +108,195 @@ class Shard:
         self.blocks = -(-len(order) // BLOCK)
         self.ids = np.array([docs[n][0] for n in order], np.int64)
         length = np.array([docs[n][1] for n in order], np.float64)
-        doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(terms[n]) for n in order])
+        self.doc_size = np.array([len(terms[n]) for n in order], np.int64)
+        self.doc_start = np.cumsum(self.doc_size) - self.doc_size
+        doc = np.repeat(np.arange(len(order), dtype=np.int32), self.doc_size)
         tf = np.concatenate([freqs[n] for n in order]).astype(np.float64)
         every = np.concatenate([terms[n] for n in order])
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
+        del terms, freqs, tf
         by_term = np.argsort(every, kind="stable")
-        every, doc, impact = every[by_term], doc[by_term], impact[by_term]
+        every = every[by_term]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         self.terms, size = every[first], np.diff(np.concatenate([first, [len(every)]]))
-        is_frequent = np.zeros(len(first), bool)
+        term = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        self.doc_terms, self.doc_impacts = np.empty(len(term), np.int32), impact
+        self.doc_terms[by_term] = term
+        del every
+        doc, impact = doc[by_term], impact[by_term]
+        del by_term
+        # an entry for each block that a term stands in
+        block = doc // BLOCK
+        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        entry_size, entry_term, entry_block = np.diff(np.concatenate([start, [len(term)]])), term[start], block[start]
+        entry_max = np.maximum.reduceat(impact, start)
+        del term, block
+        # the frequent terms have their maxima as rows
         frequent = np.flatnonzero(size >= max(2, len(order) // FREQUENT_SHARE))
         frequent = frequent[np.argsort(-size[frequent], kind="stable")[:FREQUENT]]
+        is_frequent = np.zeros(len(first), bool)
         is_frequent[frequent] = True
-        self.row = np.full(len(self.terms), -1)
-        self.row[frequent] = np.arange(len(frequent))
-        at = ranges(first[frequent], size[frequent])
-        self.laid = np.zeros((self.blocks, len(frequent), BLOCK))
-        self.laid[doc[at] // BLOCK, np.repeat(np.arange(len(frequent)), size[frequent]), doc[at] % BLOCK] = impact[at]
-        self.block_max = np.ascontiguousarray(self.laid.max(axis=2).T)
-        # the rare lists, and their entries
-        term = np.repeat(np.arange(len(first), dtype=np.int32), size)
-        rare = ~is_frequent[term]
-        term, doc, impact = term[rare], doc[rare], impact[rare]
-        block = doc // BLOCK
-        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.place, self.impact = doc % BLOCK, impact
-        self.entry_block, self.entry_start, self.entry_size = block[start], start, np.diff(np.concatenate([start, [len(term)]]))
-        self.entry_max = np.maximum.reduceat(impact, start) if len(start) else np.zeros(0)
-        entries = np.bincount(term[start], minlength=len(first))
-        self.entries, self.first_entry = entries, np.cumsum(entries) - entries
+        own = is_frequent[entry_term]
+        dense = own | (entry_size >= DENSE)
+        others = np.unique(entry_term[dense & ~own])
+        self.column = np.full(len(first), -1)
+        self.column[frequent], self.column[others] = np.arange(len(frequent)), np.arange(len(others)) + len(frequent)
+        self.columns, self.block_max = len(frequent) + len(others), np.zeros((len(frequent), self.blocks), np.float32)
+        self.block_max[self.column[entry_term[own]], entry_block[own]] = entry_max[own]
+        # blocks laid out: a row of places for each term with many documents there
+        laid_out = np.flatnonzero(dense)
+        laid_out = laid_out[np.argsort(entry_block[laid_out], kind="stable")]
+        self.laid_columns, self.laid_ends = self.column[entry_term[laid_out]], np.searchsorted(entry_block[laid_out], np.arange(self.blocks + 1)).tolist()
+        at = ranges(start[laid_out], entry_size[laid_out])
+        self.laid = np.zeros((len(laid_out), BLOCK), np.float32)
+        self.laid[np.repeat(np.arange(len(laid_out), dtype=np.int32), entry_size[laid_out]), doc[at] % BLOCK] = impact[at]
+        self.above = 1 + 2 * (max(len(frequent), *np.diff(self.laid_ends).tolist()) + 8) * 2.0**-24  # a sum in single precision times this isn't below the exact one
+        # the other postings, and the entries of the terms that aren't frequent
+        kept = np.repeat(~dense, entry_size)
+        self.place, self.impact = (doc[kept] % BLOCK).astype(np.uint8), impact[kept]
+        entry_size[dense] = 0
+        self.entry_block, self.entry_max = entry_block[~own], entry_max[~own]
+        self.entry_size, self.entry_start = entry_size[~own].astype(np.int32), (np.cumsum(entry_size) - entry_size)[~own].astype(np.int32)
+        self.entries = np.bincount(entry_term[~own], minlength=len(first))
+        self.first_entry = np.cumsum(self.entries) - self.entries
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, heap: list[tuple[float, int]]) -> None:
         """Into the heap of (score, -id), the worst on top, what of this shard belongs to the k best."""
+        self.search_all([(terms, weights, heap)], k)
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray, list[tuple[float, int]]]], k: int) -> None:
+        """search() for (terms, weights, heap) of several queries, which read a block together; each has its own pivots."""
+        query = np.repeat(np.arange(len(queries)), [len(t) for t, _, _ in queries])
+        terms, weights = (np.concatenate([q[n] for q in queries]) for n in (0, 1))
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         own = self.terms[at] == terms
-        at, weights = at[own], weights[own]
-        row = self.row[at]
-        lists, frequent = row[row >= 0], weights[row >= 0]
-        at, weights = at[row < 0], weights[row < 0]
-        entry = ranges(self.first_entry[at], self.entries[at])
-        weight = np.repeat(weights, self.entries[at])
-        block = self.entry_block[entry]
-        bound = frequent @ self.block_max[lists] + np.bincount(block, weight * self.entry_max[entry], self.blocks)
-        pivots = np.argsort(-bound, kind="stable")
-        bound, done = bound[pivots], 0
-        reached = int(np.searchsorted(-bound, 0.0))  # the blocks that hold a term at all
-        rank = np.empty(self.blocks, np.uint16)
-        rank[pivots] = np.arange(self.blocks)
-        rank = rank[block]
-        by_pivot = np.argsort(rank, kind="stable")
-        entry, weight, rank = entry[by_pivot], weight[by_pivot], rank[by_pivot]
-        ends = np.searchsorted(rank, np.arange(self.blocks + 1)).tolist()
-        while done < reached:
-            least = heap[0][0] if len(heap) == k else 0.0
-            n = min(PIVOTS[done > 0], int(np.searchsorted(-bound[done:reached], SLACK - least, side="right")))  # those that can reach it
-            if not n:
-                return
-            read = pivots[done : done + n]
-            mine = slice(ends[done], ends[done + n])
-            size = self.entry_size[entry[mine]]
-            posting = ranges(self.entry_start[entry[mine]], size)
-            at = (rank[mine].astype(np.int64) - done) * BLOCK
-            score = np.bincount(np.repeat(at, size) + self.place[posting], np.repeat(weight[mine], size) * self.impact[posting], n * BLOCK)
-            score = score + (frequent @ self.laid[read[:, None], lists]).ravel()
-            good = np.flatnonzero(score > max(least - SLACK, 0.0))  # what rounds to 0 shares a term, and counts
-            score = np.round(score[good], 6)
-            if len(good) > k:  # of these only the k best, and their equals, can stay
-                least = max(least, np.partition(score, -k)[-k])
-            best = score >= least
-            for value, found in zip(score[best].tolist(), good[best].tolist(), strict=True):
-                hit = (value, -int(self.ids[int(read[found // BLOCK]) * BLOCK + found % BLOCK]))
+        at, weights, query = at[own], weights[own], query[own]
+        asked = Asked(np.searchsorted(query, np.arange(len(queries) + 1)).tolist(), at, weights, [h for _, _, h in queries])
+        column = self.column[at]
+        laid = np.zeros((self.columns, len(queries)), np.float32)
+        laid[column[column >= 0], query[column >= 0]] = weights[column >= 0]
+        entries = self.entries[at]
+        entry, weight = ranges(self.first_entry[at], entries), np.repeat(weights, entries)
+        cell = np.repeat(query * self.blocks, entries) + self.entry_block[entry]
+        shape = (len(queries), self.blocks)
+        bound = np.bincount(cell, weight * self.entry_max[entry], len(queries) * self.blocks).reshape(shape)
+        bound = (bound + laid[: len(self.block_max)].T @ self.block_max) * self.above
+        unread = bound > 0  # the blocks that hold a term at all
+        least = asked.least(k)
+        if self.blocks > PIVOTS and any(len(h) < k for h in asked.heaps):  # without a k-th score yet, the best blocks alone come first
+            top = np.zeros(shape, bool)
+            np.put_along_axis(top, np.argpartition(-bound, PIVOTS, axis=1)[:, :PIVOTS], True, axis=1)
+            self.read(asked, top & unread & (bound >= least[:, None] - SLACK), laid, entry, weight, cell, least, k)
+            unread &= ~top
+            least = asked.least(k)
+        self.read(asked, unread & (bound >= least[:, None] - SLACK), laid, entry, weight, cell, least, k)  # those that can reach it
+
+    def read(self, asked: Asked, pivots: np.ndarray, laid: np.ndarray, entry: np.ndarray, weight: np.ndarray, cell: np.ndarray, least: np.ndarray, k: int) -> None:
+        """The postings of the pivots, one row of blocks for each query; the others are skipped."""
+        mine = np.flatnonzero(pivots.ravel()[cell] & (self.entry_size[entry] > 0))
+        entry, size = entry[mine], self.entry_size[entry[mine]]
+        posting = ranges(self.entry_start[entry], size)
+        score = np.bincount(np.repeat(cell[mine] * BLOCK, size) + self.place[posting], np.repeat(weight[mine], size) * self.impact[posting], pivots.size * BLOCK)
+        score = score.astype(np.float64, copy=False).reshape(*pivots.shape, BLOCK)  # of nothing it is whole numbers
+        for block in np.flatnonzero(pivots.any(axis=0)).tolist():
+            reads = np.flatnonzero(pivots[:, block])
+            own = slice(self.laid_ends[block], self.laid_ends[block + 1])
+            score[reads, block] += laid[self.laid_columns[own]][:, reads].T @ self.laid[own]
+        score = score.reshape(len(pivots), -1)
+        rows, docs = np.nonzero(score > (np.maximum(least - SLACK, 0.0) / self.above)[:, None])  # what rounds to 0 shares a term, and counts
+        ends = np.searchsorted(rows, np.arange(len(pivots) + 1)).tolist()
+        weights = np.zeros(len(self.terms))
+        for q in np.unique(rows).tolist():
+            good, heap = docs[ends[q] : ends[q + 1]], asked.heaps[q]
+            if len(good) > k:  # of these only the k best, and what may be their equal, can stay
+                found = score[q, good]
+                good = good[found * self.above >= np.partition(found, -k)[-k] / self.above - SLACK]
+            own = slice(asked.ends[q], asked.ends[q + 1])
+            weights[asked.at[own]] = asked.weights[own]
+            size = self.doc_size[good]
+            term = ranges(self.doc_start[good], size)
+            exact = np.add.reduceat(weights[self.doc_terms[term]] * self.doc_impacts[term], np.cumsum(size) - size)
+            weights[asked.at[own]] = 0.0
+            for value, found in zip(np.round(exact, 6).tolist(), self.ids[good].tolist(), strict=True):
                 if len(heap) < k:
-                    heapq.heappush(heap, hit)
-                elif hit > heap[0]:
-                    heapq.heapreplace(heap, hit)
-            done += n
+                    heapq.heappush(heap, (value, -found))
+                elif (value, -found) > heap[0]:
+                    heapq.heapreplace(heap, (value, -found))
+
+
+def without_copies(docs: Iterator[tuple[int, int, bytes, bytes]], k: int) -> list[tuple[int, int, bytes, bytes]]:
+    """The rows less those with k equals of smaller ids: equals score alike, so the others can't be among any k best."""
+    seen, kept = Counter(), []
+    for row in sorted(docs, key=lambda r: r[0]):
+        same = (xxhash.xxh3_128_digest(row[2]), xxhash.xxh3_128_digest(row[3]))
+        seen[same] += 1
+        if seen[same] <= k:
+            kept.append(row)
+    return kept
+
+
+NUMBERS = {"id": np.int64, "length": np.int64, "floor": np.float64, "floor_id": np.int64}
+DOC, QUERY = ("id", "length"), ("id", "floor", "floor_id")
 
 
-def packs(rows: int, size: int, names: tuple[str, ...]):
-    """For mapInArrow over (id, length, terms, freqs): up to so many rows, or terms, as one row of bytes. Rows without terms are left out."""
+def pack_names(side: str, numbers: tuple[str, ...]) -> list[str]:
+    return [f"{side}_{n}" for n in ("pack", *numbers, "size", "terms", "freqs")]
+
+
+def pack_schema(side: str, numbers: tuple[str, ...]) -> str:
+    return ", ".join(f"{n} {'long' if n.endswith('pack') else 'binary'}" for n in pack_names(side, numbers))
+
+
+def offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+
+
+def joined(column: pa.Array) -> memoryview:
+    """The bytes of all values of a column without nulls, one after the other; they lie so already."""
+    at = offsets(column)
+    return memoryview(column.buffers()[2] or b"")[int(at[0]) : int(at[-1])]
+
+
+def one_value(data: np.ndarray | bytes) -> pa.Array:
+    """A column of the one binary value, not copied."""
+    data = pa.py_buffer(data)
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int32)), data])
+
+
+def term_counts(batch: pa.RecordBatch) -> np.ndarray:
+    return np.diff(offsets(batch.column("terms"))).astype(np.int64) // 8
+
+
+def packs(rows: int, size: int, side: str, numbers: tuple[str, ...]):
+    """For mapInArrow over (*numbers, terms, freqs): up to so many rows, or terms, as one row of bytes. Rows without terms are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, terms_held = 0, [], 0
+        number, held, rows_held, terms_held = 0, [], 0, 0
 
         def pack() -> pa.RecordBatch:
-            ids, lengths, terms, freqs = zip(*held, strict=True)
-            sizes = np.array([len(t) // 8 for t in terms], np.int64)
-            found = [np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), sizes.tobytes(), b"".join(terms), b"".join(freqs)]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in found]], names=list(names))
+            found = [np.concatenate([x.column(n).to_numpy(zero_copy_only=False) for x in held]).astype(NUMBERS[n]) for n in numbers]
+            found.append(np.concatenate([term_counts(x) for x in held]))
+            found += [b"".join([joined(x.column(n)) for x in held]) for n in ("terms", "freqs")]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[one_value(x) for x in found]], names=pack_names(side, numbers))
 
         for batch in batches:
-            for row in zip(*[batch.column(n).to_pylist() for n in ("id", "length", "terms", "freqs")], strict=True):
-                if not row[2]:
-                    continue
-                held.append(row)
-                terms_held += len(row[2]) // 8
-                if len(held) >= rows or terms_held >= size:
-                    yield pack()
-                    number, held, terms_held = number + 1, [], 0
+            counts = term_counts(batch)
+            if not counts.all():
+                batch = batch.filter(pa.array(counts > 0))
+                counts = counts[counts > 0]
+            while batch.num_rows:
+                full = int(np.searchsorted(np.cumsum(counts) + terms_held, size)) + 1
+                n = min(full, rows - rows_held, batch.num_rows)
+                held.append(batch.slice(0, n))
+                rows_held, terms_held = rows_held + n, terms_held + int(counts[:n].sum())
+                batch, counts = batch.slice(n), counts[n:]
+                if rows_held >= rows or terms_held >= size:
+                    done = pack()
+                    number, held, rows_held, terms_held = number + 1, [], 0, 0
+                    give_back()
+                    yield done
+                    del done
         if held:
             yield pack()
         give_back()
@@ -200,36 +304,51 @@ def packs(rows: int, size: int, names: tuple[str, ...]):
     return run
 
 
-def unpacked(ids: bytes, lengths: bytes, sizes: bytes, terms: bytes, freqs: bytes, width: int) -> Iterator[tuple[int, int, memoryview, memoryview]]:
+def unpacked(batch: pa.RecordBatch, row: int, side: str, numbers: tuple[str, ...], width: int) -> Iterator[tuple]:
     """The rows of packs(); width: bytes of a frequency."""
-    ends = np.cumsum(np.frombuffer(sizes, np.int64))
-    starts, terms, freqs = ends - np.frombuffer(sizes, np.int64), memoryview(terms), memoryview(freqs)
-    for i, n, a, b in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(lengths, np.int64).tolist(), starts.tolist(), ends.tolist(), strict=True):
-        yield i, n, terms[8 * a : 8 * b], freqs[width * a : width * b]
-
-
-PACK = ("pack", "ids", "lengths", "sizes", "terms", "freqs")
-DOC_PACK, QUERY_PACK = (tuple(f"{side}_{n}" for n in PACK) for side in "dq")
-DOC_SCHEMA, QUERY_SCHEMA = (", ".join(f"{n} {'long' if n.endswith('pack') else 'binary'}" for n in names) for names in (DOC_PACK, QUERY_PACK))
+    *found, sizes, terms, freqs = (batch.column(n)[row].as_buffer() for n in pack_names(side, numbers)[1:])
+    sizes = np.frombuffer(sizes, np.int64)
+    ends, terms, freqs = np.cumsum(sizes), memoryview(terms), memoryview(freqs)
+    found = [np.frombuffer(x, NUMBERS[n]).tolist() for n, x in zip(numbers, found, strict=True)]
+    for *own, a, b in zip(*found, (ends - sizes).tolist(), ends.tolist(), strict=True):
+        yield *own, terms[8 * a : 8 * b], freqs[width * a : width * b]
+
+
+def together(queries: list[tuple], rows: int, terms: int) -> Iterator[list[tuple]]:
+    """Runs of the queries of at most so many rows and about so many terms."""
+    start, held = 0, 0
+    for n, query in enumerate(queries):
+        if n > start and (n - start >= rows or held + len(query[0]) > terms):
+            yield queries[start:n]
+            start, held = n, 0
+        held += len(query[0])
+    if start < len(queries):
+        yield queries[start:]
 
 
 def searched(k: int, mean_length: float):
-    """For mapInArrow over pairs of packs, those of a shard together: the k best of a task's shards for each query."""
+    """For mapInArrow over pairs of packs, those of a shard together: what a task's shards have of each query's k best, above its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: dict[int, list] = {}
+        packed: dict[int, list] = {}
         at, shard = None, None
         for batch in batches:
             for n in range(batch.num_rows):
-                value = lambda names: [batch.column(c)[n].as_py() for c in names]  # noqa: E731, B023
-                (doc_pack,), (query_pack,) = value(DOC_PACK[:1]), value(QUERY_PACK[:1])
+                doc_pack, query_pack = batch.column("d_pack")[n].as_py(), batch.column("q_pack")[n].as_py()
                 if doc_pack != at:
-                    at, shard = doc_pack, Shard(list(unpacked(*value(DOC_PACK[1:]), 4)), mean_length)
-                if query_pack not in queries:
-                    queries[query_pack] = [(i, np.frombuffer(t, np.int64), np.frombuffer(w), []) for i, _, t, w in unpacked(*value(QUERY_PACK[1:]), 8)]
-                for _, terms, weights, heap in queries[query_pack]:
-                    shard.search(terms, weights, k, heap)
-        flat = [(q, -v, s) for own in queries.values() for q, _, _, heap in own for s, v in heap]
+                    at, shard = doc_pack, None
+                    shard = Shard(without_copies(unpacked(batch, n, "d", DOC, 4), k), mean_length)
+                    give_back()
+                if query_pack not in packed:
+                    own = []
+                    for i, floor, floor_id, t, w in unpacked(batch, n, "q", QUERY, 8):
+                        floor = (floor, -floor_id)
+                        own.append((np.frombuffer(t, np.int64).copy(), np.frombuffer(w).copy(), [floor] * k if floor[0] >= 0 else [], i, floor))
+                    own.sort(key=lambda q: int(q[0][q[1].argmin()]))  # those with the same most frequent term read much the same blocks
+                    packed[query_pack] = own
+                for part in together(packed[query_pack], *TOGETHER):
+                    shard.search_all([q[:3] for q in part], k)
+        flat = [(i, -v, s) for own in packed.values() for _, _, heap, i, floor in own for s, v in heap if (s, v) > floor]
         columns = zip(*flat, strict=True) if flat else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
         give_back()
@@ -255,6 +374,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id",
     repeats, its smallest text is the query; as documents all rows count. Only the two columns and
     those of is_query are read. Texts are taken whole, however long: a task holds the terms of at most
     about query_bytes of queries, and of a shard of shard_docs documents or SHARD_POSTINGS postings.
+
+    All documents are searched, in levels: first those of about FIRST shards, dealt by the hash of
+    their ids, then each time those up to STEP times as many. The k-th best so far is a query's floor in
+    the next level, whose tasks return only what is better: about k * STEP rows a query and level are
+    expected, however many tasks there are.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null")
     schema = "id long, length long, terms binary, freqs binary"
@@ -278,14 +402,28 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id",
     queries = cut(queries.mapInArrow(packed_queries, "id long, terms binary, freqs binary"))
     held = queries.agg(F.count("*").alias("n"), F.sum(2 * F.octet_length("terms")).alias("bytes")).first()
     q_blocks = max(1, -(-held["n"] // query_rows), -(-(held["bytes"] or 0) // query_bytes))
-    d_blocks = min(WAYS, max(1, n // shard_docs))
-    asked_rows = queries.select("id", F.lit(0).cast("long").alias("length"), "terms", "freqs").repartition(q_blocks)
-    query_packs = cut(asked_rows.mapInArrow(packs(query_rows, max(1, query_bytes // 16), QUERY_PACK), QUERY_SCHEMA))
-    doc_packs = docs.coalesce(d_blocks).mapInArrow(packs(shard_docs, SHARD_POSTINGS, DOC_PACK), DOC_SCHEMA)
-    pairs = doc_packs.hint("shuffle_replicate_nl").crossJoin(query_packs)  # a task for each two partitions, without a shuffle
-    best = pairs.mapInArrow(searched(k, mean_length), "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    levels = 0
+    while n > FIRST * shard_docs * STEP**levels:
+        levels += 1
+    dealt, order = F.pmod(F.xxhash64("id"), F.lit(STEP**levels)), Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = None
+    for level in range(levels + 1):
+        part = docs.where(dealt.between(STEP ** (level - 1) if level else 0, STEP**level - 1)) if levels else docs
+        shards = max(1, n // STEP ** (levels - level) // shard_docs)
+        # the last level has nearly all documents and isn't shuffled; those before have an eighth at most
+        doc_packs = (part.coalesce(shards) if level == levels else part.repartition(shards if level else FIRST)).mapInArrow(packs(shard_docs, SHARD_POSTINGS, "d", DOC), pack_schema("d", DOC))
+        if ranked is None:
+            asked_rows = queries.withColumns({"floor": F.lit(-1.0), "floor_id": F.lit(0).cast("long")})
+        else:
+            ranked = cut(ranked)
+            floors = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"), F.col("id").alias("floor_id"))
+            asked_rows = queries.join(floors, "id", "left").fillna({"floor": -1.0, "floor_id": 0})
+        query_packs = cut(asked_rows.repartition(q_blocks).mapInArrow(packs(query_rows, max(1, query_bytes // 16), "q", QUERY), pack_schema("q", QUERY)))
+        pairs = (doc_packs if level == levels else cut(doc_packs)).hint("shuffle_replicate_nl").crossJoin(query_packs)  # a task for each two partitions, without a shuffle
+        best = pairs.mapInArrow(searched(k, mean_length), "query_id long, id long, score double")
+        if ranked is not None:
+            best = best.union(ranked.select("query_id", "id", "score"))
+        ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

@@ -91,3 +91,55 @@ def test_no_document_is_shuffled(spark):
     assert "CartesianProduct" in plan
     assert not any(name in line for line in plan.splitlines() if "Exchange" in line for name in ("terms", "qb", "db"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, s.top_k(df, F.col("doc_id") % 50 == 0).collect()))
+
+
+def test_tasks_return_what_is_above_the_floor(spark, monkeypatch):
+    """Rows that the search makes follow the queries, not the queries times the tasks; copies and ties stay as SQL has them."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randint(3, 40))) for _ in range(1500)]
+    rows = [(n, texts[n % 1500] if n % 3 else texts[7]) for n in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(64).cache()
+    con = duckdb.connect()
+    frame = df.toPandas()
+    con.register("documents", frame)
+    expected = sorted(con.execute(s.oracle()).fetchall())
+    made, searched = spark.sparkContext.accumulator(0), s.searched
+
+    def counted(k, mean_length):
+        run = searched(k, mean_length)
+
+        def count(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return count
+
+    monkeypatch.setattr(s, "searched", counted)
+    found = s.top_k(df, F.col("doc_id") % 50 == 0, shard_docs=40)
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    assert 80 * 10 <= made.value < 80 * 10 * 30  # of the 64 tasks' 80 * 10 * 64
+
+
+def test_copies_beyond_k_leave_the_shard():
+    rows = [(n, 2, b"terms", b"freqs" if n % 2 else b"other") for n in range(9, -1, -1)]
+    assert [r[0] for r in s.without_copies(rows, 3)] == [0, 1, 2, 3, 4, 5]
+
+
+def test_queries_together_equal_alone():
+    rng = np.random.default_rng(5)
+    docs = []
+    for n in range(2000):
+        terms = np.unique(rng.zipf(1.2, 80) % 3000 + 3000 * (n % 3)).astype(np.int64)
+        docs.append((n, len(terms), terms.tobytes(), rng.integers(1, 4, len(terms)).astype(np.int32).tobytes()))
+    shard = s.Shard(docs, 60.0)
+    queries = [(np.frombuffer(docs[n][2], np.int64), rng.random(len(docs[n][2]) // 8) * 5) for n in range(0, 2000, 50)]
+    queries += [(np.zeros(0, np.int64), np.zeros(0)), (np.array([-5]), np.ones(1))]
+    both = [(t, w, []) for t, w in queries]
+    for part in s.together(both, 16, 500):
+        shard.search_all(part, 10)
+    for terms, weights, heap in both:
+        alone = []
+        shard.search(terms, weights, 10, alone)
+        assert sorted(heap) == sorted(alone)
+    assert sum(len(p) for p in s.together(both, 16, 500)) == len(both)
