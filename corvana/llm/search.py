@@ -66,12 +66,14 @@ def doc_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, df, length) partial counts of doc_rows(); the null term has the number of documents and their length."""
     for batch in batches:
-        terms, df = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(t, np.int64) for t in batch.column("terms").to_pylist()]]), return_counts=True)
+        terms, df = np.unique(np.frombuffer(joined(batch.column("terms")), np.int64), return_counts=True)
         length = int(batch.column("length").to_numpy(zero_copy_only=False).sum())
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *terms.tolist()], pa.int64()), pa.array([batch.num_rows, *df.tolist()], pa.int64()), pa.array([length] + [0] * len(terms), pa.int64())],
             names=["term", "df", "length"],
         )
+    batch = terms = df = None  # noqa: F841  what is held can't be given back
+    give_back()
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -296,9 +298,12 @@ def packs(rows: int, size: int, side: str, numbers: tuple[str, ...]):
                     number, held, rows_held, terms_held = number + 1, [], 0, 0
                     give_back()
                     yield done
-                    del done
+                    done = None
         if held:
-            yield pack()
+            done, held, batch = pack(), [], None
+            give_back()
+            yield done
+        batch = done = None  # what is held can't be given back
         give_back()
 
     return run
@@ -349,21 +354,27 @@ def searched(k: int, mean_length: float):
                 for part in together(packed[query_pack], *TOGETHER):
                     shard.search_all([q[:3] for q in part], k)
         flat = [(i, -v, s) for own in packed.values() for _, _, heap, i, floor in own for s, v in heap if (s, v) > floor]
+        packed = shard = batch = own = part = None  # noqa: F841  what is held can't be given back
         columns = zip(*flat, strict=True) if flat else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+        flat = columns = None
         give_back()
 
     return run
 
 
 def packed_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, terms, freqs) of (id, pairs of term and weight), by term."""
     for batch in batches:
-        terms, weights = [], []
-        for pairs in batch.column("pairs").to_pylist():
-            pairs.sort(key=lambda p: p["term"])
-            terms.append(np.array([p["term"] for p in pairs], np.int64).tobytes())
-            weights.append(np.array([p["weight"] for p in pairs], np.float64).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], names=["id", "terms", "freqs"])
+        sizes = batch.column("pairs").value_lengths().to_numpy(zero_copy_only=False)
+        pairs = batch.column("pairs").flatten()
+        terms, weights = (pairs.field(n).to_numpy(zero_copy_only=False) for n in ("term", "weight"))
+        order = np.lexsort((terms, np.repeat(np.arange(len(sizes)), sizes)))
+        at = pa.py_buffer(np.concatenate([np.zeros(1, np.int32), 8 * np.cumsum(sizes)]).astype(np.int32))
+        columns = [pa.Array.from_buffers(pa.binary(), len(sizes), [None, at, pa.py_buffer(x[order].astype(t))]) for x, t in ((terms, np.int64), (weights, np.float64))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "terms", "freqs"])
+    batch = pairs = terms = weights = order = columns = None  # noqa: F841  what is held can't be given back
+    give_back()
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, query_rows: int = QUERY_BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
