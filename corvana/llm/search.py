@@ -5,9 +5,9 @@ first, so scores are the same in every shard and the shards' results merge exact
 documents are laid out by their most frequent term and length, so that neighbours are alike, and cut
 into blocks; each posting list keeps its largest impact in each block it stands in. For a query the
 block maxima of its lists, weighted, add up to an upper bound of every document in the block. The
-next blocks to visit, the pivots, are those of highest bound; they move on while the bound can reach
-the k-th best score so far, which is carried from shard to shard, and postings are read in these
-blocks only: every cursor skips the others. Unlike WAND's, pivots are blocks and not documents, and
+next blocks to visit, the pivots, are those whose bound can reach the k-th best score so far, which is
+carried from shard to shard and from level to level of documents, and a query's postings are read in
+these blocks only: the others are skipped. Queries visit a block together. Unlike WAND's, pivots are blocks and not documents, and
 they come by bound and not by number: with the hundreds of terms of a whole text as query, a pivot
 document found by the lists' global maxima would be nearly each one.
 
@@ -251,7 +251,8 @@ def pack_schema(side: str, numbers: tuple[str, ...]) -> str:
 
 
 def offsets(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
 
 
 def joined(column: pa.Array) -> memoryview:
