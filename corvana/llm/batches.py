@@ -46,7 +46,11 @@ def mapper(kernel: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, max_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column, max_bytes):
-                yield kernel(part)
+                done = kernel(part)
+                yield done
+                done = None
+            batch = part = None  # else the next batch would come beside this one
+            give_back()
         give_back()
 
     return run

@@ -5,8 +5,9 @@ may follow another if merging the two spans side by side keeps the border betwee
 each prefix just one last token can follow what stands before it. So the state of a prefix is its
 last token, and words with a common prefix share its states. The distinct words of a batch are
 visited in sorted order, which is the depth-first order of their trie; the stack of states is cut
-back to the common prefix of neighbours and grown from there. No word is encoded twice while it is
-in the bounded cache, and a shared prefix is computed once for all the words below it.
+back to the common prefix of neighbours and grown from there. No word is encoded twice in
+a batch or while it is in the bounded cache, which takes words that a batch repeats; a shared prefix
+is computed once for all the words below it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvana.llm.batches import mapper
+from corvana.llm.batches import give_back, mapper
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
+CACHE_PAIRS = 200_000
+#: Of text in a slice. Workers live on beside the executor's heap, so what a slice takes counts for each of its cores.
+SLICE_BYTES = 1 << 20
 END = "</w>"
 
 
@@ -115,7 +119,7 @@ class Vocabulary:
                     known = True
                     break
                 bound, y = y + 1, self.left[y]
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) >= CACHE_PAIRS:
             self.follows.clear()
         self.follows[key] = known
         return known
@@ -183,6 +187,7 @@ class Encoder:
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+").findall
         self.spans: dict[str, int] = {}  # of a run: the place of its ids in the store, and their number
         self.store = array("i")
+        self.kept = 0  # of the store; what follows is the batch's own
         by_id = self.vocabulary.by_id
         self.shown = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
 
@@ -201,28 +206,31 @@ class Encoder:
             out += [" " + part] if i % 2 else RUNS(self.plain(part))
         return out
 
-    def learn(self, runs: list[str]) -> None:
-        """Encodings of the runs that are not known yet."""
-        new = [r for r in runs if r not in self.spans]
-        if not new:
-            return
-        if len(self.spans) + len(new) > self.cache_words:
+    def learn(self, runs: list[str], counts: np.ndarray) -> np.ndarray:
+        """For each distinct run the place of its ids in the store and their number. What a batch holds once is put at the store's end and isn't kept in spans."""
+        new = [i for i, r in enumerate(runs) if r not in self.spans]
+        repeated = [i for i in new if counts[i] > 1]
+        if len(self.spans) + len(repeated) > self.cache_words:
             self.spans.clear()
-            self.store = array("i")
-            new = runs
-        v, pieces = self.vocabulary, {r: [p.encode("utf-8") for p in self.pieces(r)] for r in new if r[:1] != " "}
+            self.store, self.kept = array("i"), 0
+            new = range(len(runs))
+            repeated = [i for i in new if counts[i] > 1]
+        v, pieces = self.vocabulary, {runs[i]: [p.encode("utf-8") for p in self.pieces(runs[i])] for i in new if runs[i][:1] != " "}
         ids, found = v.ids, {}
         for word, tokens in encode_words(v, set(chain.from_iterable(pieces.values()))):
             found[word] = [ids[t] for t in tokens]
-        store, spans = self.store, self.spans
-        for r in new:
-            at = len(store)
+        store, places = self.store, np.fromiter(map(self.spans.get, runs, repeat(0)), np.int64, len(runs))
+        for i in chain(repeated, (i for i in new if counts[i] == 1)):
+            at, r = len(store), runs[i]
             if r[:1] == " ":
                 store.append(v.special[r[1:]])
             else:
                 for p in pieces[r]:
                     store.extend(found[p])
-            spans[r] = at << 32 | len(store) - at
+            places[i] = span = at << 32 | len(store) - at
+            if counts[i] > 1 and len(self.spans) < self.cache_words:
+                self.spans[r], self.kept = span, len(store)
+        return places
 
     def encode_batch(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
@@ -235,14 +243,13 @@ class Encoder:
                 rows[i] = self.runs(texts[i])
             runs = pa.array(rows, pa.list_(pa.string()))
         coded = runs.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(distinct)
-        spans = np.fromiter(map(self.spans.__getitem__, distinct), np.int64, len(distinct))
-        codes = coded.indices.to_numpy(zero_copy_only=False)
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        spans = self.learn(distinct, np.bincount(codes, minlength=len(distinct)))
         first, length = (spans >> 32)[codes], (spans & 0xFFFFFFFF)[codes]
         ends = np.cumsum(length)
         where = np.repeat(first - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
         values = np.frombuffer(self.store, np.int32)[where]
+        del self.store[self.kept :]
         bounds = np.concatenate([[0], ends])[runs.offsets.to_numpy() - runs.offsets[0].as_py()]
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
 
@@ -255,7 +262,9 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
-    return Encoder(path)
+    made = Encoder(path)
+    give_back()
+    return made
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -264,8 +273,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     path: the vocabulary file, present on each machine. keep: columns of df passed through. Other
     columns, whatever their names, aren't read. A null or empty text, or one of white space alone,
     has no ids and decodes to the empty text; a null id and repeated rows are kept, a row for each
-    row. Memory is bounded by slices of about 4 MB of text and a cache of CACHE_WORDS words. No
-    shuffle.
+    row. Memory is bounded by slices of about SLICE_BYTES of text (one row at least) and by caches of
+    CACHE_WORDS words and CACHE_PAIRS pairs of tokens. No shuffle.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -276,7 +285,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).alias("t"))
     out = T.StructType([*rows.drop("t").schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    found = rows.mapInArrow(mapper(kernel, "t"), out)
+    found = rows.mapInArrow(mapper(kernel, "t", SLICE_BYTES), out)
     return found.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "ids", "decoded")
 
 

@@ -1,12 +1,16 @@
 """The encoder against the tokenizers library, text by text."""
 
+import weakref
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corvana.llm import bpe
+from corvana.llm.batches import mapper
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -64,3 +68,27 @@ def test_rows(spark, library):
     kept = bpe.encode(df, PATH, keep=("ids",)).columns
     assert kept == ["doc_id", "ids", "ids", "decoded"]
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_words_met_once_are_not_kept(library):
+    own = bpe.Encoder(PATH)
+    texts = [" ".join(f"once{n}x{m} twice" for m in range(50)) for n in range(100)]
+    for n in range(0, 100, 20):
+        part = texts[n : n + 20]
+        assert own.encode_batch(part).to_pylist() == [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert list(own.spans) == ["twice"] and len(own.store) == own.kept == 1
+
+
+def test_one_batch_at_a_time():
+    held = []
+
+    def batches():
+        for n in range(3):
+            assert not [r for r in held if r() is not None]
+            batch = pa.RecordBatch.from_pydict({"t": ["a" * 100] * (n + 1)})
+            held.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    rows = [out.num_rows for out in mapper(lambda part: pa.RecordBatch.from_pydict({"n": [1] * part.num_rows}), "t")(batches())]
+    assert rows == [1, 2, 3]
