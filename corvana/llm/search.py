@@ -3,13 +3,15 @@
 Document frequencies, the number of documents and their mean length are counted over all documents
 first, so scores are the same in every shard and the shards' results merge exactly. A shard's
 documents are laid out by their most frequent term and length, so that neighbours are alike, and cut
-into blocks; each posting list keeps its largest impact in each block it stands in. For a query the
-block maxima of its lists, weighted, add up to an upper bound of every document in the block. The
-next blocks to visit, the pivots, are those whose bound can reach the k-th best score so far, which is
-carried from shard to shard and from level to level of documents, and a query's postings are read in
-these blocks only: the others are skipped. Queries visit a block together. Unlike WAND's, pivots are blocks and not documents, and
-they come by bound and not by number: with the hundreds of terms of a whole text as query, a pivot
-document found by the lists' global maxima would be nearly each one.
+into blocks; each posting list of a frequent term keeps its largest impact in each block it stands in.
+For a query the postings of its other terms are added up for each document: few, as a pair of texts
+shares few of them. The largest sum in a block and the block maxima of the frequent terms, weighted,
+are an upper bound of every document in the block. The blocks to visit, the pivots, are those whose
+bound can reach the k-th best score so far, which is carried from shard to shard and from level to
+level of documents, and the frequent terms' postings, laid out by blocks, are read in these only: the
+others are skipped. Queries visit a block together. Unlike WAND's, pivots are blocks and not
+documents: with the hundreds of terms of a whole text as query, a pivot document found by the lists'
+global maxima would be nearly each one.
 
 score = sum over distinct query terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)),
 rounded to 6 decimals; equal scores rank by the smaller id. A document that shares a term is found
@@ -39,10 +41,10 @@ SHARD_POSTINGS = 2_000_000
 BLOCK = 64
 QUERY_BLOCK, QUERY_BYTES = 16_384, 64 << 20
 FIRST, STEP = 4, 8  # shards that are searched first; then this many times as many documents again and again
-PIVOTS = 8  # blocks that are read before the others, while a query has no k-th score
 TOGETHER = (128, 40_000)  # queries, or terms of theirs, that read a block together
-FREQUENT, FREQUENT_SHARE = 512, 16
-DENSE = 4
+FREQUENT, FREQUENT_SHARE = 1536, 48
+LAID = 4
+READ = 1 << 17
 SLACK = 1e-5
 TERMS = re.compile(r"[^\W_]+").findall
 
@@ -82,24 +84,12 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-class Asked:
-    """Queries of one call: their terms' numbers in the shard and weights, from ends to ends, and their heaps."""
-
-    def __init__(self, ends: list[int], at: np.ndarray, weights: np.ndarray, heaps: list[list[tuple[float, int]]]):
-        self.ends, self.at, self.weights, self.heaps = ends, at, weights, heaps
-
-    def least(self, k: int) -> np.ndarray:
-        return np.array([h[0][0] if len(h) == k else 0.0 for h in self.heaps])
-
-
 class Shard:
-    """Posting lists by term over blocks of documents, with each list's largest impact in each block.
+    """Posting lists by term, those of frequent terms laid out by blocks of documents, with each list's largest impact in each block.
 
-    The maxima of frequent terms are rows over all blocks; the other lists have an entry (block, largest
-    impact, first posting, number of postings) for each block that they stand in. What a block holds of
-    frequent terms, and of those that DENSE of its documents have, is laid out with a place for each
-    document; all else are (document, impact) pairs. What is laid out is in single precision: it finds
-    the documents, whose own terms give the score.
+    What LAID documents of a block hold of a frequent term is a row with a place for each document of
+    the block; all else are (document, impact) pairs, term by term. Both are in single precision: they
+    find the documents, whose own terms give the score in double precision.
     """
 
     def __init__(self, docs: list[tuple[int, int, bytes, bytes]], mean_length: float):
@@ -124,108 +114,120 @@ class Shard:
         term = np.repeat(np.arange(len(first), dtype=np.int32), size)
         self.doc_terms, self.doc_impacts = np.empty(len(term), np.int32), impact
         self.doc_terms[by_term] = term
-        del every
-        doc, impact = doc[by_term], impact[by_term]
+        del every, term
+        doc, impact = doc[by_term], impact[by_term].astype(np.float32)
         del by_term
-        # an entry for each block that a term stands in
-        block = doc // BLOCK
-        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
-        entry_size, entry_term, entry_block = np.diff(np.concatenate([start, [len(term)]])), term[start], block[start]
-        entry_max = np.maximum.reduceat(impact, start)
-        del term, block
-        # the frequent terms have their maxima as rows
         frequent = np.flatnonzero(size >= max(2, len(order) // FREQUENT_SHARE))
         frequent = frequent[np.argsort(-size[frequent], kind="stable")[:FREQUENT]]
-        is_frequent = np.zeros(len(first), bool)
-        is_frequent[frequent] = True
-        own = is_frequent[entry_term]
-        dense = own | (entry_size >= DENSE)
-        others = np.unique(entry_term[dense & ~own])
-        self.column = np.full(len(first), -1)
-        self.column[frequent], self.column[others] = np.arange(len(frequent)), np.arange(len(others)) + len(frequent)
-        self.columns, self.block_max = len(frequent) + len(others), np.zeros((len(frequent), self.blocks), np.float32)
-        self.block_max[self.column[entry_term[own]], entry_block[own]] = entry_max[own]
-        # blocks laid out: a row of places for each term with many documents there
-        laid_out = np.flatnonzero(dense)
-        laid_out = laid_out[np.argsort(entry_block[laid_out], kind="stable")]
-        self.laid_columns, self.laid_ends = self.column[entry_term[laid_out]], np.searchsorted(entry_block[laid_out], np.arange(self.blocks + 1)).tolist()
-        at = ranges(start[laid_out], entry_size[laid_out])
+        self.column = np.full(len(first), -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        # an entry for each block that a frequent term stands in
+        at = ranges(first[frequent], size[frequent])
+        block = np.repeat(np.arange(len(frequent)) * self.blocks, size[frequent]) + doc[at] // BLOCK
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), block[1:] != block[:-1]]))
+        entry_size = np.diff(np.concatenate([start, [len(at)]]))
+        laid_out = np.flatnonzero(entry_size >= LAID)
+        self.block_max = np.zeros((len(frequent), self.blocks), np.float32)
+        rest = np.ones(len(doc), bool)
+        if len(laid_out):
+            self.block_max.ravel()[block[start[laid_out]]] = np.maximum.reduceat(impact[at], start)[laid_out]
+            laid_out = laid_out[np.argsort(block[start[laid_out]] % self.blocks, kind="stable")]
+        entry = block[start[laid_out]]
+        self.laid_columns, self.laid_ends = entry // self.blocks, np.searchsorted(entry % self.blocks, np.arange(self.blocks + 1)).tolist()
+        row, at = np.repeat(np.arange(len(laid_out)), entry_size[laid_out]), at[ranges(start[laid_out], entry_size[laid_out])]
         self.laid = np.zeros((len(laid_out), BLOCK), np.float32)
-        self.laid[np.repeat(np.arange(len(laid_out), dtype=np.int32), entry_size[laid_out]), doc[at] % BLOCK] = impact[at]
-        self.above = 1 + 2 * (max(len(frequent), *np.diff(self.laid_ends).tolist()) + 8) * 2.0**-24  # a sum in single precision times this isn't below the exact one
-        # the other postings, and the entries of the terms that aren't frequent
-        kept = np.repeat(~dense, entry_size)
-        self.place, self.impact = (doc[kept] % BLOCK).astype(np.uint8), impact[kept]
-        entry_size[dense] = 0
-        self.entry_block, self.entry_max = entry_block[~own], entry_max[~own]
-        self.entry_size, self.entry_start = entry_size[~own].astype(np.int32), (np.cumsum(entry_size) - entry_size)[~own].astype(np.int32)
-        self.entries = np.bincount(entry_term[~own], minlength=len(first))
-        self.first_entry = np.cumsum(self.entries) - self.entries
+        self.laid[row, doc[at] % BLOCK] = impact[at]
+        self.above = 1 + 2 * (len(frequent) + 8) * 2.0**-24  # a sum in single precision times this isn't below the exact one
+        # all other postings, (document, impact), as one binary value for each term: Arrow takes them whole
+        rest[at] = False
+        postings = np.empty((int(rest.sum()), 2), np.int32)
+        postings[:, 0], postings[:, 1] = doc[rest], impact[rest].view(np.int32)
+        self.size = np.add.reduceat(rest, first, dtype=np.int64)
+        at = np.concatenate([[0], 8 * np.cumsum(self.size)]).astype(np.int32)
+        self.postings = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(postings)])
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The terms' numbers here, or -1."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        return np.where(self.terms[at] == terms, at, -1).astype(np.int32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, heap: list[tuple[float, int]]) -> None:
         """Into the heap of (score, -id), the worst on top, what of this shard belongs to the k best."""
         self.search_all([(terms, weights, heap)], k)
 
-    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray, list[tuple[float, int]]]], k: int) -> None:
-        """search() for (terms, weights, heap) of several queries, which read a block together; each has its own pivots."""
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray, list[tuple[float, int]]]], k: int, places: np.ndarray | None = None) -> None:
+        """search() for (terms, weights, heap) of several queries, which read a block together; each has its own pivots. places: what terms, then numbers in it, stand for."""
+        heaps = [h for _, _, h in queries]
         query = np.repeat(np.arange(len(queries)), [len(t) for t, _, _ in queries])
         terms, weights = (np.concatenate([q[n] for q in queries]) for n in (0, 1))
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        own = self.terms[at] == terms
+        at = self.places(terms) if places is None else places[terms]
+        own = at >= 0
         at, weights, query = at[own], weights[own], query[own]
-        asked = Asked(np.searchsorted(query, np.arange(len(queries) + 1)).tolist(), at, weights, [h for _, _, h in queries])
+        ends = np.searchsorted(query, np.arange(len(queries) + 1)).tolist()
         column = self.column[at]
-        laid = np.zeros((self.columns, len(queries)), np.float32)
-        laid[column[column >= 0], query[column >= 0]] = weights[column >= 0]
-        entries = self.entries[at]
-        entry, weight = ranges(self.first_entry[at], entries), np.repeat(weights, entries)
-        cell = np.repeat(query * self.blocks, entries) + self.entry_block[entry]
-        shape = (len(queries), self.blocks)
-        bound = np.bincount(cell, weight * self.entry_max[entry], len(queries) * self.blocks).reshape(shape)
-        bound = (bound + laid[: len(self.block_max)].T @ self.block_max) * self.above
-        unread = bound > 0  # the blocks that hold a term at all
-        least = asked.least(k)
-        if self.blocks > PIVOTS and any(len(h) < k for h in asked.heaps):  # without a k-th score yet, the best blocks alone come first
-            top = np.zeros(shape, bool)
-            np.put_along_axis(top, np.argpartition(-bound, PIVOTS, axis=1)[:, :PIVOTS], True, axis=1)
-            self.read(asked, top & unread & (bound >= least[:, None] - SLACK), laid, entry, weight, cell, least, k)
-            unread &= ~top
-            least = asked.least(k)
-        self.read(asked, unread & (bound >= least[:, None] - SLACK), laid, entry, weight, cell, least, k)  # those that can reach it
-
-    def read(self, asked: Asked, pivots: np.ndarray, laid: np.ndarray, entry: np.ndarray, weight: np.ndarray, cell: np.ndarray, least: np.ndarray, k: int) -> None:
-        """The postings of the pivots, one row of blocks for each query; the others are skipped."""
-        mine = np.flatnonzero(pivots.ravel()[cell] & (self.entry_size[entry] > 0))
-        entry, size = entry[mine], self.entry_size[entry[mine]]
-        posting = ranges(self.entry_start[entry], size)
-        score = np.bincount(np.repeat(cell[mine] * BLOCK, size) + self.place[posting], np.repeat(weight[mine], size) * self.impact[posting], pivots.size * BLOCK)
-        score = score.astype(np.float64, copy=False).reshape(*pivots.shape, BLOCK)  # of nothing it is whole numbers
+        own = column >= 0
+        laid = np.zeros((len(self.block_max), len(queries)), np.float32)
+        laid[column[own], query[own]] = weights[own]
+        score = self.rest(ends, at, weights)
+        bound = (score.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + laid.T @ self.block_max) * self.above
+        least = np.array([h[0][0] if len(h) == k else 0.0 for h in heaps])
+        pivots = (bound > 0) & (bound >= least[:, None] - SLACK)  # the others hold no term at all, or can't reach the k-th score
+        blocks = score.reshape(len(queries), self.blocks, BLOCK)
         for block in np.flatnonzero(pivots.any(axis=0)).tolist():
-            reads = np.flatnonzero(pivots[:, block])
-            own = slice(self.laid_ends[block], self.laid_ends[block + 1])
-            score[reads, block] += laid[self.laid_columns[own]][:, reads].T @ self.laid[own]
-        score = score.reshape(len(pivots), -1)
-        rows, docs = np.nonzero(score > (np.maximum(least - SLACK, 0.0) / self.above)[:, None])  # what rounds to 0 shares a term, and counts
-        ends = np.searchsorted(rows, np.arange(len(pivots) + 1)).tolist()
-        weights = np.zeros(len(self.terms))
-        for q in np.unique(rows).tolist():
-            good, heap = docs[ends[q] : ends[q + 1]], asked.heaps[q]
+            rows = slice(self.laid_ends[block], self.laid_ends[block + 1])
+            reads, asked = np.flatnonzero(pivots[:, block]), laid[self.laid_columns[rows]]
+            if 3 * len(reads) > 2 * len(queries):  # as fast for all
+                blocks[:, block] += asked.T @ self.laid[rows]
+            elif len(asked):
+                blocks[reads, block] += asked[:, reads].T @ self.laid[rows]
+        floors = np.nextafter((np.maximum(least - SLACK, 0.0) / self.above).astype(np.float32), np.float32(0))
+        found = np.flatnonzero(score > floors[:, None])  # what rounds to 0 shares a term, and counts
+        rows, docs = np.divmod(found, score.shape[1])
+        for q, good in self.grouped(rows, docs):
             if len(good) > k:  # of these only the k best, and what may be their equal, can stay
-                found = score[q, good]
+                found = score[q, good].astype(np.float64)
                 good = good[found * self.above >= np.partition(found, -k)[-k] / self.above - SLACK]
-            own = slice(asked.ends[q], asked.ends[q + 1])
-            weights[asked.at[own]] = asked.weights[own]
-            size = self.doc_size[good]
-            term = ranges(self.doc_start[good], size)
-            exact = np.add.reduceat(weights[self.doc_terms[term]] * self.doc_impacts[term], np.cumsum(size) - size)
-            weights[asked.at[own]] = 0.0
+            own, heap = slice(ends[q], ends[q + 1]), heaps[q]
+            exact = [self.score(doc, at[own], weights[own]) for doc in good.tolist()]
             for value, found in zip(np.round(exact, 6).tolist(), self.ids[good].tolist(), strict=True):
                 if len(heap) < k:
                     heapq.heappush(heap, (value, -found))
                 elif (value, -found) > heap[0]:
                     heapq.heapreplace(heap, (value, -found))
 
+    @staticmethod
+    def grouped(rows: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, its docs) of rows in order."""
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), rows[1:] != rows[:-1]])).tolist()
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=False):
+            yield int(rows[a]), docs[a:b]
+
+    def score(self, doc: int, terms: np.ndarray, weights: np.ndarray) -> float:
+        """Of one document, in double precision; the terms' numbers are in order, as the document's are."""
+        own = slice(self.doc_start[doc], self.doc_start[doc] + self.doc_size[doc])
+        has = self.doc_terms[own]
+        at = np.searchsorted(has, terms)
+        at[at == len(has)] = 0
+        same = np.flatnonzero(has[at] == terms)
+        return (weights[same] * self.doc_impacts[own][at[same]]).sum()
+
+    def rest(self, ends: list[int], at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings that aren't laid out add to the documents' scores, a row for each query; its terms are from ends to ends."""
+        width, size = self.blocks * BLOCK, self.size[at]
+        score = np.zeros((len(ends) - 1, width), np.float32)
+        stops, first = np.concatenate([[0], np.cumsum(size)])[ends], 0
+        while first < len(score):  # postings of a few queries at a time, so that they stay in the cache
+            last = max(first + 1, int(np.searchsorted(stops, stops[first] + READ, "right")) - 1)
+            own, (*cuts, read) = slice(ends[first], ends[last]), (stops[first : last + 1] - stops[first]).tolist()
+            if read:
+                found = np.frombuffer(self.postings.take(pa.array(at[own])).buffers()[2], np.int32, 2 * read).reshape(-1, 2)
+                value = found[:, 1].view(np.float32) * np.repeat(weights[own], size[own])
+                for q, (a, b) in enumerate(zip(cuts, [*cuts[1:], read], strict=True), first):
+                    score[q] = np.bincount(found[a:b, 0], value[a:b], width)
+            first = last
+        return score
+
 
 def without_copies(docs: Iterator[tuple[int, int, bytes, bytes]], k: int) -> list[tuple[int, int, bytes, bytes]]:
     """The rows less those with k equals of smaller ids: equals score alike, so the others can't be among any k best."""
@@ -332,6 +334,19 @@ def together(queries: list[tuple], rows: int, terms: int) -> Iterator[list[tuple
         yield queries[start:]
 
 
+def query_rows(batch: pa.RecordBatch, row: int, k: int) -> tuple[np.ndarray, list[tuple]]:
+    """The terms of a pack, each once, and its queries: (numbers of their terms, weights, heap, id, floor)."""
+    rows = list(unpacked(batch, row, "q", QUERY, 8))
+    terms, numbers = np.unique(np.concatenate([np.frombuffer(r[3], np.int64) for r in rows]), return_inverse=True)
+    numbers, found, start = numbers.astype(np.int32), [], 0
+    for i, floor, floor_id, t, w in rows:
+        floor, own = (floor, -floor_id), numbers[start : start + len(t) // 8]
+        start += len(own)
+        found.append((own, np.frombuffer(w).copy(), [floor] * k if floor[0] >= 0 else [], i, floor))
+    found.sort(key=lambda q: int(q[0][q[1].argmin()]))  # those with the same most frequent term read much the same blocks
+    return terms, found
+
+
 def searched(k: int, mean_length: float):
     """For mapInArrow over pairs of packs, those of a shard together: what a task's shards have of each query's k best, above its floor."""
 
@@ -341,21 +356,18 @@ def searched(k: int, mean_length: float):
         for batch in batches:
             for n in range(batch.num_rows):
                 doc_pack, query_pack = batch.column("d_pack")[n].as_py(), batch.column("q_pack")[n].as_py()
+                if query_pack not in packed:
+                    packed[query_pack] = query_rows(batch, n, k)
                 if doc_pack != at:
                     at, shard = doc_pack, None
                     shard = Shard(without_copies(unpacked(batch, n, "d", DOC, 4), k), mean_length)
                     give_back()
-                if query_pack not in packed:
-                    own = []
-                    for i, floor, floor_id, t, w in unpacked(batch, n, "q", QUERY, 8):
-                        floor = (floor, -floor_id)
-                        own.append((np.frombuffer(t, np.int64).copy(), np.frombuffer(w).copy(), [floor] * k if floor[0] >= 0 else [], i, floor))
-                    own.sort(key=lambda q: int(q[0][q[1].argmin()]))  # those with the same most frequent term read much the same blocks
-                    packed[query_pack] = own
-                for part in together(packed[query_pack], *TOGETHER):
-                    shard.search_all([q[:3] for q in part], k)
-        flat = [(i, -v, s) for own in packed.values() for _, _, heap, i, floor in own for s, v in heap if (s, v) > floor]
-        packed = shard = batch = own = part = None  # noqa: F841  what is held can't be given back
+                terms, own = packed[query_pack]
+                places = shard.places(terms)
+                for part in together(own, *TOGETHER):
+                    shard.search_all([q[:3] for q in part], k, places)
+        flat = [(i, -v, s) for _, own in packed.values() for _, _, heap, i, floor in own for s, v in heap if (s, v) > floor]
+        packed = shard = batch = own = part = terms = places = None  # noqa: F841  what is held can't be given back
         columns = zip(*flat, strict=True) if flat else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
         flat = columns = None

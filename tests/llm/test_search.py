@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvana.llm import search as s
@@ -143,3 +144,34 @@ def test_queries_together_equal_alone():
         shard.search(terms, weights, 10, alone)
         assert sorted(heap) == sorted(alone)
     assert sum(len(p) for p in s.together(both, 16, 500)) == len(both)
+
+
+def test_work_of_a_shard(monkeypatch):
+    """A pack's terms are looked up once in a shard, not by each run of queries; a posting is laid out or in its term's list, and only full rows are laid out."""
+    rng = np.random.default_rng(9)
+    docs, queries = [], []
+    for n in range(700):
+        terms = np.unique(rng.zipf(1.3, 50) % 2000).astype(np.int64)
+        docs.append((n, len(terms), terms.tobytes(), np.ones(len(terms), np.int32).tobytes()))
+        queries.append((n, -1.0, 0, terms.tobytes(), (1 + terms % 7).astype(float).tobytes()))
+    shard = s.Shard(docs, 30.0)
+    assert (shard.laid > 0).sum(axis=1).min() >= s.LAID
+    assert (shard.laid > 0).sum() + shard.size.sum() == sum(d[1] for d in docs)
+
+    def pack(rows, names, side, numbers):
+        columns = [pa.array(list(x), pa.binary() if isinstance(x[0], bytes) else None) for x in zip(*rows, strict=True)]
+        return next(s.packs(10_000, 1 << 30, side, numbers)(iter([pa.RecordBatch.from_arrays(columns, names=names)])))
+
+    d = pack(docs, ["id", "length", "terms", "freqs"], "d", s.DOC)
+    q = pack(queries, ["id", "floor", "floor_id", "terms", "freqs"], "q", s.QUERY)
+    looked, places = [], s.Shard.places
+    monkeypatch.setattr(s.Shard, "places", lambda self, terms: looked.append(len(terms)) or places(self, terms))
+    (found,) = s.searched(10, 30.0)(iter([pa.RecordBatch.from_arrays([*d.columns, *q.columns], names=[*d.schema.names, *q.schema.names])]))
+    assert looked == [len(set().union(*(np.frombuffer(x[2], np.int64).tolist() for x in docs)))]
+    got = {}
+    for r in found.to_pylist():
+        got.setdefault(r["query_id"], []).append((r["score"], -r["id"]))
+    for n, _, _, terms, weights in queries[::35]:
+        heap = []
+        shard.search(np.frombuffer(terms, np.int64), np.frombuffer(weights), 10, heap)
+        assert sorted(got[n]) == sorted(heap)
